@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _common_subsequence(a: str, b: str) -> int:
@@ -26,7 +27,7 @@ def _common_subsequence(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else _common_subsequence(x, y) for x, y in zip(a, b)], dtype="Int64")
 

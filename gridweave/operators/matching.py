@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import let
 from ..session import broadcast_if_small, is_small
 
 # Fixed value: the item type used when no type name contains the issue text.
@@ -46,8 +47,8 @@ def first_keyword_match(events: DataFrame, event_id: str, title: str, clients: D
         listed = usable.agg(
             F.array_sort(F.collect_list(F.struct("position", F.lower("keyword").alias("keyword"), "client"))).alias("l")
         ).scalar()
-        low = F.lower(title)
-        hit = F.get(F.filter(F.col("_clients"), lambda c: F.contains(low, c["keyword"])), F.lit(0))["client"]
+        hits = let(F.lower(title), lambda low: F.filter(F.col("_clients"), lambda c: F.contains(low, c["keyword"])))
+        hit = F.get(hits, F.lit(0))["client"]
         return events.withColumn("_clients", listed).withColumn(out, F.coalesce(hit, F.lit(""))).drop("_clients")
     pairs = contained_pairs(events, event_id, title, usable, "position", "keyword")
     best = pairs.groupBy(event_id).agg(F.min("position").alias("position"))
@@ -63,9 +64,8 @@ def type_lookup(items: DataFrame, issue: str, types: DataFrame, out: str = "type
     """
     if is_small(types, max_rows=2_000):
         listed = types.agg(F.collect_list(F.struct("type_id", F.lower("type_name").alias("name"))).alias("l")).scalar()
-        low = F.lower(issue)
-        ids = F.transform(F.filter(F.col("_types"), lambda t: F.contains(t["name"], low)), lambda t: t["type_id"])
-        best = F.coalesce(F.array_max(ids), F.lit(UNKNOWN_ITEM_TYPE))
+        hits = let(F.lower(issue), lambda low: F.filter(F.col("_types"), lambda t: F.contains(t["name"], low)))
+        best = F.coalesce(F.array_max(hits["type_id"]), F.lit(UNKNOWN_ITEM_TYPE))
         return items.withColumn("_types", listed).withColumn(out, best.cast("int")).drop("_types")
     issues = items.select(F.col(issue).alias("_issue")).distinct()
     pairs = contained_pairs(types, "type_id", "type_name", issues, "_issue", "_issue")

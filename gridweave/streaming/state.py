@@ -23,39 +23,51 @@ def changed_cells(old: DataFrame, new: DataFrame, keys: list[str], cols: list[st
     return b.join(a, keys).select(*keys, F.explode(differing).alias("_c")).select(*keys, "_c.column", "_c.old", "_c.new")
 
 
+def _latest(frame: pd.DataFrame) -> pd.DataFrame:
+    return frame.loc[frame.groupby("key")["seq"].idxmax()]
+
+
+def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Newest row per key of each Arrow batch: a hot key ships one row per batch."""
+    for frame in frames:
+        if len(frame):
+            yield _latest(frame)
+
+
 class _LastCell(StatefulProcessor):
-    """Keeps the last value per key and emits only real changes."""
+    """Remembers the newest value per key and emits when it changes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "value string, seq bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = self.last.get() if self.last.exists() else None
-        value, seq = (known[0], known[1]) if known else (None, None)
+        newest = None
         for frame in rows:
-            out = []
-            for row in frame.sort_values("seq").itertuples(index=False):
-                if seq is not None and row.seq <= seq:
-                    continue
-                if known is not None and row.value != value:
-                    out.append((key[0], value, row.value, row.seq))
-                value, seq, known = row.value, row.seq, True
-            yield pd.DataFrame(out, columns=["key", "old", "new", "seq"])
-        if seq is not None:
-            self.last.update((value, int(seq)))
+            row = frame.loc[frame["seq"].idxmax()]
+            if newest is None or row["seq"] > newest[1]:
+                newest = (row["value"], int(row["seq"]))
+        out = []
+        if newest is not None and (known is None or newest[1] > known[1]):
+            if known is not None and known[0] != newest[0]:
+                out.append((key[0], known[0], *newest))
+            self.last.update(newest)
+        yield pd.DataFrame(out, columns=["key", "old", "new", "seq"])
 
     def close(self) -> None:
         pass
 
 
 def cell_changes(edits: DataFrame, key: str, value: str, seq: str) -> DataFrame:
-    """Stream of (key, old, new, seq) where an edit really changed the cell.
+    """Stream of (key, old, new, seq): cells whose value after a micro-batch differs
+    from the one before it. State is one value per cell; the order of rows within a
+    batch does not matter, rows older than the known one are ignored.
 
-    State is one value per cell; edits must arrive in ``seq`` order per key, older
-    ones are ignored.
+    Needs ``spark.sql.streaming.stateStore.providerClass`` set to :data:`ROCKSDB`.
     """
     shaped = edits.select(F.col(key).cast("string").alias("key"), F.col(value).cast("string").alias("value"), F.col(seq).cast("bigint").alias("seq"))
-    return shaped.groupBy("key").transformWithStateInPandas(
+    newest = shaped.mapInPandas(_combine, shaped.schema)
+    return newest.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_LastCell(), outputStructType="key string, old string, new string, seq bigint",
         outputMode="Append", timeMode="None",
     )

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_subsequence, ratio_from_common
+from ..functions.values import let
 from ..session import cut_lineage
 from .ordering import number_rows
 
@@ -80,13 +81,19 @@ def with_prefixes(profiles: DataFrame, weights: list[float], threshold: float) -
     counts = F.array(*[F.lit(0) for _ in ps])
     start = F.struct(counts.alias("k"), F.lit(0).alias("n"), F.lit(True).alias("open"))
 
-    def leave_out(state: Column, token: Column) -> Column:
-        k = F.transform(state["k"], lambda x, i: x + F.when(i == token["c"], 1).otherwise(0))
+    def bounded(k: Column) -> Column:
         bound = F.lit(0.0)
         for i, w in enumerate(weights):
             bound = bound + F.lit(2.0 * w) * k[i] / (F.col("_len")[i] + k[i])
-        ok = state["open"] & (bound <= threshold - _SLACK)
-        return F.struct(F.when(ok, k).otherwise(state["k"]).alias("k"), (state["n"] + F.when(ok, 1).otherwise(0)).alias("n"), ok.alias("open"))
+        return F.struct(k.alias("k"), (bound <= threshold - _SLACK).alias("ok"))
+
+    def leave_out(state: Column, token: Column) -> Column:
+        more = F.transform(state["k"], lambda x, i: x + F.when(i == token["c"], 1).otherwise(0))
+        tried = let(
+            let(more, bounded),
+            lambda t: F.struct(t["k"].alias("k"), (state["n"] + F.when(t["ok"], 1).otherwise(0)).alias("n"), t["ok"].alias("open")),
+        )
+        return F.when(state["open"], tried).otherwise(state)
 
     left_out = F.aggregate("_r", start, leave_out)["n"]
     kept = F.slice("_r", left_out + 1, F.greatest(F.size("_r") - left_out, F.lit(0)))
@@ -133,19 +140,20 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
     e = cut_lineage(
         edges.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
     )
-    before = None
     for _ in range(max_rounds):
+        # Done when every node hangs on exactly one root.
+        ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+            e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+        )
+        unsettled = ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR (up > 0 AND down > 0)")
+        if unsettled.limit(1).count() == 0:
+            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.where("u <> v")
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(hung.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
-        now = e.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == before:
-            break
-        before = now
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        e = cut_lineage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

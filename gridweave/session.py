@@ -32,11 +32,15 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint, so a lost executor does not replay earlier rounds."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from there.
+
+    A lost executor then replays nothing from before. A written table beats a
+    checkpointed RDD here: later steps read only the columns they need, and its true
+    size lets Spark choose the joins.
+    """
+    path = work_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -> bool:

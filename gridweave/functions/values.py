@@ -25,6 +25,7 @@ LOG_COLOURS = {
 
 # Fixed pattern: the numeric prefix that a lenient float parser accepts.
 NUMBER_PREFIX = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
+UNSIGNED_PREFIX = r"^\s*[+-]?((?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,11 +63,28 @@ def number_text(col: Column) -> Column:
     return F.when(col == 0, F.lit("0")).otherwise(plain)
 
 
+def amount_text(col: Column) -> Column:
+    """Size of the leading number of a text, without sign, leading or trailing zeros.
+
+    Plain numbers are handled as text; very long ones and exponents go through a
+    decimal.
+    """
+    def plain(digits: Column) -> Column:
+        short = F.when(digits.contains("."), F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))).otherwise(digits)
+        # Leading zeros go, but one stays before a point or alone.
+        return F.regexp_replace(F.ltrim(short, F.lit("0")), r"^(?=\.|\z)", "0")
+
+    def sized(prefix: Column) -> Column:
+        simple = (F.length(prefix) <= 15) & ~prefix.rlike("[eE]")
+        return F.when(simple, plain(prefix)).otherwise(let(lenient_amount(col), lambda d: number_text(F.abs(d))))
+
+    return let(F.regexp_extract(col, UNSIGNED_PREFIX, 1), sized)
+
+
 def transaction_key(date: Column, amount: Column, split: Column, created: Column) -> Column:
     """``date-|amount|-split-created`` with missing parts blank."""
     blank = [F.coalesce(c.cast("string"), F.lit("")) for c in (date, split, created)]
-    size = number_text(F.abs(lenient_amount(F.coalesce(amount, F.lit("")))))
-    return F.concat_ws("-", blank[0], size, blank[1], blank[2])
+    return F.concat_ws("-", blank[0], amount_text(F.coalesce(amount, F.lit(""))), blank[1], blank[2])
 
 
 def column_letter(index: Column) -> Column:

@@ -30,8 +30,10 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str, keys: DataFrame,
         return F.transform(start, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
 
     grams = F.flatten(F.array(*[substrings(n) for n in range(1, _GRAM + 1)]))
-    filed = low.select("_tid", "_text", F.explode(F.array_distinct(grams)).alias("_gram"))
-    hits = filed.join(wanted, "_gram").where(F.contains("_text", "_key"))
+    filed = low.select("_tid", F.explode(F.array_distinct(grams)).alias("_gram"))
+    # Candidates carry ids only; each text joins back once for the check.
+    candidates = filed.join(wanted, "_gram").select("_tid", "_kid", "_key")
+    hits = candidates.join(low, "_tid").where(F.contains("_text", "_key"))
     return hits.select(F.col("_tid").alias(text_id), F.col("_kid").alias(key_id))
 
 

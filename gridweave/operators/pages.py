@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,15 +37,15 @@ BROKEN_LINK = "Broken Link"
 
 def raw_links(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """One row per ``<a>`` with its position, href and rel."""
-    seen = pages.withColumn("_m", M.visible_markup(F.col(html)))
+    seen = pages.select(*keep, M.visible_markup(F.col(html)).alias("_m"))
     first_base = F.get(M.start_tags(F.col("_m"), "base"), F.lit(0))
-    tags = seen.select(
-        *keep,
-        F.when(first_base.isNotNull(), M.attribute(first_base, "href")).alias("base_href"),
-        F.posexplode(M.start_tags(F.col("_m"), "a")).alias("position", "_tag"),
+    links = F.transform(
+        M.start_tags(F.col("_m"), "a"), lambda t: F.struct(M.attribute(t, "href").alias("href"), M.attribute(t, "rel").alias("rel"))
     )
-    return tags.select(
-        *keep, "base_href", "position", M.attribute(F.col("_tag"), "href").alias("href"), M.attribute(F.col("_tag"), "rel").alias("rel")
+    # Everything is read off the markup before the explode, so no link row carries it.
+    found = seen.select(*keep, F.when(first_base.isNotNull(), M.attribute(first_base, "href")).alias("base_href"), links.alias("_links"))
+    return found.select(*keep, "base_href", F.posexplode("_links").alias("position", "_l")).select(
+        *keep, "base_href", "position", F.col("_l.href").alias("href"), F.col("_l.rel").alias("rel")
     )
 
 
@@ -232,21 +233,13 @@ def top_keywords(texts: DataFrame, site: list[str], text: str = "text", top: int
     only the first ``top`` per site leave a task. Whole texts are used.
     """
     words = F.filter(F.split(F.lower(clean_text(F.col(text), True, None)), " +"), lambda w: w != "")
-    tokens = texts.select(*site, words.alias("_w"))
-
-    def of_length(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("_w") - n + 1)
-        terms = F.transform(
-            starts, lambda i: F.struct(F.array_join(F.slice("_w", i, F.lit(n)), " ").alias("term"), F.lit(n).alias("n"))
-        )
-        return F.when(F.size("_w") >= n, terms).otherwise(F.array().cast("array<struct<term:string,n:int>>"))
-
-    grams = F.flatten(F.array(*[of_length(n) for n in range(1, longest + 1)]))
-    counted = (
-        tokens.select(*site, F.explode(grams).alias("_g"))
-        .groupBy(*site, F.col("_g.term").alias("term"), F.col("_g.n").alias("word_count"))
-        .agg(F.count("*").alias("occurrence"))
-    )
+    tokens = texts.select(*site, words.alias("_w1"))
+    for n in range(2, longest + 1):
+        tokens = NGram(n=n, inputCol="_w1", outputCol=f"_w{n}").transform(tokens)
+    grams = F.concat(*[F.col(f"_w{n}") for n in range(1, longest + 1)])
+    counted = tokens.select(*site, F.explode(grams).alias("term")).groupBy(*site, "term").agg(F.count("*").alias("occurrence"))
+    blanks = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
+    counted = counted.withColumn("word_count", (blanks + 1).cast("int"))
     order = [F.desc("occurrence"), F.desc("word_count"), F.asc("term")]
     return first_k_per_group(counted, site, order, top, "row_no")
 

@@ -70,15 +70,16 @@ def flatten_report(reports: DataFrame, report: str, titles: list[str], keep: lis
             lambda r: data_cells(r["Rows"]["Row"]),
         )
     )
-    cells = reports.select(
-        *keep, checked.alias("_heads"), F.explode(F.concat(data_cells(top), nested)).alias("_cells")
-    )
+    # Title positions and cells are read off each report before the explode.
+    heads = reports.select(*keep, checked.alias("_heads"), F.concat(data_cells(top), nested).alias("_rows"))
+    at = F.array(*[F.array_position("_heads", t).cast("int") for t in titles])
+    cells = heads.select(*keep, at.alias("_at"), "_rows").select(*keep, "_at", F.explode("_rows").alias("_cells"))
 
-    def cell(title: str) -> Column:
-        at = F.array_position(F.col("_heads"), title)
-        return F.coalesce(F.when(at > 0, F.get(F.col("_cells"), (at - 1).cast("int"))["value"]), F.lit(""))
+    def cell(i: int) -> Column:
+        value = F.when(F.col("_at")[i] > 0, F.get("_cells", F.col("_at")[i] - 1)["value"])
+        return F.coalesce(value, F.lit(""))
 
-    flat = cells.select(*keep, *[cell(t).alias(t) for t in titles])
+    flat = cells.select(*keep, *[cell(i).alias(t) for i, t in enumerate(titles)])
     key = transaction_key(*[quoted(t) for t in REPORT_TITLES])
     return flat.select(*keep, key.alias("uniqueIndicator"), *[quoted(t) for t in titles])
 
@@ -141,7 +142,8 @@ def explode_sections(outlines: DataFrame, outline: str, order: str | None = None
 
     parsed = outlines.select(*extra, F.from_json(F.col(outline), OUTLINE_SCHEMA).alias("o"))
     valid = parsed.where((F.col("o.chapter_number") != 0) & (F.size("o.sections") > 0))
-    rows = valid.select(*extra, F.col("o.chapter_number").alias("chapter"), F.posexplode("o.sections").alias("position", "s"))
+    slim = valid.select(*extra, F.col("o.chapter_number").alias("chapter"), F.col("o.sections").alias("_s"))
+    rows = slim.select(*extra, "chapter", F.posexplode("_s").alias("position", "s"))
     named = rows.where(F.col("s.summary") != "").select(
         *extra,
         "chapter",

@@ -44,7 +44,7 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
     p = U.parts(F.col("url"))
     host = F.lower(p.host)
     status = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.length("url") % len(STATUSES) + 1)
-    return table(spark, sf, "pages").select(
+    return table(spark, sf, "pages", True).select(
         "page_id", "url", "html", host.alias("site"),
         F.concat(p.scheme, F.lit("://"), U.with_www(host)).alias("site_url"), status.alias("status"),
     )
@@ -204,7 +204,7 @@ LINKS_JSON_SQL = f"WITH {LINKS_SQL} SELECT page_id, CAST(count(*) AS INT) AS lin
 
 
 def sitemap_page_links(spark: SparkSession, sf: str) -> DataFrame:
-    return P.sitemap_links(table(spark, sf, "pages"), ["page_id"], "url")
+    return P.sitemap_links(table(spark, sf, "pages", True), ["page_id"], "url")
 
 
 _BARE = "regexp_replace(lower(" + sql_part("url", 4) + "), '^www\\.', '')"
@@ -214,7 +214,7 @@ FROM hrefs WHERE href <> ''"""
 
 
 def updater_links(spark: SparkSession, sf: str) -> DataFrame:
-    return P.updater_links(table(spark, sf, "pages"), ["page_id"], "url")
+    return P.updater_links(table(spark, sf, "pages", True), ["page_id"], "url")
 
 
 UPDATER_LINKS_SQL = f"""WITH {_TAGS_SQL} SELECT page_id, CAST(position AS INT) AS position,
@@ -266,7 +266,7 @@ UNCHECKED_LINKS_SQL = f"WITH {SITE_LINKS_CTE} SELECT site, url, row_no FROM (SEL
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
-    return P.page_text(table(spark, sf, "pages"), ["page_id"], max_elements=None)
+    return P.page_text(table(spark, sf, "pages", True), ["page_id"], max_elements=None)
 
 
 _BLOCKS = (
@@ -298,7 +298,7 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Link graph from page urls: site root -> each path prefix -> page."""
     p = U.parts(F.col("url"))
     home = F.concat(F.lit("https://www."), F.regexp_replace(F.lower(p.host), r"^www\.", ""))
-    pages = table(spark, sf, "pages").select(home.alias("site"), F.split(F.trim(p.path, F.lit("/")), "/").alias("s"))
+    pages = table(spark, sf, "pages", True).select(home.alias("site"), F.split(F.trim(p.path, F.lit("/")), "/").alias("s"))
     steps = F.sequence(F.lit(1), F.size("s"))
     rows = pages.select("site", "s", F.explode(steps).alias("i"))
     prefix = lambda n: F.when(n == 0, F.col("site")).otherwise(
@@ -329,7 +329,7 @@ SELECT site, url AS loc, depth, '2024-01-20T00:00:00+00:00' AS lastmod, 'daily'
 
 def normalized_urls(spark: SparkSession, sf: str) -> DataFrame:
     """All URL rules over five spellings of every page url."""
-    pages = table(spark, sf, "pages")
+    pages = table(spark, sf, "pages", True)
     p = U.parts(F.col("url"))
     spellings = F.array(
         F.col("url"),

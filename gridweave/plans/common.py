@@ -6,9 +6,13 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import spread
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+def table(spark: SparkSession, sf_dir: str, name: str, costly: bool = False) -> DataFrame:
+    """A test table; ``costly`` rows are spread over all cores when the file is one split."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if costly else df
 
 
 def local_session(app: str, cpus: str | None = None) -> SparkSession:

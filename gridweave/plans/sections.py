@@ -171,7 +171,7 @@ CLIENTS = [("Acme", "license", 1), ("Blank", "", 2), ("Beta", "ENERUNG", 3), ("D
 
 def first_client(spark: SparkSession, sf: str) -> DataFrame:
     clients = spark.createDataFrame(CLIENTS, "client string, keyword string, position int")
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = table(spark, sf, "documents", True).select("doc_id", "text")
     return J.first_keyword_match(docs, "doc_id", F.col("text"), clients).select("doc_id", "client")
 
 
@@ -294,7 +294,7 @@ ANY_OF, NONE_OF, INCLUDE = ["tion", "que"], ["license", "copyright"], ["mail", "
 
 def filtered_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Documents that pass the keyword lists, with the first e-mail address."""
-    d = table(spark, sf, "documents")
+    d = table(spark, sf, "documents", True)
     kept = d.where(X.keyword_filter(F.col("text"), ANY_OF, NONE_OF)).where(X.contains_any(F.col("source"), INCLUDE) | X.contains_any(F.col("text"), INCLUDE))
     email = X.extract_email(F.col("source"), F.col("text"))
     return kept.select("doc_id", email.alias("email"), X.valid_email(email).alias("valid"))
@@ -311,7 +311,7 @@ WHERE {_any('text', ANY_OF)} AND NOT {_any('text', NONE_OF)} AND ({_any('source'
 def clean_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whole texts without special characters, with their word count."""
     clean = X.clean_text(F.col("text"), True, None)
-    return table(spark, sf, "documents").select("doc_id", clean.alias("clean"), X.word_count(F.col("text")).alias("words"))
+    return table(spark, sf, "documents", True).select("doc_id", clean.alias("clean"), X.word_count(F.col("text")).alias("words"))
 
 
 CLEAN_DOCUMENTS_SQL = r"""SELECT doc_id, regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g') AS clean, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS INT) AS words FROM documents"""
@@ -366,7 +366,7 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(
         "SELECT doc_id, gw_word_count(text) AS words, gw_email(source, text) AS email, gw_first_text('', source) AS shown, "
         "gw_resource_id(concat('sources/', source)) AS source_id, gw_valid_email(lang) AS valid FROM {d}",
-        d=table(spark, sf, "documents"),
+        d=table(spark, sf, "documents", True),
     )
 
 

@@ -200,7 +200,7 @@ UPSERT_COUNTS_SQL = UPSERT_CTE + " SELECT action, count(*) AS rows FROM r GROUP
 
 
 def transaction_keys(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem", True)
     amount = F.when(F.col("l_quantity") == 1, "n/a").otherwise(F.format_string("%.2f USD", -F.col("l_extendedprice")))
     key = V.transaction_key(F.date_format("l_shipdate", "yyyy-MM-dd"), amount, F.col("l_returnflag"), F.lit(None).cast("string"))
     return li.select("l_orderkey", "l_linenumber", key.alias("unique_indicator"))
@@ -381,7 +381,7 @@ EXPAND_LINKS_SQL = """SELECT l_orderkey || '.' || x AS "orderlinksId", l_orderke
 
 def flatten_report(spark: SparkSession, sf: str) -> DataFrame:
     """One nested report per order line: a data row, and a section with a data row and a note."""
-    li = table(spark, sf, "lineitem")
+    li = table(spark, sf, "lineitem", True)
     day = F.date_format("l_shipdate", "yyyy-MM-dd")
     cells = lambda *cs: F.array(*[F.struct(c.alias("value")) for c in cs])
     price = F.format_string("%.2f", F.col("l_extendedprice"))

@@ -56,3 +56,13 @@ def is_small(df: DataFrame, max_rows: int = 50_000, max_bytes: int = 32 << 20) -
 def broadcast_if_small(df: DataFrame, **bounds) -> DataFrame:
     """Broadcast hint only behind a size check; otherwise leave the join to AQE."""
     return F.broadcast(df) if is_small(df, **bounds) else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores when the input has fewer splits than cores.
+
+    One small file is one split however costly its rows are. A large input has
+    splits enough and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -152,11 +152,10 @@ def insert_by_header(
     Rows need a title and a status. Ids are ``TASK-<ms>`` plus the row number, as
     a batch shares one clock. Headers nobody knows get blank cells.
     """
-    given = resolve_headers(rows, {k: [k.lower()] for k in TASK_ALIASES if k not in ("id", "createdDate")})
-    lower = {c.lower(): c for c in given.columns}
-    full = rows.withColumn(
-        "_ok", (F.coalesce(F.col("title"), F.lit("")) != "") & (F.coalesce(F.col("status"), F.lit("")) != "")
-    )
+    fillable = {name.lower() for name in TASK_ALIASES} - {"id", "createddate"}
+    given = {c.strip().lower(): c for c in rows.columns if c.strip().lower() in fillable}
+    filled = [F.coalesce(quoted(given[name]), F.lit("")) != "" for name in ("title", "status")]
+    full = rows.withColumn("_ok", filled[0] & filled[1])
 
     def cell(header: str) -> Column:
         key = header.strip().lower()
@@ -164,9 +163,8 @@ def insert_by_header(
             value = F.concat(F.lit("TASK-"), (now_millis + F.col(row_no)).cast("string"))
         elif key == "createddate":
             value = now
-        elif key in lower:
-            source = next(c for c in rows.columns if c.strip().lower() == key)
-            value = F.coalesce(quoted(source).cast("string"), F.lit(""))
+        elif key in given:
+            value = F.coalesce(quoted(given[key]).cast("string"), F.lit(""))
         else:
             value = F.lit("")
         return value.alias(header)

@@ -110,10 +110,22 @@ def frontier(*link_sets: DataFrame, visited: DataFrame | None = None) -> DataFra
     return merged if visited is None else not_in(merged, visited, merged.columns)
 
 
+def left_join_hot(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join whose right side may have a hot key.
+
+    Spark cannot split the right side of a left outer join. So partners come from an
+    inner join, which it can split on both sides, and rows without partner from an
+    anti-join.
+    """
+    matched = left.join(right, keys)
+    alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
 def crawl_items(crawls: DataFrame, pages: DataFrame, items: DataFrame, types: DataFrame) -> DataFrame:
     """crawl -> page -> item -> type, keeping crawls and pages that have no item."""
     typed = items.join(broadcast_if_small(types), "type_id", "left")
-    return crawls.join(pages, "crawl_id", "left").join(typed, "page_id", "left")
+    return left_join_hot(crawls, left_join_hot(pages, typed, ["page_id"]), ["crawl_id"])
 
 
 def one_crawl(websites: DataFrame, crawls: DataFrame, crawl_id: int) -> DataFrame:

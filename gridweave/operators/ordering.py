@@ -7,24 +7,61 @@ own, and a small table of counts per (group, range) supplies the offset.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _lead_number(df: DataFrame, name: str) -> Column:
+_EXACT = 2.0**53
+
+
+def _as_number(df: DataFrame, name: str) -> Column | None:
+    """Order column as a double that keeps the order; None for text."""
     kind = df.schema[name].dataType.typeName()
     col = F.col(f"`{name}`")
     if kind in ("timestamp", "timestamp_ntz", "date"):
         col = F.unix_micros(col.cast("timestamp"))
+    elif kind in ("string", "binary", "boolean", "struct", "array"):
+        return None
     return F.coalesce(col.cast("double"), F.lit(float("-inf")))
 
 
-def split_points(df: DataFrame, lead: Column, pieces: int) -> list[float]:
-    """About ``pieces - 1`` quantiles of ``lead``; a bounded list on the driver."""
-    finite = df.select(lead.alias("_x")).where(F.col("_x") > float("-inf"))
-    cuts = finite.approxQuantile("_x", [i / pieces for i in range(1, pieces)], 0.5 / pieces)
-    return sorted(set(cuts or []))
+def split_points(df: DataFrame, number: Column, pieces: int) -> list[float]:
+    """About ``pieces - 1`` quantiles, repeated where one value is heavy; a bounded list."""
+    finite = df.select(number.alias("_x")).where(F.col("_x") > float("-inf"))
+    return list(finite.approxQuantile("_x", [i / pieces for i in range(1, pieces)], 0.5 / pieces) or [])
+
+
+def _bucket(df: DataFrame, number: Column, cuts: list[float], out: str) -> DataFrame:
+    """Index of the range between two cuts (binary search inside Spark)."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0))
+    splits = [float("-inf"), *cuts, float("inf")]
+    split = Bucketizer(splits=splits, inputCol="_x", outputCol=out, handleInvalid="keep")
+    return split.transform(df.withColumn("_x", number)).drop("_x").withColumn(out, F.col(out).cast("int"))
+
+
+def with_pieces(df: DataFrame, order: list[str], pieces: int, out: str = "_piece") -> DataFrame:
+    """Add a range number that never decreases along ``order``.
+
+    Ranges come from quantiles of the first order column. A value that alone fills a
+    range (a hot chapter, say) is split further by quantiles of the second column.
+    """
+    lead = _as_number(df, order[0])
+    if lead is None:
+        raise ValueError("the first order column must be a number or a time")
+    cuts = split_points(df, lead, pieces)
+    heavy = sorted({c for c in cuts if cuts.count(c) > 1 and abs(c) < _EXACT})
+    second = _as_number(df, order[1]) if heavy and len(order) > 1 else None
+    if second is None:
+        return _bucket(df, lead, sorted(set(cuts)), out)
+    alone = sorted(set(cuts) | {math.nextafter(c, math.inf) for c in heavy})
+    finer = sorted(set(split_points(df.where(lead.isin(heavy)), second, pieces)))
+    both = _bucket(_bucket(df, lead, alone, "_p1"), second, finer, "_p2")
+    sub = F.when(lead.isin(heavy), F.col("_p2")).otherwise(F.lit(0))
+    return both.withColumn(out, F.col("_p1") * (len(finer) + 2) + sub).drop("_p1", "_p2")
 
 
 def number_rows(
@@ -39,27 +76,19 @@ def number_rows(
     """Number rows 1.. within each group (or over the whole table) by ``order``.
 
     ``order`` must be unique within a group and start with a numeric or time
-    column, whose quantiles split the work. ``totals`` maps new columns to
+    column; see :func:`with_pieces`. ``totals`` maps new columns to
     numeric columns whose running sum is wanted; ``group_rows`` names a column
     for the group size.
     """
     totals, group = totals or {}, group or []
     spark = df.sparkSession
     pieces = pieces or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    lead = _lead_number(df, order[0])
-    cuts = [float("-inf"), *split_points(df, lead, pieces), float("inf")]
     key = F.struct(*[F.col(f"`{g}`") for g in group]) if group else F.struct(F.lit(0).alias("all"))
-    keyed = df.withColumn("_key", key).withColumn("_lead", lead)
-    if len(cuts) > 2:
-        split = Bucketizer(splits=cuts, inputCol="_lead", outputCol="_piece", handleInvalid="keep")
-        keyed = split.transform(keyed).withColumn("_piece", F.col("_piece").cast("int"))
-    else:
-        keyed = keyed.withColumn("_piece", F.lit(0))
-    keyed = keyed.drop("_lead")
+    keyed = with_pieces(df, order, pieces).withColumn("_key", key)
 
     sums = [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"_sum_{t}") for t, c in totals.items()]
     heads = keyed.groupBy("_key", "_piece").agg(F.count("*").alias("_rows"), *sums)
-    # One row per (group, range): at most ``pieces`` rows per group.
+    # One row per (group, range), so a group has no more rows here than there are ranges.
     before = Window.partitionBy("_key").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("_key")
     offsets = heads.select(

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import urls as U
 from ..operators import crawl, matching, pages as P, score
 from ..operators import sync
-from ..operators.ordering import first_k_per_group
 from ..sources.writers import sitemap_entries
 from .common import sql_decode, sql_dots, sql_part, sql_sanitize, sql_trim, sql_visible, sql_www, table
 
@@ -385,27 +384,81 @@ regexp_matches(u, '(?i)mailto:') AS link_ok FROM c"""
 NORMALIZED_URLS_SQL = _normalized_sql()
 
 
-def _external_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages linked to each other: every page gets a link to the next page's site."""
+def external_links(spark: SparkSession, sf: str) -> DataFrame:
+    """External links per site with the id of the linked site; new sites get new ids.
+
+    Pages get links to three foreign sites: one by their language, two fixed ones.
+    """
     pages = site_pages(spark, sf)
-    nxt = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("next_url"))
-    linked = pages.join(nxt, "page_id", "left").withColumn(
-        "html", F.concat("html", F.coalesce(F.concat(F.lit('<a href="'), "next_url", F.lit('">next</a>')), F.lit("")))
+    lang = F.regexp_extract("url", r"^[a-z]+://[^/]+/([a-z]+)/", 1)
+    extra = F.concat(
+        F.lit('<a href="https://shop.'), lang, F.lit('-news.org/a?x=1">n</a><a href="http://partner.net/p/'), F.col("page_id").cast("string"),
+        F.lit('">p</a><a href="https://example.com/own">o</a>'),
+    )
+    linked = pages.withColumn("html", F.concat(extra, "html"))
+    facts = P.external_link_facts(linked, "site", "url", ["page_id"]).withColumn("domain", F.concat_ws(".", "domain_name", "domain_ext"))
+    known = spark.createDataFrame([(7, "partner.net")], "site_id int, domain string")
+    numbered = facts.withColumn("_rank", F.ascii(F.substring("domain", 1, 1)) * 256 + F.ascii(F.substring("domain", 2, 1)))
+    _, joined = sync.get_or_create_key(known, numbered, "domain", "site_id", "_rank")
+    return joined.select(
+        "site", "link_url", "page_url", "domain_name", "domain_ext", "link_base_url", F.col("site_id").alias("link_site_id"),
     )
-    return P.external_link_facts(linked, "site", "url", ["page_id"])
 
 
-def external_links(spark: SparkSession, sf: str) -> DataFrame:
-    """External links with the id of the linked site, new sites numbered after known ones."""
-    facts = _external_facts(spark, sf).withColumn("domain", F.concat("domain_name", F.lit("."), "domain_ext"))
-    known = spark.createDataFrame([(7, "example.com")], "site_id int, domain string")
-    numbered = facts.withColumn("_first", F.xxhash64("site").cast("double") * 0 + F.col("link_no"))
-    _, joined = sync.get_or_create_key(known, numbered, "domain", "site_id", "_first")
-    return joined.select("site", "link_url", "page_url", "domain_name", "domain_ext", "link_base_url", F.col("site_id").alias("link_site_id"))
+EXTERNAL_LINKS_SQL = f"""WITH {SITE_PAGES_SQL}, l AS (SELECT page_id, site, url, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS lang FROM site_pages),
+x AS (SELECT page_id, site, url, u.h AS link_url, u.pos AS pos FROM l, unnest([{{'h': 'https://shop.' || lang || '-news.org/a?x=1', 'pos': 0}}, {{'h': 'http://partner.net/p/' || page_id, 'pos': 1}}]) t(u)),
+f AS (SELECT site, link_url, min(page_id * 10 + pos) AS k, arg_min(url, page_id * 10 + pos) AS page_url FROM x GROUP BY 1, 2),
+c AS (SELECT *, regexp_extract(link_url, '//([^/]+)', 1) AS host FROM f QUALIFY row_number() OVER (PARTITION BY site ORDER BY k) <= 50),
+d AS (SELECT *, string_split(host, '.')[-2] AS domain_name, string_split(host, '.')[-1] AS domain_ext FROM c),
+n AS (SELECT domain_name || '.' || domain_ext AS dom, 7 + row_number() OVER (ORDER BY min(ascii(domain_name) * 256 + ascii(substr(domain_name, 2, 1))), domain_name || '.' || domain_ext) AS id
+  FROM d WHERE domain_name <> 'partner' GROUP BY 1, domain_name, domain_ext)
+SELECT site, link_url, page_url, domain_name, domain_ext, 'https://www.' || domain_name || '.' || domain_ext AS link_base_url,
+CAST(coalesce((SELECT id FROM n WHERE dom = domain_name || '.' || domain_ext), 7) AS INT) AS link_site_id FROM d"""
+
+
+def crawl_item_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Crawl, page, item and type joined, pages without issue kept; counted per site and type."""
+    pages = site_pages(spark, sf)
+    crawls = pages.groupBy(F.col("site").alias("website")).agg(F.min("page_id").alias("crawl_id"))
+    owned = pages.join(crawls, pages["site"] == crawls["website"]).select("page_id", "crawl_id")
+    types = item_types(spark)
+    only = _items(spark, sf).where("type_id = 5").select("page_id", "type_id")
+    rows = matching.crawl_items(crawls, owned, only, types)
+    return rows.groupBy("website", "type_name", "status_name").agg(F.count("*").alias("rows"))
+
+
+CRAWL_ITEM_ROWS_SQL = BASE_SQL + """ SELECT site AS website, type_name, status_name, count(*) AS rows FROM site_pages p
+LEFT JOIN (SELECT page_id, type_name, status_name FROM items JOIN types USING (type_id) WHERE type_id = 5) i USING (page_id) GROUP BY 1, 2, 3"""
+
+
+def frontier(spark: SparkSession, sf: str) -> DataFrame:
+    """Urls to visit: page links and sitemap guesses of every site, without the stored pages."""
+    pages = site_pages(spark, sf)
+    found = P.page_links(pages, ["page_id"], "site_url").where("is_internal").select("url")
+    guesses = pages.select(F.explode(F.array(*[F.concat("site_url", F.lit(x)) for x in ("/robots.txt", "/sitemap.xml")])).alias("url"))
+    return matching.frontier(found, guesses, visited=pages.select(U.normalize_url(F.col("url")).alias("url")))
+
+
+FRONTIER_SQL = f"""WITH {LINKS_SQL}, a AS (SELECT url FROM links WHERE is_internal UNION SELECT site_url || unnest(['/robots.txt', '/sitemap.xml']) FROM site_pages)
+SELECT url FROM a WHERE url NOT IN (SELECT site_url || regexp_replace(url, '^[a-z]+://[^/]+', '') FROM site_pages)"""
+
+
+def robots_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Robots and sitemap responses of every page's site, derived from the pages."""
+    pages = site_pages(spark, sf)
+    named = F.when(F.length("url") % 2 == 0, F.concat(F.lit("User-agent: *\r\n  Sitemap:  "), "site_url", F.lit("/map.xml \nSitemap: /second"))).otherwise(
+        F.concat(F.lit("User-agent: *\nsitemap: /lower\n# "), "url")
+    )
+    fetched = pages.select(
+        "page_id", "site_url", "status", named.alias("content"), F.explode(F.array(F.lit("robots"), F.lit("sitemap"))).alias("kind")
+    )
+    return P.robots_sitemap_items(fetched, ["page_id", "kind"], "site_url")
 
 
-_KIND = f"""CASE WHEN {sql_part('href', 4)} = {sql_part('url', 4)} THEN 'internal' WHEN contains(href, string_split({sql_part('url', 4)}, '.')[-2]) THEN 'own' ELSE 'external' END"""
-EXTERNAL_LINKS_SQL = None
+ROBOTS_ITEMS_SQL = f"""WITH {SITE_PAGES_SQL}, k AS (SELECT *, unnest(['robots', 'sitemap']) AS kind, length(url) % 2 = 0 AS has FROM site_pages)
+SELECT page_id, kind, CASE WHEN kind = 'robots' AND status = 200 AND NOT has THEN 'Sitemap Not Indicated in Robots.txt' WHEN kind = 'robots' AND status <> 200 THEN 'Robots.txt Not Found'
+WHEN kind = 'sitemap' AND status <> 200 THEN 'Sitemap Not Found' END AS item,
+CASE WHEN kind = 'robots' THEN CASE WHEN status = 200 AND has THEN site_url || '/map.xml' ELSE site_url || '/sitemap.xml' END END AS next_url FROM k"""
 
 
 QUERIES = {
@@ -425,6 +478,10 @@ QUERIES = {
     "site_keywords": site_keywords,
     "sitemap": sitemap,
     "normalized_urls": normalized_urls,
+    "external_links": external_links,
+    "crawl_item_rows": crawl_item_rows,
+    "frontier": frontier,
+    "robots_items": robots_items,
 }
 ORACLES = {
     "site_score": SITE_SCORE_SQL,
@@ -443,5 +500,8 @@ ORACLES = {
     "site_keywords": SITE_KEYWORDS_SQL,
     "sitemap": SITEMAP_SQL,
     "normalized_urls": NORMALIZED_URLS_SQL,
+    "external_links": EXTERNAL_LINKS_SQL,
+    "crawl_item_rows": CRAWL_ITEM_ROWS_SQL,
+    "frontier": FRONTIER_SQL,
+    "robots_items": ROBOTS_ITEMS_SQL,
 }
-_ = (matching, first_k_per_group, _KIND)

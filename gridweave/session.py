@@ -27,8 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder; never used twice."""
-    return f"{shared_folder(spark)}/gridweave/{uuid.uuid4().hex}/{name}"
+    """A new path under the shared folder; never used twice.
+
+    All paths of one application share a parent, which can go when it has ended.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/gridweave-{app}/{uuid.uuid4().hex}/{name}"
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

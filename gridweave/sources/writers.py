@@ -56,7 +56,8 @@ def full_refresh(source: DataFrame, columns: dict[str, str], order: str, now: Co
         return 0
     seen = Observation("full_refresh")
     rows = source.select(F.col(order).alias("_o"), *[F.col(c).alias(n) for c, n in columns.items()])
-    rows = rows.orderBy("_o").drop("_o").withColumn("synced_at", now).observe(seen, F.count(F.lit(1)).alias("rows"))
+    # The hash lets many rows with one sort value spread over several output ranges.
+    rows = rows.orderBy("_o", F.xxhash64(*rows.columns)).drop("_o").withColumn("synced_at", now).observe(seen, F.count(F.lit(1)).alias("rows"))
     rows.write.mode("errorifexists").parquet(f"{path}/version={version}")
     return seen.get["rows"]
 

@@ -136,7 +136,7 @@ scored AS (SELECT r.*, coalesce((ir - i0) / nullif(i1 - i0, 0), 0) * 1.0 + coale
   + coalesce((nr - n0) / nullif(n1 - n0, 0), 0) * 0.1 AS initial FROM rated r, lim),
 span AS (SELECT min(initial) lo, max(initial) hi FROM scored WHERE crawl_id IN (SELECT crawl_id FROM population))
 SELECT website, crawl_id, pages_crawled, issues, warnings, notices, information, round(initial, 6) AS initial_score,
-  round(least(greatest(1.0 - (initial - lo) / nullif(hi - lo, 0), 0.0), 1.0) * 100, 2) AS site_score FROM scored, span"""
+  CASE WHEN hi > lo THEN round(least(greatest(1.0 - (initial - lo) / (hi - lo), 0.0), 1.0) * 100, 2) END AS site_score FROM scored, span"""
 SITE_SCORE_SQL = BASE_SQL + """, crawls AS (SELECT site AS website, min(page_id) AS crawl_id, count(*) AS pages_crawled FROM site_pages GROUP BY site),
 owned AS (SELECT page_id, crawl_id FROM site_pages JOIN crawls ON site = website)""" + _SCORE_SQL.replace("{population}", "SELECT * FROM rated")
 

@@ -232,10 +232,10 @@ def _books(spark: SparkSession, sf: str):
     config = n.select("book", F.lit("Y").alias("compare"), F.lit("N").alias("main")).unionByName(
         spark.createDataFrame([("main", "Y", "Y"), ("idle", "N", "N")], "book string, compare string, main string")
     )
-    tab = lambda name, when: n.where(when).select("book", F.lit(name).alias("tab"))
-    tables = (
-        tab("customers", "true").unionByName(tab("parts", "n_nationkey % 2 = 0")).unionByName(tab("scratch", "n_nationkey % 3 = 0"))
-        .unionByName(spark.createDataFrame([("main", "customers"), ("main", "parts")], "book string, tab string"))
+    k = F.col("n_nationkey")
+    tabs = F.array(F.lit("customers"), F.when(k % 2 == 0, F.lit("parts")), F.when(k % 3 == 0, F.lit("scratch")))
+    tables = n.select("book", F.explode(F.array_compact(tabs)).alias("tab")).unionByName(
+        spark.createDataFrame([("main", "customers"), ("main", "parts")], "book string, tab string")
     )
     heads = F.array(F.lit("name"), F.when(F.col("n_nationkey") % 2 == 0, F.lit("segment")).otherwise(F.lit("Segment")), F.lit("balance"),
                     F.when(F.col("n_nationkey") % 5 == 0, F.lit("note")).otherwise(F.lit("")))

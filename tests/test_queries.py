@@ -39,16 +39,18 @@ def test_query(spark, duck, name):
     cur = duck.execute(entry.oracle_sql()[name])
     want, wcols = rows_of([d[0] for d in cur.description], cur.fetchall())
     assert cols == wcols and got == want
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
 
 
 @pytest.mark.parametrize(
     "name, pushed",
-    [("select_by_name", "GreaterThan(o_totalprice,400000.0)"), ("rejected_tasks", "LessThanOrEqual(p_size,10)")],
+    [("select_by_name", "GreaterThan(o_totalprice,400000.0)"), ("insert_if_absent", "EqualTo(l_returnflag,A)")],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert pushed in plan
-    assert "o_custkey" not in plan
+    assert "o_custkey" not in plan and "l_shipdate" not in plan
 
 
 def test_link_rows_do_not_carry_the_page(spark):

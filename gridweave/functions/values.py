@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Status labels shown for task states and their display classes.
@@ -33,6 +33,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
 
 
+def unfold(df: DataFrame, keep: list[str], array: Column, out: str, position: str | None = None) -> DataFrame:
+    """One row per array element, none for an empty array, the array computed once.
+
+    For a plain explode Spark adds a filter on the array's size and moves it down,
+    where it computes the array a second time; an outer explode gets no such filter.
+    """
+    rows = df.select(*keep, array.alias("_array")).select(*keep, F.posexplode_outer("_array").alias("_at", out))
+    rows = rows.where(F.col("_at").isNotNull())
+    return rows.withColumnRenamed("_at", position) if position else rows.drop("_at")
+
+
 def or_default(col: Column, default) -> Column:
     """``col`` unless it is null, blank or zero; then ``default``."""
     value = default if isinstance(default, Column) else F.lit(default)

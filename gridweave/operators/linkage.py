@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import common_subsequence, ratio_from_common
-from ..functions.values import let
+from ..functions.values import let, unfold
 from ..session import cut_lineage
 from .ordering import number_rows
 
@@ -67,7 +67,7 @@ def with_prefixes(profiles: DataFrame, weights: list[float], threshold: float) -
     """
     ps = [f"p{i}" for i in range(len(weights))]
     tokens = F.concat(*[_tokens(p, i) for i, p in enumerate(ps)])
-    filed = profiles.select("rep", "block", F.explode(tokens).alias("_t")).select("rep", "block", "_t.c", "_t.h")
+    filed = unfold(profiles, ["rep", "block"], tokens, "_t").select("rep", "block", "_t.c", "_t.h")
     common = filed.groupBy("block", "h").agg(F.count("*").alias("df"))
     # One row per profile; the list is as long as its own text.
     ranked = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import let
+from ..functions.values import let, unfold
 from ..session import broadcast_if_small, is_small
 
 # Fixed value: the item type used when no type name contains the issue text.
@@ -30,7 +30,7 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str, keys: DataFrame,
         return F.transform(start, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
 
     grams = F.flatten(F.array(*[substrings(n) for n in range(1, _GRAM + 1)]))
-    filed = low.select("_tid", F.explode(F.array_distinct(grams)).alias("_gram"))
+    filed = unfold(low, ["_tid"], F.array_distinct(grams), "_gram")
     # Candidates carry ids only; each text joins back once for the check.
     candidates = filed.join(wanted, "_gram").select("_tid", "_kid", "_key")
     hits = candidates.join(low, "_tid").where(F.contains("_text", "_key"))

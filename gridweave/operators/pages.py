@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import markup as M
 from ..functions import urls as U
 from ..functions.text import clean_text
+from ..functions.values import unfold
 from .matching import type_lookup
 from .ordering import first_k_per_group
 from .reshape import flags_to_items
@@ -44,9 +45,8 @@ def raw_links(pages: DataFrame, keep: list[str], html: str = "html") -> DataFram
     )
     # Everything is read off the markup before the explode, so no link row carries it.
     found = seen.select(*keep, F.when(first_base.isNotNull(), M.attribute(first_base, "href")).alias("base_href"), links.alias("_links"))
-    return found.select(*keep, "base_href", F.posexplode("_links").alias("position", "_l")).select(
-        *keep, "base_href", "position", F.col("_l.href").alias("href"), F.col("_l.rel").alias("rel")
-    )
+    rows = unfold(found, [*keep, "base_href"], F.col("_links"), "_l", "position")
+    return rows.select(*keep, "base_href", "position", F.col("_l.href").alias("href"), F.col("_l.rel").alias("rel"))
 
 
 def page_links(pages: DataFrame, keep: list[str], site_url: str, html: str = "html") -> DataFrame:
@@ -237,7 +237,7 @@ def top_keywords(texts: DataFrame, site: list[str], text: str = "text", top: int
     for n in range(2, longest + 1):
         tokens = NGram(n=n, inputCol="_w1", outputCol=f"_w{n}").transform(tokens)
     grams = F.concat(*[F.col(f"_w{n}") for n in range(1, longest + 1)])
-    counted = tokens.select(*site, F.explode(grams).alias("term")).groupBy(*site, "term").agg(F.count("*").alias("occurrence"))
+    counted = unfold(tokens, site, grams, "term").groupBy(*site, "term").agg(F.count("*").alias("occurrence"))
     blanks = F.length("term") - F.length(F.replace("term", F.lit(" "), F.lit("")))
     counted = counted.withColumn("word_count", (blanks + 1).cast("int"))
     order = [F.desc("occurrence"), F.desc("word_count"), F.asc("term")]

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import transaction_key
+from ..functions.values import transaction_key, unfold
 from .headers import quoted
 from .ordering import number_rows
 
@@ -62,7 +62,8 @@ def flatten_report(reports: DataFrame, report: str, titles: list[str], keep: lis
     top = F.col(f"{report}.Rows.Row")
 
     def data_cells(rows: Column) -> Column:
-        return F.transform(F.filter(rows, lambda r: r["type"] == "Data"), lambda r: r["ColData"])
+        none = F.array().cast(f"array<{_CELL}>")
+        return F.transform(F.filter(rows, lambda r: r["type"] == "Data"), lambda r: F.coalesce(r["ColData"], none))
 
     nested = F.flatten(
         F.transform(
@@ -70,13 +71,16 @@ def flatten_report(reports: DataFrame, report: str, titles: list[str], keep: lis
             lambda r: data_cells(r["Rows"]["Row"]),
         )
     )
+    def listed(arrays: Column) -> Column:
+        return F.coalesce(arrays, F.array().cast(f"array<array<{_CELL}>>"))
+
     # Title positions and cells are read off each report before the explode.
-    heads = reports.select(*keep, checked.alias("_heads"), F.concat(data_cells(top), nested).alias("_rows"))
+    heads = reports.select(*keep, checked.alias("_heads"), F.concat(listed(data_cells(top)), listed(nested)).alias("_rows"))
     at = F.array(*[F.array_position("_heads", t).cast("int") for t in titles])
-    cells = heads.select(*keep, at.alias("_at"), "_rows").select(*keep, "_at", F.explode("_rows").alias("_cells"))
+    cells = unfold(heads.withColumn("_columns", at), [*keep, "_columns"], F.col("_rows"), "_cells")
 
     def cell(i: int) -> Column:
-        value = F.when(F.col("_at")[i] > 0, F.get("_cells", F.col("_at")[i] - 1)["value"])
+        value = F.when(F.col("_columns")[i] > 0, F.get("_cells", F.col("_columns")[i] - 1)["value"])
         return F.coalesce(value, F.lit(""))
 
     flat = cells.select(*keep, *[cell(i).alias(t) for i, t in enumerate(titles)])
@@ -143,7 +147,7 @@ def explode_sections(outlines: DataFrame, outline: str, order: str | None = None
     parsed = outlines.select(*extra, F.from_json(F.col(outline), OUTLINE_SCHEMA).alias("o"))
     valid = parsed.where((F.col("o.chapter_number") != 0) & (F.size("o.sections") > 0))
     slim = valid.select(*extra, F.col("o.chapter_number").alias("chapter"), F.col("o.sections").alias("_s"))
-    rows = slim.select(*extra, "chapter", F.posexplode("_s").alias("position", "s"))
+    rows = unfold(slim, [*extra, "chapter"], F.col("_s"), "s", "position")
     named = rows.where(F.col("s.summary") != "").select(
         *extra,
         "chapter",
@@ -172,4 +176,4 @@ def flags_to_items(pages: DataFrame, keep: list[str], flags: list[str], status:
         F.array(*[F.struct(F.lit(f).alias("issue"), quoted(f).alias("flag")) for f in flags]), lambda x: x["flag"] == 1
     )
     rows = pages if status is None else pages.where(F.col(status) != 404)
-    return rows.select(*keep, F.explode(raised).alias("_i")).select(*keep, F.col("_i.issue").alias("issue"))
+    return unfold(rows, keep, raised, "_i").select(*keep, F.col("_i.issue").alias("issue"))

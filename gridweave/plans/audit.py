@@ -326,6 +326,31 @@ SELECT site, url AS loc, depth, '2024-01-20T00:00:00+00:00' AS lastmod, 'daily'
   CASE WHEN depth < 1 THEN '1.0000' WHEN depth < 10 THEN '0.9500' WHEN depth < 30 THEN '0.8000' ELSE '0.7500' END AS step_priority FROM best"""
 
 
+def sitemap_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The sitemap written as XML files and read back."""
+    from ..session import work_path
+    from ..sources.readers import read_sitemap
+    from ..sources.writers import write_sitemap
+
+    depths = crawl.crawl_depth(*_graph(spark, sf), max_urls=None)
+    path = work_path(spark, "sitemap")
+    write_sitemap(sitemap_entries(depths, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")), path)
+    return read_sitemap(spark, path)
+
+
+SITEMAP_FILES_SQL = SITEMAP_SQL[: SITEMAP_SQL.rindex("SELECT site, url AS loc")] + "SELECT DISTINCT url AS loc FROM best"
+
+
+def one_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """The website of the crawl that starts at page 0."""
+    pages = site_pages(spark, sf).select("site", "page_id")
+    crawls = pages.groupBy(F.col("site").alias("website")).agg(F.min("page_id").alias("crawl_id"), F.count("*").alias("pages"))
+    return matching.one_crawl(pages.select(F.col("site").alias("website")).distinct(), crawls, 0)
+
+
+ONE_CRAWL_SQL = f"WITH {SITE_PAGES_SQL} SELECT site AS website, min(page_id) AS crawl_id, count(*) AS pages FROM site_pages GROUP BY site HAVING min(page_id) = 0"
+
+
 def normalized_urls(spark: SparkSession, sf: str) -> DataFrame:
     """All URL rules over five spellings of every page url."""
     pages = table(spark, sf, "pages", True)
@@ -481,6 +506,8 @@ QUERIES = {
     "external_links": external_links,
     "crawl_item_rows": crawl_item_rows,
     "frontier": frontier,
+    "sitemap_files": sitemap_files,
+    "one_crawl": one_crawl,
     "robots_items": robots_items,
 }
 ORACLES = {
@@ -503,5 +530,7 @@ ORACLES = {
     "external_links": EXTERNAL_LINKS_SQL,
     "crawl_item_rows": CRAWL_ITEM_ROWS_SQL,
     "frontier": FRONTIER_SQL,
+    "sitemap_files": SITEMAP_FILES_SQL,
+    "one_crawl": ONE_CRAWL_SQL,
     "robots_items": ROBOTS_ITEMS_SQL,
 }

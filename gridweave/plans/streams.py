@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,28 @@ from .common import table
 NOW = "2024-01-20 00:00:00"
 
 
+@contextmanager
+def stream_settings(spark: SparkSession, **extra: str) -> Iterator[None]:
+    """Session settings of a stateful run, put back afterwards.
+
+    Every shuffle partition of a stateful stream is a state store with its own worker,
+    so there are at most two per core; on a large cluster the session's number stays.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    wanted = {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * cores)), **extra}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def event_stream(spark: SparkSession, sf: str, name: str = "events") -> DataFrame:
     schema = table(spark, sf, name).schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
@@ -49,7 +74,8 @@ def trigger_once(spark: SparkSession, sf: str) -> DataFrame:
     )
     once = on_trigger_once(edits, "event_id", "ts", {"Description": "event_type", "User": "user_id"}, "event_id")
     path = work_path(spark, "trigger")
-    run_available(once.select("event_id", "payload"), path, path + "_log")
+    with stream_settings(spark):
+        run_available(once.select("event_id", "payload"), path, path + "_log")
     return spark.read.parquet(path)
 
 
@@ -112,9 +138,7 @@ def cell_change_stream(spark: SparkSession, sf: str) -> DataFrame:
     """Stateful stream: users whose last event type changed from one ten-day run to the next."""
     path = _ten_days(spark, sf)
     out = work_path(spark, "changes")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    try:
+    with stream_settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
         for low in _CUTS[:-1]:
             stream = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string").option(
                 "pathGlobFilter", "*.parquet"
@@ -123,11 +147,6 @@ def cell_change_stream(spark: SparkSession, sf: str) -> DataFrame:
             seen = [c for c in _CUTS[:-1] if c <= low]
             source = stream.parquet(path + "/from={" + ",".join(seen) + "}")
             run_available(cell_changes(source, "user_id", "event_type", "event_id"), out, out + "_log")
-    finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return spark.read.parquet(out).select(F.col("key").cast("bigint").alias("user_id"), "old", "new", F.col("seq").alias("event_id"))
 
 

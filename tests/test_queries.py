@@ -9,6 +9,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import __spark_entry__ as entry  # noqa: E402
+from gridweave.plans import ORACLES, QUERIES  # noqa: E402
 from tools.verify import TABLES, rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -24,7 +25,8 @@ def duck():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -32,11 +34,11 @@ def test_entry(spark):
     assert df.count() > 0 and "site_score" in df.columns
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got, cols = rows_of(df.columns, df.collect())
-    cur = duck.execute(entry.oracle_sql()[name])
+    cur = duck.execute(ORACLES[name])
     want, wcols = rows_of([d[0] for d in cur.description], cur.fetchall())
     assert cols == wcols and got == want
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -48,17 +50,17 @@ def test_query(spark, duck, name):
     [("select_by_name", "GreaterThan(o_totalprice,400000.0)"), ("insert_if_absent", "EqualTo(l_returnflag,A)")],
 )
 def test_filters_reach_the_scan(spark, name, pushed):
-    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert pushed in plan
     assert "o_custkey" not in plan and "l_shipdate" not in plan
 
 
 def test_link_rows_do_not_carry_the_page(spark):
-    plan = entry.queries()["page_links"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["page_links"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     generate = next(line for line in plan.splitlines() if "Generate posexplode" in line)
     assert "html#" not in generate and "_m#" not in generate.split("), [")[-1]
 
 
 def test_top_k_is_cut_before_the_shuffle(spark):
-    plan = entry.queries()["site_keywords"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["site_keywords"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 15, Partial" in plan

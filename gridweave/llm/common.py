@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,24 +88,61 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return offsets - offsets[0], lists.values.slice(offsets[0], offsets[-1] - offsets[0])
 
 
-def words_of(texts: pa.Array, other: str = r"[^\pL\pN]+") -> tuple[np.ndarray, pa.Array]:
-    """Lower-case words of letters and digits: start of each text's words, and all words, dictionary-encoded."""
-    spaced = pc.utf8_trim(pc.replace_substring_regex(pc.utf8_lower(texts), other, " "), " ")
-    offsets, words = flat(pc.split_pattern(spaced, " "))
-    return without_empty(offsets, words)
+def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Each text cut at ASCII white space: start of each text, code of each piece, and the distinct pieces.
 
-
-def without_empty(offsets: np.ndarray, words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    full = np.asarray(pc.not_equal(words, ""), dtype=bool)
-    if not full.all():
-        before = np.concatenate([[0], np.cumsum(full)])
-        offsets, words = before[offsets], words.filter(pa.array(full))
-    return offsets, pc.dictionary_encode(words)
-
-
-def word_hashes(offsets: np.ndarray, words: pa.DictionaryArray) -> np.ndarray:
-    """A 64-bit hash of each word, computed once for each distinct word."""
-    import xxhash
-
-    each = np.fromiter((xxhash.xxh3_64_intdigest(w.as_py()) for w in words.dictionary), np.uint64, len(words.dictionary))
-    return each[np.asarray(words.indices, dtype=np.int64)] if len(words) else np.zeros(0, np.uint64)
+    Dear work on pieces is then done once for each distinct one.
+    """
+    for space in "\n\t\r\x0b\x0c":
+        texts = pc.replace_substring(texts, space, " ")
+    offsets, pieces = flat(pc.split_pattern(texts, " "))
+    if not len(pieces):
+        return offsets, np.zeros(0, np.int64), []
+    coded = pc.dictionary_encode(pieces)
+    whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+    distinct = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
+    return offsets, np.asarray(coded.indices, dtype=np.int64), distinct
+
+
+def spread_lists(offsets: np.ndarray, codes: np.ndarray, lists: list, kind) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of all pieces in order: start of each text, and the values."""
+    lens = np.fromiter(map(len, lists), np.int64, len(lists))
+    values = np.fromiter(chain.from_iterable(lists), kind, int(lens.sum()))
+    starts = np.concatenate([[0], np.cumsum(lens)])
+    taken = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(values)).take(pa.array(codes))
+    at = np.concatenate([[0], np.cumsum(lens[codes])])
+    _, out = flat(taken)
+    return at[offsets], np.asarray(out, dtype=kind)
+
+
+def token_hashes(texts: pa.Array, pattern: str = r"\w+", lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the tokens that ``pattern`` finds between white space: start of each text, and the hashes."""
+    from xxhash import xxh3_64_intdigest
+
+    offsets, codes, pieces = chunks_of(pc.utf8_lower(texts) if lower else texts)
+    known, find = worker_cache(f"tokens {pattern} {lower}", 300_000), re.compile(pattern).findall
+    lists = []
+    for p in pieces:
+        got = known.get(p)
+        if got is None:
+            got = known[p] = tuple(map(xxh3_64_intdigest, find(p)))
+        lists.append(got)
+    return spread_lists(offsets, codes, lists, np.uint64)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The distinct numbers in order; by sorting, which beats hashing for millions of them."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """A 64-bit hash of every run of ``size`` words; of all words if there are fewer, none without words."""
+    n = min(size, len(words))
+    if not n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(words) - n + 1, np.uint64)
+    for k in range(n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : len(words) - n + 1 + k]
+        out ^= out >> np.uint64(29)
+    return out

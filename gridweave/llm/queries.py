@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import archive, chat, near_vectors
+from . import archive, chat, decontaminate, language, near_text, near_vectors, quality
+from .common import in_fold
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -58,6 +59,40 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM s GROUP BY conv_id"""
 
 
+def op2_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    index = decontaminate.build_index(table(spark, sf, "benchmark"))
+    return decontaminate.find_leaks(table(spark, sf, "documents"), index)
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf: str) -> quality.QualityModel:
+    """Learned from the labels of ``docs`` outside fold 0 of 5."""
+    labels = table(spark, sf, "labels").where(~in_fold(F.col("doc_id"), 5, 0))
+    return quality.fit(docs, labels)
+
+
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality_model(spark, docs, sf))
+    return scored.select(
+        "doc_id", in_fold(F.col("doc_id"), 5, 0).alias("held_out"), "score", F.when(F.col("score") >= quality.KEEP_FROM, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op6_near_text(spark: SparkSession, sf: str) -> DataFrame:
+    return near_text.near_classes(table(spark, sf, "documents")).select("doc_id", "class_id", "kept")
+
+
+def language_model(docs: DataFrame) -> language.LanguageModel:
+    """Learned from the documents outside fold 1 of 3."""
+    return language.fit(docs.where(~in_fold(F.col("doc_id"), 3, 1)))
+
+
+def op7_language(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs, language_model(docs))
+    return found.select("doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op8_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf, "embeddings"))
 
@@ -101,6 +136,10 @@ FROM d"""
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_decontaminate": op2_decontaminate,
+    "op5_quality": op5_quality,
+    "op6_near_text": op6_near_text,
+    "op7_language": op7_language,
     "op8_near_vectors": op8_near_vectors,
     "op9_warc_archive": op9_warc_archive,
 }

@@ -114,9 +114,11 @@ def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text
 
 
 def keep(docs: DataFrame, model: LanguageModel, text: str = "text", margin: float = MARGIN) -> DataFrame:
-    """The rows, all columns unchanged, whose language is accepted."""
+    """The rows, all columns unchanged, whose language is accepted; all rows if the model knows no language."""
 
     def make():
+        if not model.dictionaries:
+            return lambda texts: np.ones(len(texts), bool)
         f = model.classifier()
         return lambda texts: [g >= margin for g in f(texts)[2]]
 

@@ -6,7 +6,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.linkage import connected_components
@@ -15,18 +15,21 @@ from .common import distinct, shingles, sliced, texts_of, token_hashes
 
 #: Words of a k-mer, and the least similarity of linked texts.
 SIZE, SIMILARITY = 5, 0.8
-# A sketch is 3 k-mers: two texts with similarity 0.8 share one sketch of a table with
-# probability 0.8^3, and one of 12 tables with more than 0.9998.
-KMERS, TABLES = 3, 12
-#: Members of a cell that lead a round of comparisons, round by round; then all that are left.
-LEADERS = (1, 8, 64)
+# (least k-mers, end, k-mers of a sketch, tables). Two texts with similarity 0.8 share one
+# sketch of 6 k-mers with probability 0.8^6, and one of 30 with 0.9998; short texts have
+# few k-mers, so they take sketches of 3, of which they share one of 12 with 0.998 or more.
+# Many k-mers a sketch keep apart texts that only share a line or a passage. The ranges
+# overlap by the ratio 0.8, so any two similar texts have tables in common.
+BANDS = ((1, 50, 3, 12), (40, None, 6, 30))
+#: Texts of a group that a task compares with as many others at a time.
+BLOCK = 512
 
 
-def sketches(words: np.ndarray, kmers: int = KMERS, tables: int = TABLES, size: int = SIZE) -> np.ndarray:
-    """One number for each table: its ``kmers`` smallest occurrence-labelled k-mers, hashed in their order in the text.
+def sketches(words: np.ndarray, bands=BANDS, size: int = SIZE) -> np.ndarray:
+    """One number for each table: its smallest occurrence-labelled k-mers, hashed in their order in the text.
 
-    A text with fewer words than ``size`` has one k-mer, one with fewer than ``kmers``
-    k-mers gives all of them; a text without words has no sketch.
+    A text with fewer words than ``size`` has one k-mer, one with fewer k-mers than a
+    sketch takes gives all of them; a text without words has no sketch.
     """
     g = shingles(words, size)
     if not len(g):
@@ -36,17 +39,22 @@ def sketches(words: np.ndarray, kmers: int = KMERS, tables: int = TABLES, size:
     nth = np.empty(len(g), np.uint64)
     nth[order] = np.arange(len(g)) - np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     labelled = (g ^ (nth * np.uint64(0xD6E8FEB86659FD93))) * np.uint64(0x9E3779B97F4A7C15)
-    seeds = np.random.default_rng(11).integers(1, 1 << 63, tables, dtype=np.uint64)
-    h = (labelled ^ (labelled >> np.uint64(31))) ^ seeds[:, None]
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
-    k = min(kmers, len(g))
-    at = np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1) if k < len(g) else np.tile(np.arange(k), (tables, 1))
-    out = seeds.copy()
-    for j in range(k):
-        out = (out ^ labelled[at[:, j]]) * np.uint64(0x94D049BB133111EB)
-        out ^= out >> np.uint64(32)
-    return out
+    labelled ^= labelled >> np.uint64(31)
+    all_seeds, out = np.random.default_rng(11).integers(1, 1 << 63, sum(b[3] for b in bands), dtype=np.uint64), []
+    for least, end, kmers, tables in bands:
+        seeds, all_seeds = all_seeds[:tables], all_seeds[tables:]
+        if len(g) < least or (end is not None and len(g) >= end):
+            continue
+        h = (labelled ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        k = min(kmers, len(g))
+        at = np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1) if k < len(g) else np.tile(np.arange(k), (tables, 1))
+        one = seeds.copy()
+        for j in range(k):
+            one = (one ^ labelled[at[:, j]]) * np.uint64(0x94D049BB133111EB)
+            one ^= one >> np.uint64(32)
+        out.append(one)
+    return np.concatenate(out)
 
 
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -102,10 +110,10 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY, size: int =
     return both >= least * (len(x) + len(y) - both) - 1e-9 and edit_distance(a, b, most) <= most
 
 
-def _digest(words: np.ndarray, text: str) -> str:
+def _digest(words: np.ndarray, text: str) -> bytes:
     """Equal for texts with the same words; a text without words has a digest of its characters."""
     data = b"w" + words.tobytes() if len(words) else b"t" + text.encode("utf-8", "replace")
-    return hashlib.sha256(data).hexdigest()[:32]
+    return hashlib.sha256(data).digest()[:14]
 
 
 def _read_words(batches):
@@ -118,7 +126,7 @@ def _read_words(batches):
 
 
 def near_classes(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, size: int = SIZE, kmers: int = KMERS, tables: int = TABLES
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = SIMILARITY, size: int = SIZE, bands: tuple = BANDS
 ) -> DataFrame:
     """(doc_id, class_id, text_key, kept) for each row.
 
@@ -132,11 +140,12 @@ def near_classes(
     ``text_key`` (a hash of the text) tells texts apart that come with the same id.
 
     Equal texts fold first, so copies cost one row each. Texts that share a sketch in
-    a table meet in a cell. Members of a cell are not all compared with each other:
-    the member that shares most cells leads first and is compared with the rest; then
-    the members outside the cell's largest class lead, a few more each round, until no
-    two members of a cell are in different classes and uncompared. No link between
-    classes is lost that way, and a cell of near copies costs about one comparison each.
+    a table meet in a cell. The member that shares most cells leads the cell, and each
+    member is compared with it: that finds the classes around a centre at one
+    comparison a text. The cells of one leader make a group. In groups that still span
+    several classes, the texts outside the largest class are compared with all texts of
+    the group, block against block, so every two texts of a cell that are not in one
+    class already have been compared; blocks give links only, not pairs.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     body = F.col(f"`{text}`").cast("string")
@@ -144,42 +153,40 @@ def near_classes(
 
     def sketch(batches):
         for b, digests, words in _read_words(batches):
-            rows = [sketches(w, kmers, tables, size).view(np.int64) for w in words]
+            rows = [sketches(w, bands, size).view(np.int64) for w in words]
             lens = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_key"), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(lens), pa.array(flat))],
-                names=["doc_id", "text_key", "node", "sketch"],
+                [
+                    b.column("doc_id"),
+                    b.column("text_key"),
+                    pa.array(digests, pa.binary()),
+                    pa.array([max(1, len(w) - size + 1) for w in words], pa.int32()),
+                    pa.ListArray.from_arrays(pa.array(lens), pa.array(flat)),
+                ],
+                names=["doc_id", "text_key", "node", "n", "sketch"],
             )
 
-    rows = cut_lineage(slim.mapInArrow(sketch, f"doc_id {kind}, text_key bigint, node string, sketch array<bigint>"))
+    rows = cut_lineage(slim.mapInArrow(sketch, f"doc_id {kind}, text_key bigint, node binary, n int, sketch array<bigint>"))
     row_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min(row_id).alias("first"), F.min("sketch").alias("sketch")))
-    filed = nodes.select("node", F.posexplode("sketch").alias("t", "s")).select("node", F.xxhash64("t", "s").alias("cell"))
-    full = filed.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min(row_id).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+    filed = nodes.select("node", "n", F.explode("sketch").alias("cell"))
+    full = filed.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1")
     filled = cut_lineage(filed.join(full, "cell"))
-    weight = filled.groupBy("node").agg(F.sum("n").alias("weight"))
-    order = Window.partitionBy("cell").orderBy(F.desc("weight"), "node")
-    members = cut_lineage(filled.select("cell", "node").join(weight, "node").withColumn("place", F.row_number().over(order)).select("cell", "node", "place"))
+    weight = filled.groupBy("node").agg(F.sum("held").alias("weight"))
+    weighed = filled.select("cell", "node").join(weight, "node")
+    lead = weighed.groupBy("cell").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
+    groups = cut_lineage(weighed.select("cell", "node").join(lead, "cell").select("lead", "node").distinct())
     words = cut_lineage(_words_of(slim, weight.join(nodes, "node").select("node", "first.doc_id", "first.text_key")))
 
-    links, compared, roots = None, None, None
-    for most in _leader_bounds():
-        pairs = _pairs_to_compare(members, roots, most)
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
-        if pairs.limit(1).count() == 0:
-            if most is None or roots is None:
-                break
-            continue
-        found = cut_lineage(_compare(pairs, words, least, size))
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        roots = cut_lineage(connected_components(links, "a", "b"))
+    stars = cut_lineage(_compare(groups.where("lead <> node"), words, least, size))
+    roots = cut_lineage(connected_components(stars, "lead", "node"))
+    rest = cut_lineage(_compare_blocks(groups, roots, words, least, size))
+    if rest.limit(1).count():
+        roots = connected_components(stars.unionByName(rest), "lead", "node")
 
     placed = nodes.select("node", "first")
-    placed = placed.withColumn("component", F.col("node")) if roots is None else placed.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = placed.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = placed.groupBy("component").agg(F.min("first").alias("head"))
     known = placed.join(names, "component").select("node", "head")
     # Copies of one text may be many: they are the left side, which Spark can split.
@@ -191,13 +198,6 @@ def near_classes(
     )
 
 
-def _leader_bounds():
-    """Places up to which members lead, round by round; None for all, again and again until nothing is left."""
-    yield from LEADERS
-    while True:
-        yield None
-
-
 def _words_of(slim: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, words) of the texts that are to be compared, each read from one of its rows."""
 
@@ -207,41 +207,81 @@ def _words_of(slim: DataFrame, wanted: DataFrame) -> DataFrame:
 
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.text_key") == F.col("w.text_key"))
     rows = slim.alias("d").join(wanted.alias("w"), same).select("text", "node").dropDuplicates(["node"])
-    return rows.mapInArrow(read, "node string, words binary")
+    return rows.mapInArrow(read, "node binary, words binary")
 
 
-def _pairs_to_compare(members: DataFrame, roots: DataFrame | None, most: int | None) -> DataFrame:
-    """(a, b) with a < b: each leader of a cell with the members of the cell that are in other classes.
+def _compare(pairs: DataFrame, words: DataFrame, least: float, size: int) -> DataFrame:
+    """The pairs (lead, node) of similar texts. A leader has many pairs, so its words join last, from the side that isn't split."""
 
-    Without classes so far, the first ``most`` members of a cell lead; later those of them
-    that are not in the cell's largest class (all members, if ``most`` is None).
-    """
-    able = members if most is None else members.where(F.col("place") <= most)
-    if roots is None:
-        at = members.withColumn("root", F.col("node"))
-        leaders = able.select("cell", F.col("node").alias("lead"), F.col("node").alias("lead_root"))
-    else:
-        at = members.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node"))
-        open_cells = at.groupBy("cell").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("cell")
-        at = cut_lineage(at.join(open_cells, "cell").select("cell", "node", "place", "root"))
-        main = at.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-        led = at.join(main, "cell").where("root <> main")
-        leaders = (led if most is None else led.where(F.col("place") <= most)).select("cell", F.col("node").alias("lead"), F.col("root").alias("lead_root"))
-    met = at.select("cell", "node", "root").join(leaders, "cell").where("root <> lead_root")
-    return met.select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct()
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
     def check(batches):
         for b in batches:
             good = [
                 similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least, size)
                 for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist())
             ]
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            yield b.select(["lead", "node"]).filter(pa.array(good, pa.bool_()))
+
+    near = pairs.join(words.select("node", F.col("words").alias("y")), "node")
+    both = near.join(words.select(F.col("node").alias("lead"), F.col("words").alias("x")), "lead")
+    return both.select("lead", "node", "x", "y").mapInArrow(check, "lead binary, node binary")
 
-    side = lambda name, words: texts.select(F.col("node").alias(name), F.col("words").alias(words))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(check, "a string, b string")
+
+def _compare_blocks(groups: DataFrame, roots: DataFrame, words: DataFrame, least: float, size: int) -> DataFrame:
+    """Links (lead, node) between classes of one group: the texts outside its largest class against all of them.
+
+    The former come in blocks and so do the latter; a task has one block of each. A
+    group of one block, as nearly all are, sends each of its texts to one task once or twice.
+    """
+    at = groups.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
+    open_groups = at.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("lead")
+    at = cut_lineage(at.join(open_groups, "lead"))
+    main = at.groupBy("lead", "root").agg(F.count("*").alias("held")).groupBy("lead").agg(
+        F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("inside")
+    )
+    order = Window.partitionBy("lead").orderBy((F.col("root") == F.col("main")), "node")
+    placed = at.join(main, "lead").withColumn("place", ((F.row_number().over(order) - 1) / BLOCK).cast("int"))
+    last = lambda n: F.floor((n - 1) / BLOCK).cast("int")
+    outside = placed.where("root <> main").select(
+        "lead", "node", "root", F.col("place").alias("o"), F.explode(F.sequence(F.lit(0), last(F.col("all")))).alias("c"), F.lit(True).alias("asks")
+    )
+    every = placed.select(
+        "lead", "node", "root", F.explode(F.sequence(F.lit(0), last(F.col("all") - F.col("inside")))).alias("o"), F.col("place").alias("c"), F.lit(False).alias("asks")
+    )
+    rows = outside.unionByName(every).join(words, "node").select("lead", "o", "c", "asks", "node", "root", "words")
+
+    def check(table: pa.Table) -> pa.Table:
+        asks = np.asarray(table.column("asks"))
+        side = lambda of: list(zip(*[table.filter(pa.array(of)).column(c).to_pylist() for c in ("node", "root", "words")]))
+        return pa.table(dict(zip(("lead", "node"), map(pa.array, _links(side(asks), side(~asks), least, size), [pa.binary()] * 2))))
+
+    return rows.groupBy("lead", "o", "c").applyInArrow(check, "lead binary, node binary").distinct()
+
+
+def _links(left: list, right: list, least: float, size: int, columns: int = 4096) -> tuple[list, list]:
+    """Similar texts of different classes. Shared shingles are counted as products of 0/1 matrices, some shingles at a time."""
+    a, b = [[distinct(shingles(np.frombuffer(r[2], np.uint64), size)) for r in rows] for rows in (left, right)]
+    if not a or not b:
+        return [], []
+    shared = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    counts = np.zeros((len(a), len(b)), np.float32)
+
+    def ones(lists: list, cut: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(lists), len(cut)), np.float32)
+        for i, x in enumerate(lists):
+            k = np.minimum(np.searchsorted(cut, x), len(cut) - 1)
+            out[i, k[cut[k] == x]] = 1
+        return out
+
+    for s in range(0, len(shared), columns):
+        cut = shared[s : s + columns]
+        counts += ones(a, cut) @ ones(b, cut).T
+    n, m = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    able = counts >= least * (n[:, None] + m[None, :] - counts) - 1e-3
+    links = []
+    for i, j in np.argwhere(able).tolist():
+        if left[i][1] != right[j][1] and similar(np.frombuffer(left[i][2], np.uint64), np.frombuffer(right[j][2], np.uint64), least, size):
+            links.append((left[i][0], right[j][0]))
+    return [x for x, _ in links], [y for _, y in links]
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at a time.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 12 << 20
 
 
 def fold(doc_id: Column, folds: int) -> Column:

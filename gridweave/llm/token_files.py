@@ -22,7 +22,9 @@ SELECTORS = (
 )
 BLOCK_IDS = 4096
 #: Ids of a file at most; a longer document is a file alone. Bytes of text of a shard, about.
-FILE_IDS, SHARD_BYTES = 4_000_000, 32 << 20
+FILE_IDS, SHARD_BYTES = 250_000, 32 << 20
+#: Pieces that a worker keeps encoded.
+CACHED = 200_000
 #: Shards at most; beyond, shards have more files.
 SHARDS = 20_000
 _HEAD = "<4sIIIQQQ"
@@ -132,22 +134,29 @@ def encode(docs: DataFrame, load: Callable, end_id: int, shards: int, bounds: np
 
     Texts are cut at ASCII white space, of which the tokenizer keeps nothing, and each
     distinct piece is encoded by the library once for a worker, as far as its bounded
-    cache reaches. Closing marks are encoded apart from an ASCII word before them, as the
-    tokenizer parts them too.
+    cache reaches. Closing marks are encoded apart from a word before them, as the
+    tokenizer parts them too; a word of ASCII letters alone, which normalizing and
+    splitting leave whole, goes to the library's model at once.
     """
 
     def run(batches):
         tokenizer = load()
-        known = worker_cache("token pieces", 400_000)
+        known, model = worker_cache("token pieces", CACHED), tokenizer.model
 
         def add(pieces: list[str]) -> None:
-            for p, e in zip(pieces, tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
+            rest = []
+            for p in pieces:
+                if p.isascii() and p.isalpha():
+                    known[p] = tuple([t.id for t in model.tokenize(p)])
+                else:
+                    rest.append(p)
+            for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
                 known[p] = tuple(e.ids)
 
         for b in sliced(batches, "text"):
             offsets, codes, pieces = chunks_of(texts_of(b, "text"))
             parts = [_stem(p) for p in pieces]
-            if len(known) > 400_000:
+            if len(known) > CACHED:
                 known.clear()
             missing = list({x for pair in parts for x in pair if x not in known})
             for i in range(0, len(missing), 10_000):
@@ -164,11 +173,11 @@ def encode(docs: DataFrame, load: Callable, end_id: int, shards: int, bounds: np
 
 
 def _stem(piece: str) -> tuple[str, str]:
-    """A piece without its closing marks, and these: only for ASCII words, whose case is folded here already."""
+    """A word of letters and its closing marks; any other piece as it is. Case is folded where that is plain."""
     stem = piece.rstrip(".,;:!?")
-    if len(stem) < len(piece) and stem.isascii() and stem.isalpha():
-        return stem.lower(), piece[len(stem) :]
-    return (piece.lower(), "") if piece.isascii() else (piece, "")
+    if stem.isalpha():
+        return (stem.lower() if stem.isascii() else stem), piece[len(stem) :]
+    return (piece.lower() if piece.isascii() else piece), ""
 
 
 def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:

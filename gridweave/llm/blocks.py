@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from .common import flat
 
 #: Words of a block at most; a longer document is a block alone.
-BLOCK_WORDS = 12_000_000
+BLOCK_WORDS = 4_000_000
 
 
 @dataclass

@@ -80,29 +80,29 @@ def fold_merges(word: Column, find) -> Column:
     """The ids of a word given the ids of its bytes: merge the leftmost pair of lowest rank until none merges.
 
     The state is one number for each id, behind a start mark: the rank with its
-    successor, then 20 bits of the id. A merge looks up the two ranks that it changes.
+    successor, 16 bits of the place in the word, 20 bits of the id. The smallest number
+    is the next merge, which looks up the two ranks that it changes.
     """
     id_of = lambda x: x.bitwiseAND(F.lit((1 << 20) - 1))
-    ranked = lambda x, after: F.shiftleft(find(x, after), 20).bitwiseOR(x)
+    low = lambda x: x.bitwiseAND(F.lit((1 << 36) - 1))
+    ranked = lambda x, rank: F.shiftleft(rank, 36).bitwiseOR(x)
     named = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def merge(t: Column, best: Column) -> Column:
-        at, merged = best.bitwiseAND(F.lit(65535)).cast("int"), F.shiftright(best, 16)
-        rest = F.filter(t, lambda x, i: i != at + 1)
-        new = F.transform(
-            rest,
-            lambda x, i: F.when(i < at - 1, x)
-            .when(i > at, x)
-            .when(i < at, ranked(id_of(x), merged))
-            .otherwise(ranked(merged, id_of(F.get(t, at + 2)))),
-        )
-        return F.when(best < F.lit(_NONE << 16), new).otherwise(t)
-
-    lowest = lambda t: F.array_min(F.transform(t, lambda x, i: F.shiftleft(F.shiftright(x, 20), 16).bitwiseOR(i)))
+    def merge(t: Column, best: Column, at: Column) -> Column:
+        merged = F.shiftright(best, 36)
+        place = low(best) - id_of(best)
+        before = named(low(F.get(t, at - 2)), lambda x: ranked(x, find(id_of(x), merged)))
+        after = ranked(place + merged, find(merged, id_of(F.get(t, at + 1))))
+        return F.concat(F.slice(t, F.lit(1), at - 2), F.array(before, after), F.slice(t, at + 2, F.size(t)))
+
+    def step(t: Column) -> Column:
+        next_ = lambda best: named(F.array_position(t, best).cast("int"), lambda at: merge(t, best, at))
+        return named(F.array_min(t), lambda best: F.when(best < F.lit(_NONE << 36), next_(best)).otherwise(t))
+
     marked = F.concat(F.array(F.lit(_START - 1).cast("bigint")), word)
-    begin = named(marked, lambda t: F.transform(t, lambda x, i: ranked(x, F.get(t, i + 1))))
+    begin = named(marked, lambda t: F.transform(t, lambda x, i: ranked(F.shiftleft(i.cast("bigint"), 20).bitwiseOR(x), find(x, F.get(t, i + 1)))))
     rounds = F.sequence(F.lit(1), F.greatest(F.size(word) - 1, F.lit(1)))
-    folded = F.aggregate(rounds, begin, lambda t, _: named(lowest(t), lambda best: merge(t, best)))
+    folded = F.aggregate(rounds, begin, lambda t, _: step(t))
     return F.transform(F.filter(folded, lambda x, i: i > 0), lambda x: id_of(x).cast("int"))
 
 

@@ -68,14 +68,15 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
     Each language gives the ``sample_docs`` documents whose ids have the smallest
     hashes, at most ``DOC_BYTES`` of each: a bounded sample of its texts, which is all
-    that the driver gathers. Ids are picked on slim rows with a limit before the shuffle.
+    that the driver gathers. Ids are picked on slim rows, each task keeping no more than the sample before the
+    shuffle; repeated rows of an id take as many places and teach once.
     Rows with a null id, a null or empty text teach nothing; more than
     ``max_languages`` values of the language column are an error.
     """
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"))
     known = slim.where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
+    picked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
     parts = F.substring(F.encode(F.lower("text"), "UTF-8"), 1, DOC_BYTES).alias("part")
     rows = (
         known.select("doc_id", "lang", parts)

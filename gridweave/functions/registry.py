@@ -15,7 +15,8 @@ from .text import build_prompt, parse_typed, row_to_text
 SQL_FUNCTIONS = {
     "gw_word_count(t STRING) RETURNS INT": "size(filter(split(t, '\\\\s+'), w -> w <> ''))",
     "gw_column_letter(n INT) RETURNS STRING":
-        "CASE WHEN n < 26 THEN char(n % 26 + 65) ELSE concat(char(floor((n - 26) / 26) % 26 + 65), char(n % 26 + 65)) END",
+        "CASE WHEN n < 26 THEN char(n + 65) WHEN n < 702 THEN concat(char((n - 26) div 26 + 65), char(n % 26 + 65)) "
+        "ELSE concat(char((n - 702) div 676 % 26 + 65), char((n - 702) div 26 % 26 + 65), char(n % 26 + 65)) END",
     "gw_first_text(a STRING, b STRING) RETURNS STRING": "coalesce(nullif(a, ''), nullif(b, ''))",
     "gw_resource_id(t STRING) RETURNS STRING": "split_part(t, '/', 2)",
     "gw_email(a STRING, b STRING) RETURNS STRING":

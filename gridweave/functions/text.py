@@ -36,7 +36,9 @@ def word_count(col: Column) -> Column:
 
 def text_quality(text: Column, target: Column, actual: Column) -> Column:
     """0-100: base 80, plus or minus length fit, dialogue, paragraphs and sense words."""
-    ratio = F.try_divide(actual.cast("double"), target.cast("double"))
+    # Anything over a target of 0 is far too long; nothing over it has no ratio.
+    beyond = F.when((target == 0) & (actual > 0), F.lit(float("inf")))
+    ratio = F.coalesce(beyond, F.try_divide(actual.cast("double"), target.cast("double")))
     fit = (
         F.when(ratio.between(0.9, 1.1), 10)
         .when(ratio.between(0.8, 1.2), 5)
@@ -79,7 +81,7 @@ def valid_email(col: Column) -> Column:
     return F.coalesce(col.rlike(WHOLE_EMAIL), F.lit(False))
 
 
-def clean_text(col: Column, keep_spaces: bool = True, max_chars: int | None = 2500) -> Column:
+def clean_text(col: Column, keep_spaces: bool = True, max_chars: int | None = None) -> Column:
     """ASCII letters and digits (and spaces) only, cut to ``max_chars`` when given."""
     kept = F.regexp_replace(col, r"[^A-Za-z0-9 ]" if keep_spaces else r"[^A-Za-z0-9]", "")
     return kept if max_chars is None else F.substring(kept, 1, max_chars)

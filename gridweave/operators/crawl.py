@@ -9,7 +9,7 @@ from ..session import cut_lineage
 from .ordering import first_k_per_group
 
 
-def crawl_depth(edges: DataFrame, roots: DataFrame, max_urls: int | None = 500, max_rounds: int = 1000) -> DataFrame:
+def crawl_depth(edges: DataFrame, roots: DataFrame, max_urls: int | None = None, max_rounds: int = 1000) -> DataFrame:
     """Breadth-first depth of every url reachable from its site's roots.
 
     ``edges`` has site, src, dst; ``roots`` has site, url. Each round joins only the
@@ -29,6 +29,8 @@ def crawl_depth(edges: DataFrame, roots: DataFrame, max_urls: int | None = 500,
         if newest.limit(1).count() == 0:
             break
         visited = cut_lineage(visited.unionByName(newest))
+    else:
+        raise RuntimeError(f"urls are still being found after {max_rounds} rounds")
     if max_urls is None:
         return visited
     return first_k_per_group(visited, ["site"], ["depth", "url"], max_urls, "_no").drop("_no")

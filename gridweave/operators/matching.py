@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import let, unfold
-from ..session import broadcast_if_small, is_small
+from ..session import broadcast_if_small
 
 # Fixed value: the item type used when no type name contains the issue text.
 UNKNOWN_ITEM_TYPE = 21
@@ -40,40 +40,29 @@ def contained_pairs(texts: DataFrame, text_id: str, text: str, keys: DataFrame,
 def first_keyword_match(events: DataFrame, event_id: str, title: str, clients: DataFrame, out: str = "client") -> DataFrame:
     """First client in list order whose keyword is in the title, ignoring case; else blank.
 
-    ``clients`` has the columns client, keyword, position. A client list of checked
-    size travels as one sorted array, so events need no shuffle; a longer list goes
-    through :func:`contained_pairs`.
+    ``clients`` has the columns client, keyword, position; equal positions go by
+    keyword, then client. The list travels as one sorted array with every task, whatever
+    its length, so it must fit in a row; events are not shuffled and their ids may repeat.
     """
     usable = clients.where(F.coalesce(F.col("keyword"), F.lit("")) != "")
-    if is_small(usable, max_rows=2_000):
-        listed = usable.agg(
-            F.array_sort(F.collect_list(F.struct("position", F.lower("keyword").alias("keyword"), "client"))).alias("l")
-        ).scalar()
-        hits = let(F.lower(title), lambda low: F.filter(F.col("_clients"), lambda c: F.contains(low, c["keyword"])))
-        hit = F.get(hits, F.lit(0))["client"]
-        return events.withColumn("_clients", listed).withColumn(out, F.coalesce(hit, F.lit(""))).drop("_clients")
-    pairs = contained_pairs(events, event_id, title, usable, "position", "keyword")
-    best = pairs.groupBy(event_id).agg(F.min("position").alias("position"))
-    named = best.join(usable.select("position", F.col("client").alias(out)), "position").drop("position")
-    return events.join(named, event_id, "left").withColumn(out, F.coalesce(out, F.lit("")))
+    listed = usable.agg(
+        F.array_sort(F.collect_list(F.struct("position", F.lower("keyword").alias("keyword"), "client"))).alias("l")
+    ).scalar()
+    hits = let(F.lower(title), lambda low: F.filter(F.col("_clients"), lambda c: F.contains(low, c["keyword"])))
+    hit = F.get(hits, F.lit(0))["client"]
+    return events.withColumn("_clients", listed).withColumn(out, F.coalesce(hit, F.lit(""))).drop("_clients")
 
 
 def type_lookup(items: DataFrame, issue: str, types: DataFrame, out: str = "type_id") -> DataFrame:
     """Highest id of the types whose name contains the issue text, ignoring case; else 21.
 
-    ``types`` has type_id and type_name. Items are matched by their distinct issue
-    texts, so the containment work does not grow with the number of items.
+    ``types`` has type_id and type_name; it travels as one array, whatever its length, so
+    it must fit in a row. A blank issue is contained in every name.
     """
-    if is_small(types, max_rows=2_000):
-        listed = types.agg(F.collect_list(F.struct("type_id", F.lower("type_name").alias("name"))).alias("l")).scalar()
-        hits = let(F.lower(issue), lambda low: F.filter(F.col("_types"), lambda t: F.contains(t["name"], low)))
-        best = F.coalesce(F.array_max(hits["type_id"]), F.lit(UNKNOWN_ITEM_TYPE))
-        return items.withColumn("_types", listed).withColumn(out, best.cast("int")).drop("_types")
-    issues = items.select(F.col(issue).alias("_issue")).distinct()
-    pairs = contained_pairs(types, "type_id", "type_name", issues, "_issue", "_issue")
-    best = pairs.groupBy("_issue").agg(F.max("type_id").alias(out))
-    found = items.join(best, items[issue] == best["_issue"], "left").drop("_issue")
-    return found.withColumn(out, F.coalesce(out, F.lit(UNKNOWN_ITEM_TYPE)).cast("int"))
+    listed = types.agg(F.collect_list(F.struct("type_id", F.lower("type_name").alias("name"))).alias("l")).scalar()
+    hits = let(F.lower(issue), lambda low: F.filter(F.col("_types"), lambda t: F.contains(t["name"], low)))
+    best = F.coalesce(F.array_max(hits["type_id"]), F.lit(UNKNOWN_ITEM_TYPE))
+    return items.withColumn("_types", listed).withColumn(out, best.cast("int")).drop("_types")
 
 
 def mention_join(sections: DataFrame, section_id: str, listed: str, characters: DataFrame, name: str) -> DataFrame:

@@ -36,6 +36,10 @@ SITEMAP_NOT_FOUND = "Sitemap Not Found"
 BROKEN_LINK = "Broken Link"
 
 
+#: A row number that no group reaches.
+ALL_ROWS = (1 << 31) - 1
+
+
 def raw_links(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """One row per ``<a>`` with its position, href and rel."""
     seen = pages.select(*keep, M.visible_markup(F.col(html)).alias("_m"))
@@ -196,9 +200,9 @@ def check_site_links(site: DataFrame, statuses: DataFrame, crawl: list[str]) ->
     )
 
 
-def unchecked_links(site: DataFrame, crawl: list[str], order: list[str], cap: int = 500) -> DataFrame:
-    """The first ``cap`` links of each crawl that were not analysed yet."""
-    return first_k_per_group(site.where(~F.col("is_analyzed")), crawl, order, cap)
+def unchecked_links(site: DataFrame, crawl: list[str], order: list[str], cap: int | None = None) -> DataFrame:
+    """The links of each crawl that were not analysed yet, numbered; the first ``cap`` when that is given."""
+    return first_k_per_group(site.where(~F.col("is_analyzed")), crawl, order, ALL_ROWS if cap is None else cap)
 
 
 def broken_links(links: DataFrame, site: DataFrame, page: list[str], crawl: list[str]) -> DataFrame:
@@ -208,7 +212,7 @@ def broken_links(links: DataFrame, site: DataFrame, page: list[str], crawl: list
     return distinct_links.join(bad, [*crawl, "url"])
 
 
-def page_text(pages: DataFrame, keep: list[str], html: str = "html", max_elements: int | None = 100) -> DataFrame:
+def page_text(pages: DataFrame, keep: list[str], html: str = "html", max_elements: int | None = None) -> DataFrame:
     """Description contents, then paragraph texts, joined by a blank.
 
     Every ``meta`` counts toward ``max_elements``; None takes all elements.
@@ -244,8 +248,8 @@ def top_keywords(texts: DataFrame, site: list[str], text: str = "text", top: int
     return first_k_per_group(counted, site, order, top, "row_no")
 
 
-def external_link_facts(pages: DataFrame, site_col: str, page_url: str, order: list[str], html: str = "html", cap: int = 50) -> DataFrame:
-    """First ``cap`` distinct external links per site with the target's domain parts.
+def external_link_facts(pages: DataFrame, site_col: str, page_url: str, order: list[str], html: str = "html", cap: int | None = None) -> DataFrame:
+    """Distinct external links per site (the first ``cap`` when that is given) with the target's domain parts.
 
     Relative hrefs (no ``http`` anywhere) hang on the page url. Discovery order is
     ``order`` then the position on the page.
@@ -259,7 +263,7 @@ def external_link_facts(pages: DataFrame, site_col: str, page_url: str, order: l
     first = links.groupBy(site_col, F.col("href").alias("link_url")).agg(
         F.min(F.struct(*order, "position", F.col(page_url).alias("page_url"))).alias("_f")
     )
-    capped = first_k_per_group(first, [site_col], ["_f", "link_url"], cap, "link_no")
+    capped = first_k_per_group(first, [site_col], ["_f", "link_url"], ALL_ROWS if cap is None else cap, "link_no")
     name, ext, base = U.domain_parts(F.col("link_url"))
     return capped.select(
         site_col, "link_no", "link_url", F.col("_f.page_url").alias("page_url"),

@@ -105,28 +105,30 @@ def get_or_create_key(
     """Natural key (trimmed, lower case) to id.
 
     Unknown names get the ids after the highest one, in order of their first
-    appearance. Returns the grown dimension and ``names`` with the id joined.
+    appearance. Returns the grown dimension and ``names`` with the id joined. Names
+    of the dimension are cleaned for the comparison; of several that clean to one
+    name, the smallest id counts.
     Only new distinct names are numbered, in ranges, so no task sees them all.
     """
     clean = F.lower(F.trim(quoted(name)))
     asked = names.withColumn("_name", clean)
     first_seen = asked.where(F.col("_name").isNotNull()).groupBy("_name").agg(F.min(order).alias("_first"))
-    new = first_seen.join(dim.select(quoted(name).alias("_name")), "_name", "left_anti")
+    held = dim.select(clean.alias("_name"), quoted(key).alias("_key")).groupBy("_name").agg(F.min("_key").alias("_key"))
+    new = first_seen.join(held, "_name", "left_anti")
     top = dim.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
     numbered = number_rows(new, ["_first", "_name"], row_no="_no")
     added = numbered.select(
         (F.col("_no") + top.scalar()).cast(dim.schema[key].dataType).alias(key), F.col("_name").alias(name)
     )
     grown = dim.select(key, name).unionByName(added)
-    looked_up = asked.join(
-        grown.select(quoted(name).alias("_name"), quoted(key)), "_name", "left"
-    ).drop("_name")
+    ids = held.unionByName(added.select(quoted(name).alias("_name"), quoted(key).alias("_key")))
+    looked_up = asked.join(ids, "_name", "left").drop("_name").withColumnRenamed("_key", key)
     return grown, looked_up
 
 
-def slot_upsert(target: DataFrame, rows: DataFrame, keys: list[str], slot: str, order: str, slots: int = 15) -> DataFrame:
-    """Set the value of (owner, slot), insert a new slot; slots above the limit are dropped."""
-    return upsert(target, rows.where(F.col(slot) <= slots), [*keys, slot], order)
+def slot_upsert(target: DataFrame, rows: DataFrame, keys: list[str], slot: str, order: str, slots: int | None = None) -> DataFrame:
+    """Set the value of (owner, slot), insert a new slot; only slots up to ``slots`` when that is given."""
+    return upsert(target, rows if slots is None else rows.where(F.col(slot) <= slots), [*keys, slot], order)
 
 
 def latest_text_upsert(target: DataFrame, rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -255,13 +255,13 @@ BROKEN_LINKS_SQL = f"WITH {SITE_LINKS_CTE} SELECT DISTINCT page_id, site, url, s
 
 
 def unchecked_links(spark: SparkSession, sf: str) -> DataFrame:
-    """First 500 links per site that still need a check, in url order."""
+    """Links per site that still need a check, in url order."""
     _, site = _site_links(spark, sf)
     checked = P.check_site_links(site, _fetched(site), ["site"])
-    return P.unchecked_links(checked, ["site"], ["url"], 500).select("site", "url", F.col("row_no").cast("bigint").alias("row_no"))
+    return P.unchecked_links(checked, ["site"], ["url"]).select("site", "url", F.col("row_no").cast("bigint").alias("row_no"))
 
 
-UNCHECKED_LINKS_SQL = f"WITH {SITE_LINKS_CTE} SELECT site, url, row_no FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS row_no FROM site_links WHERE NOT is_analyzed) WHERE row_no <= 500"
+UNCHECKED_LINKS_SQL = f"WITH {SITE_LINKS_CTE} SELECT site, url, row_no FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY url) AS row_no FROM site_links WHERE NOT is_analyzed)"
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -433,7 +433,7 @@ def external_links(spark: SparkSession, sf: str) -> DataFrame:
 EXTERNAL_LINKS_SQL = f"""WITH {SITE_PAGES_SQL}, l AS (SELECT page_id, site, url, regexp_extract(url, '^[a-z]+://[^/]+/([a-z]+)/', 1) AS lang FROM site_pages),
 x AS (SELECT page_id, site, url, u.h AS link_url, u.pos AS pos FROM l, unnest([{{'h': 'https://shop.' || lang || '-news.org/a?x=1', 'pos': 0}}, {{'h': 'http://partner.net/p/' || page_id, 'pos': 1}}]) t(u)),
 f AS (SELECT site, link_url, min(page_id * 10 + pos) AS k, arg_min(url, page_id * 10 + pos) AS page_url FROM x GROUP BY 1, 2),
-c AS (SELECT *, regexp_extract(link_url, '//([^/]+)', 1) AS host FROM f QUALIFY row_number() OVER (PARTITION BY site ORDER BY k) <= 50),
+c AS (SELECT *, regexp_extract(link_url, '//([^/]+)', 1) AS host FROM f),
 d AS (SELECT *, string_split(host, '.')[-2] AS domain_name, string_split(host, '.')[-1] AS domain_ext FROM c),
 n AS (SELECT domain_name || '.' || domain_ext AS dom, 7 + row_number() OVER (ORDER BY min(ascii(domain_name) * 256 + ascii(substr(domain_name, 2, 1))), domain_name || '.' || domain_ext) AS id
   FROM d WHERE domain_name <> 'partner' GROUP BY 1, domain_name, domain_ext)

@@ -247,7 +247,7 @@ def slot_upsert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SLOT_UPSERT_SQL = """WITH o AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS slot FROM customer QUALIFY slot <= 10),
-n AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS slot FROM customer QUALIFY slot <= 15)
+n AS (SELECT c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS slot FROM customer QUALIFY slot <= 20)
 SELECT coalesce(n.c_nationkey, o.c_nationkey) AS c_nationkey, CAST(coalesce(n.slot, o.slot) AS INT) AS slot, coalesce(n.c_custkey, o.c_custkey) AS c_custkey,
 CASE WHEN n.slot IS NULL THEN 'kept' WHEN o.slot IS NULL THEN 'inserted' WHEN o.c_custkey = n.c_custkey THEN 'unchanged' ELSE 'updated' END AS action
 FROM o FULL OUTER JOIN n ON o.c_nationkey = n.c_nationkey AND o.slot = n.slot"""

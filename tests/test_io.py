@@ -239,3 +239,13 @@ def test_sizes_and_folders(spark):
     assert session.spread(wide) is wide
     cut = session.cut_lineage(df.selectExpr("id", "array(id) AS a"))
     assert cut.count() == 100 and cut.schema["a"].dataType.simpleString() == "array<bigint>"
+
+
+def test_column_letters_agree(spark):
+    from gridweave.functions import values as V
+    from gridweave.functions.registry import register_functions
+    from pyspark.sql import functions as F
+
+    register_functions(spark)
+    rows = spark.range(0, 18_278).select(V.column_letter(F.col("id").cast("int")).alias("a"), F.expr("gw_column_letter(cast(id AS int))").alias("b"))
+    assert rows.where("a <> b OR a IS NULL").count() == 0

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import markup as M
 from gridweave.operators import crawl, pages as P, score
-from gridweave.operators.matching import type_lookup
+from gridweave.operators.matching import first_keyword_match, type_lookup
 
 
 def pages_of(spark, *htmls, site="https://www.ex.com"):
@@ -97,13 +97,25 @@ def test_site_and_broken_links(spark):
     assert [r["url"] for r in P.unchecked_links(checked, ["site"], ["url"], 1).collect()] == ["w"]
 
 
-def test_type_lookup_paths_agree(spark, monkeypatch):
-    types = spark.createDataFrame([(1, "404 Not Found"), (2, "Robots.txt Not Found"), (5, "Title Tag Too Long")], "type_id int, type_name string")
-    items = spark.createDataFrame([("not found",), ("404",), ("title tag",), ("zzz",)], "issue string")
-    want = {"not found": 2, "404": 1, "title tag": 5, "zzz": 21}
-    assert {r["issue"]: r["type_id"] for r in type_lookup(items, "issue", types).collect()} == want
-    monkeypatch.setattr("gridweave.operators.matching.is_small", lambda *a, **k: False)
-    assert {r["issue"]: r["type_id"] for r in type_lookup(items, "issue", types).collect()} == want
+def test_type_lookup(spark):
+    types = spark.createDataFrame([(1, "404 Not Found"), (2, "Robots.txt Not Found"), (9, "Title Tag Too Long")], "type_id int, type_name string")
+    items = spark.createDataFrame([("not found",), ("404",), ("title tag",), ("zzz",), ("",), (None,), ("",)], "issue string")
+    want = {"not found": 2, "404": 1, "title tag": 9, "zzz": 21, "": 9, None: 21}
+    got = type_lookup(items, "issue", types).collect()
+    assert {r["issue"]: r["type_id"] for r in got} == want and len(got) == 7
+
+
+def test_first_keyword_match_with_equal_positions(spark):
+    events = spark.createDataFrame([(1, "Call with ACME and Bolt"), (1, "nothing"), (2, None)], "id int, title string")
+    clients = spark.createDataFrame([("b", "bolt", 1), ("a", "acme", 1), ("z", "", 0)], "client string, keyword string, position int")
+    got = first_keyword_match(events, "id", F.col("title"), clients, "client").collect()
+    assert sorted((r["id"], r["title"] or "", r["client"]) for r in got) == [(1, "Call with ACME and Bolt", "a"), (1, "nothing", ""), (2, "", "")]
+
+
+def test_crawl_depth_raises_when_not_settled(spark):
+    edges = spark.createDataFrame([("s", str(i), str(i + 1)) for i in range(5)], "site string, src string, dst string")
+    with pytest.raises(RuntimeError):
+        crawl.crawl_depth(edges, spark.createDataFrame([("s", "0")], "site string, url string"), max_rounds=2)
 
 
 def test_crawl_depth(spark):

@@ -235,14 +235,12 @@ def test_contained_pairs_against_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
-def test_first_keyword_paths_agree(spark, monkeypatch):
+def test_first_keyword(spark):
     events = spark.createDataFrame([(1, "Call with ACME about beta"), (2, "beta"), (3, "none")], "id int, title string")
     clients = spark.createDataFrame([("B", "Beta", 2), ("A", "acme", 1), ("N", "", 0)], "client string, keyword string, position int")
     want = [(1, "A"), (2, "B"), (3, "")]
     run = lambda: rows(J.first_keyword_match(events, "id", F.col("title"), clients), "id", "client")
     assert run() == want
-    monkeypatch.setattr(J, "is_small", lambda *a, **k: False)
-    assert run() == want
 
 
 def test_hot_left_join_and_fanout(spark):
@@ -279,3 +277,10 @@ def test_table_diff(spark):
 def test_diff_config(spark, bad):
     with pytest.raises(ValueError):
         check_config(spark.createDataFrame(bad, "book string, compare string, main string"))
+
+
+def test_get_or_create_ignores_case_of_the_dimension(spark):
+    dim = spark.createDataFrame([(1, "News.Org"), (4, " news.org")], "id int, kw string")
+    names = spark.createDataFrame([("news.org", 1), ("NEW", 2)], "kw string, n int")
+    grown, got = S.get_or_create_key(dim, names, "kw", "id", "n")
+    assert {(r["kw"], r["id"]) for r in got.collect()} == {("news.org", 1), ("NEW", 5)} and grown.count() == 3

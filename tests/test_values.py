@@ -137,5 +137,12 @@ def test_output_schema_and_hints():
 def test_clean_text(value):
     assert value(X.clean_text, "Ab-c 1é!") == "Abc 1"
     assert value(lambda c: X.clean_text(c, False), "a b") == "ab"
-    assert value(lambda c: F.length(X.clean_text(c)), "x" * 3000) == 2500
+    assert value(lambda c: F.length(X.clean_text(c, True, 2500)), "x" * 3000) == 2500
     assert value(lambda c: F.length(X.clean_text(c, True, None)), "x" * 3000) == 3000
+
+
+def test_quality_without_a_target(value):
+    from gridweave.functions import text as T
+    from pyspark.sql import functions as F
+
+    assert value(lambda t: T.text_quality(t, F.lit(0), F.lit(50)), "plain") == value(lambda t: T.text_quality(t, F.lit(10), F.lit(50)), "plain")

@@ -15,11 +15,13 @@ from .common import flat
 
 #: Words of a block at most; a longer document is a block alone.
 BLOCK_WORDS = 4_000_000
+#: Distinct words that a running dictionary holds before it starts anew.
+HELD_WORDS = 1_000_000
 
 
 @dataclass
 class Block:
-    """Documents of one task, in order; ``codes`` are places in ``words``."""
+    """Documents of one task, in order; ``codes`` are places in ``words``, which follow ``before`` words of earlier blocks."""
 
     number: int
     doc_ids: pa.Array
@@ -27,35 +29,46 @@ class Block:
     codes: np.ndarray
     words: pa.Array
     extra: dict[str, pa.Array]
+    before: int = 0
 
 
-def word_blocks(docs: DataFrame, id_kind: str, extra_schema: str, extra: Callable[[Block], list[pa.Array]], carried: tuple[str, ...] = ()) -> DataFrame:
+def word_blocks(docs: DataFrame, id_kind: str, extra_schema: str, extra: Callable[[Block], list[pa.Array]], carried: tuple[str, ...] = (), block_words: int = BLOCK_WORDS, running: bool = False) -> DataFrame:
     """(block, doc_ids, lens, codes, <extra>) of (doc_id, words array<string>, <carried>).
 
-    A block has the documents of one task up to ``BLOCK_WORDS`` words. ``codes`` are
+    A block has the documents of one task up to ``block_words`` words. ``codes`` are
     32-bit places in the block's dictionary of distinct words; ``extra(block)`` gives the
     one value of each further column. So work on words is done once for each distinct
     one of a block, words don't have to be shuffled one by one, and documents are put
     together again by two look-ups. Blocks are numbered by task, so a task that runs
     again makes the same ones.
+
+    With ``running`` a word stands only in the first block of its task that has it, so
+    blocks can be small: ``codes`` are places in the words of all the task's blocks, of
+    which a block brings those after ``before``. A ``before`` of 0 starts anew, which
+    happens after ``HELD_WORDS`` distinct words.
     """
     names = [x.strip().split(" ")[0] for x in extra_schema.split(", ")]
 
     def run(batches):
         task, made = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
+        seen = None
 
         def flush():
-            nonlocal held, made
+            nonlocal held, made, seen
             parts, held = held, []
-            coded = pa.chunked_array([p[2] for p in parts]).unify_dictionaries()
+            past = [] if seen is None else [pa.DictionaryArray.from_arrays(pa.array([], pa.int32()), seen)]
+            coded = pa.chunked_array([*past, *[p[2] for p in parts]]).unify_dictionaries()
+            words, before = coded.chunk(0).dictionary, len(past and seen)
+            seen = words if running and len(words) < HELD_WORDS else None
             block = Block(
                 (task << 24) + made,
                 pa.concat_arrays([p[0] for p in parts]),
                 np.concatenate([p[1] for p in parts]),
                 np.concatenate([np.asarray(c.indices, dtype=np.int32) for c in coded.chunks]),
-                coded.chunk(0).dictionary,
+                words.slice(before).cast(pa.large_string()),
                 {n: pa.concat_arrays([p[3][n] for p in parts]) for n in carried},
+                before,
             )
             made += 1
             one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
@@ -66,16 +79,15 @@ def word_blocks(docs: DataFrame, id_kind: str, extra_schema: str, extra: Callabl
         for b in batches:
             at = 0
             offsets, words = flat(b.column("words"))
-            words = words.cast(pa.large_string())
             while at < b.num_rows:
-                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_WORDS - total, side="right")) - 1)
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + block_words - total, side="right")) - 1)
                 end = min(end, b.num_rows)
                 s, n = offsets[at], offsets[end] - offsets[at]
                 coded = pc.dictionary_encode(words.slice(s, n))
                 held.append((b.column("doc_id").slice(at, end - at), np.diff(offsets[at : end + 1]).astype(np.int32), coded, {c: b.column(c).slice(at, end - at) for c in carried}))
                 total += n
                 at = end
-                if total >= BLOCK_WORDS:
+                if total >= block_words:
                     yield flush()
                     total = 0
         if held:

@@ -15,6 +15,8 @@ from .blocks import word_blocks
 
 #: Words with more bytes are merged by a heap: a fold's time grows with the square of a word's length.
 LONG_WORD = 64
+#: Words of a block: a few tens of megabytes in the JVM and in a worker.
+BLOCK_WORDS = 1_000_000
 #: No merge. Ranks and positions in a folded word are smaller.
 _NONE = 1 << 16
 #: An id that merges with nothing; it stands before a word.
@@ -137,8 +139,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
 
     Each match of ``pattern`` is merged for itself by ``ranks``, without special tokens. A
     null text counts as empty and gives no ids; repeated rows stay; other columns are not
-    read. Words are folded once for each block of documents (see ``word_blocks``), in Spark
-    expressions; nothing is shuffled. Words over ``LONG_WORD`` bytes are merged by a heap
+    read. Words are folded once for each task (see ``word_blocks``), in Spark expressions;
+    nothing is shuffled. Words over ``LONG_WORD`` bytes are merged by a heap
     before the fold, which then finds nothing to merge.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -161,19 +163,23 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
 
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("words"))
-    blocks = word_blocks(slim, kind, "words array<array<bigint>>", lambda block: [first_ids(block.words)])
+    blocks = word_blocks(slim, kind, "words array<array<bigint>>, before bigint", lambda block: [first_ids(block.words), block.before], block_words=BLOCK_WORDS, running=True)
     find = RankMap(ranks).lookup()
-    merged = blocks.select("doc_ids", "lens", "codes", F.transform("words", lambda w: fold_merges(w, find)).alias("words"))
+    merged = blocks.select("doc_ids", "lens", "codes", "before", F.transform("words", lambda w: fold_merges(w, find)).alias("words"))
     pieces = pa.array([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])], pa.large_binary())
     dense = sorted(ranks.values()) == list(range(len(ranks)))
     if not dense:
         raise ValueError("ranks must be 0, 1, 2, ...")
 
     def expand(batches):
+        lists = None
         for b in batches:
             for i in range(b.num_rows):
                 codes = np.frombuffer(b.column("codes")[i].as_py(), np.int32)
-                lists = b.column("words")[i].values
+                new, before = b.column("words")[i].values, b.column("before")[i].as_py()
+                lists = pa.concat_arrays([lists, new]) if before else new
+                if len(lists) != before + len(new):
+                    raise ValueError("blocks of a task are out of order")
                 sizes = np.diff(np.asarray(lists.offsets, dtype=np.int64))
                 taken = lists.take(pa.array(codes)) if len(codes) else lists.slice(0, 0)
                 ids = np.asarray(taken.flatten(), dtype="<u4")

@@ -5,18 +5,31 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at a time.
 SLICE_BYTES = 12 << 20
 
 
+@contextmanager
+def rows_per_batch(spark: SparkSession, rows: int):
+    """Actions within hand Python workers at most ``rows`` rows at a time; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds
@@ -45,11 +58,11 @@ def texts_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return pc.fill_null(batch.column(name).cast(pa.large_string()), "")
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``SLICE_BYTES`` of text; a longer text is a batch alone."""
+def sliced(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text; a longer text is a batch alone."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
-        piece = np.cumsum(sizes) // SLICE_BYTES
+        piece = np.cumsum(sizes) // size
         edges = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(sizes)]
         for a, b in zip(edges, edges[1:]):
             if b > a:
@@ -88,31 +101,42 @@ def flat(lists: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return offsets - offsets[0], lists.values.slice(offsets[0], offsets[-1] - offsets[0])
 
 
+def chunk_codes(texts: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Each text cut at ASCII white space: start of each text, and its pieces by a dictionary of the distinct ones."""
+    for space in "\n\t\r\x0b\x0c":
+        texts = pc.replace_substring(texts, space, " ")
+    offsets, pieces = flat(pc.split_pattern(texts, " "))
+    return offsets, pc.dictionary_encode(pieces)
+
+
+def strings(texts: pa.Array) -> list[str]:
+    """Texts without line ends as Python strings: one join and one split."""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    return pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n") if len(texts) else []
+
+
 def chunks_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Each text cut at ASCII white space: start of each text, code of each piece, and the distinct pieces.
 
     Dear work on pieces is then done once for each distinct one.
     """
-    for space in "\n\t\r\x0b\x0c":
-        texts = pc.replace_substring(texts, space, " ")
-    offsets, pieces = flat(pc.split_pattern(texts, " "))
-    if not len(pieces):
-        return offsets, np.zeros(0, np.int64), []
-    coded = pc.dictionary_encode(pieces)
-    whole = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-    distinct = pc.binary_join(whole, pa.scalar("\n", pa.large_string()))[0].as_py().split("\n")
-    return offsets, np.asarray(coded.indices, dtype=np.int64), distinct
+    offsets, coded = chunk_codes(texts)
+    return offsets, np.asarray(coded.indices, dtype=np.int64), strings(coded.dictionary)
 
 
 def spread_lists(offsets: np.ndarray, codes: np.ndarray, lists: list, kind) -> tuple[np.ndarray, np.ndarray]:
     """The lists of all pieces in order: start of each text, and the values."""
     lens = np.fromiter(map(len, lists), np.int64, len(lists))
     values = np.fromiter(chain.from_iterable(lists), kind, int(lens.sum()))
-    starts = np.concatenate([[0], np.cumsum(lens)])
+    return spread(offsets, codes, np.concatenate([[0], np.cumsum(lens)]), values)
+
+
+def spread(offsets: np.ndarray, codes: np.ndarray, starts: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for lists that lie one after another in ``values``, from ``starts``."""
     taken = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(values)).take(pa.array(codes))
-    at = np.concatenate([[0], np.cumsum(lens[codes])])
+    at = np.concatenate([[0], np.cumsum(np.diff(starts)[codes])])
     _, out = flat(taken)
-    return at[offsets], np.asarray(out, dtype=kind)
+    return at[offsets], np.asarray(out, dtype=values.dtype)
 
 
 def token_hashes(texts: pa.Array, pattern: str = r"\w+", lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

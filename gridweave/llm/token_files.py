@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_of, sliced, spread_lists, texts_of, worker_cache
+from .common import chunk_codes, rows_per_batch, sliced, spread, strings, texts_of, worker_cache
 
 #: Selector, ids in a word, bits of each. Selector 0 marks an escape: the word's other bits
 #: are a place in the file's list of ids that need more than 60 bits.
@@ -23,12 +25,16 @@ SELECTORS = (
 BLOCK_IDS = 4096
 #: Ids of a file at most; a longer document is a file alone. Bytes of text of a shard, about.
 FILE_IDS, SHARD_BYTES = 250_000, 32 << 20
-#: Pieces that a worker keeps encoded.
+#: Text bytes that a worker encodes at a time; pieces that it keeps encoded.
+SLICE_BYTES = 8 << 20
 CACHED = 200_000
+#: Rows that a worker is handed at a time while files are written, so texts and ids of few documents are in memory.
+BATCH_ROWS = 2000
 #: Shards at most; beyond, shards have more files.
 SHARDS = 20_000
 _HEAD = "<4sIIIQQQ"
 _MAGIC = b"GWS8"
+_FILES = "shard int, part int, first bigint, n_docs bigint, n_ids bigint, data binary"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,15 +45,12 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """
     ids = np.asarray(ids, np.uint64)
     n = len(ids)
-    left = np.minimum(n, (np.arange(n) // BLOCK_IDS + 1) * BLOCK_IDS) - np.arange(n)
-    take, kind = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    big = ids >> np.uint64(60) > 0
-    for selector, count, bits in SELECTORS:
-        wide = np.flatnonzero(ids >> np.uint64(bits) > 0)
-        stop = np.append(wide, n)[np.searchsorted(wide, np.arange(n))] if len(wide) < n else np.arange(n)
-        able = (take == 0) & (np.minimum(stop - np.arange(n), left) >= count)
+    left = BLOCK_IDS - np.arange(n, dtype=np.int32) % BLOCK_IDS
+    take, kind = np.ones(n, np.int64), np.zeros(n, np.int64)
+    for selector, count, bits in reversed(SELECTORS):
+        wide = np.concatenate([[0], np.cumsum(ids >> np.uint64(bits) > 0, dtype=np.int32)])
+        able = np.flatnonzero((wide[count:] == wide[: max(0, n + 1 - count)]) & (left[: max(0, n + 1 - count)] >= count))
         take[able], kind[able] = count, selector
-    take[big], kind[big] = 1, 0
     at, starts, steps = 0, [], take.tolist()
     while at < n:
         starts.append(at)
@@ -133,36 +136,48 @@ def encode(docs: DataFrame, load: Callable, end_id: int, shards: int, bounds: np
     """(shard, doc_id, ids) with little-endian 32-bit ids. ``load()`` gives the tokenizer in the task.
 
     Texts are cut at ASCII white space, of which the tokenizer keeps nothing, and each
-    distinct piece is encoded by the library once for a worker, as far as its bounded
+    distinct part is encoded by the library once for a worker, as far as its bounded
     cache reaches. Closing marks are encoded apart from a word before them, as the
-    tokenizer parts them too; a word of ASCII letters alone, which normalizing and
-    splitting leave whole, goes to the library's model at once.
+    tokenizer parts them too; a word of ASCII or Latin-1 letters alone, which composing
+    and splitting leave whole, goes to the library's model at once, its letters as the
+    library's byte alphabet writes them.
     """
 
     def run(batches):
         tokenizer = load()
         known, model = worker_cache("token pieces", CACHED), tokenizer.model
+        letters = [chr(c) for c in range(128, 256) if chr(c).isalpha()]
+        alphabet = str.maketrans({c: tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
 
         def add(pieces: list[str]) -> None:
             rest = []
             for p in pieces:
-                if p.isascii() and p.isalpha():
-                    known[p] = tuple([t.id for t in model.tokenize(p)])
+                if p.isalpha() and (p.isascii() or max(p) <= "\xff"):
+                    ids = [t.id for t in model.tokenize(p if p.isascii() else p.lower().translate(alphabet))]
+                    known[p] = struct.pack(f"<{len(ids)}I", *ids)
                 else:
                     rest.append(p)
             for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                known[p] = tuple(e.ids)
+                known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-        for b in sliced(batches, "text"):
-            offsets, codes, pieces = chunks_of(texts_of(b, "text"))
-            parts = [_stem(p) for p in pieces]
+        def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Start of each word's ids, and the ids."""
             if len(known) > CACHED:
                 known.clear()
-            missing = list({x for pair in parts for x in pair if x not in known})
+            missing = [w for w in words if w not in known]
             for i in range(0, len(missing), 10_000):
                 add(missing[i : i + 10_000])
-            lists = [known[s] + known[t] if t else known[s] for s, t in parts]
-            at, ids = spread_lists(offsets, codes, lists, np.uint32)
+            raw = [known[w] for w in words]
+            lens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+            return np.concatenate([[0], np.cumsum(lens)]), np.frombuffer(b"".join(raw), "<u4")
+
+        for b in sliced(batches, "text", SLICE_BYTES):
+            offsets, coded = chunk_codes(texts_of(b, "text"))
+            stems, tails = (pc.dictionary_encode(x) for x in _parts(coded.dictionary))
+            starts, ids = encoded(strings(pa.concat_arrays([stems.dictionary, tails.dictionary])))
+            pairs = np.stack([np.asarray(stems.indices, np.int64), len(stems.dictionary) + np.asarray(tails.indices, np.int64)], axis=1)
+            starts, ids = spread(np.arange(0, pairs.size + 1, 2), pairs.ravel(), starts, ids)
+            at, ids = spread(offsets, np.asarray(coded.indices, np.int64), starts, ids)
             runs = [ids[s:e].astype("<u4").tobytes() + struct.pack("<I", end_id) for s, e in zip(at, at[1:])]
             keys = b.column("doc_id")
             shard = np.searchsorted(bounds, np.asarray(pc.fill_null(keys, np.iinfo(np.int64).min)), side="right")
@@ -172,12 +187,12 @@ def encode(docs: DataFrame, load: Callable, end_id: int, shards: int, bounds: np
     return slim.mapInArrow(run, "shard int, doc_id bigint, ids binary")
 
 
-def _stem(piece: str) -> tuple[str, str]:
-    """A word of letters and its closing marks; any other piece as it is. Case is folded where that is plain."""
-    stem = piece.rstrip(".,;:!?")
-    if stem.isalpha():
-        return (stem.lower() if stem.isascii() else stem), piece[len(stem) :]
-    return (piece.lower() if piece.isascii() else piece), ""
+def _parts(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Words of letters and their closing marks; any other piece and no marks. ASCII case is folded, as the tokenizer does."""
+    stems = pc.utf8_rtrim(pieces, characters=punctuation)
+    tails = pc.replace_substring_regex(pieces, f"^.*[^{re.escape(punctuation)}]", "")
+    word = pc.utf8_is_alpha(stems)
+    return pc.ascii_lower(pc.if_else(word, stems, pieces)), pc.if_else(word, tails, "")
 
 
 def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id: str = "doc_id", text: str = "text") -> None:
@@ -185,8 +200,8 @@ def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id:
 
     A null text counts as empty; null ids come first; repeated rows stay, in the order of
     their ids; other columns are not read; an empty table gives no files. Files are rows
-    (shard, part, n_docs, n_ids, data) of a table, so any store that Spark reaches can hold
-    them; ``data`` is the file of ``file_bytes``. Documents are dealt to shards by
+    (shard, part, first, n_docs, n_ids, data) of a table, so any store that Spark reaches can
+    hold them; ``data`` is the file of ``file_bytes``, ``first`` the ids before it in its shard. Documents are dealt to shards by
     quantiles of their ids, so only encoded ids are shuffled, once, and each shard is
     sorted for itself; a shard's files are written as its rows stream by.
     """
@@ -199,40 +214,46 @@ def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id:
     rows = encode(docs, load, end_id, shards, cuts, doc_id, text)
 
     def write(batches):
-        held, total, place = [], 0, (None, 0)
+        held, total, place = [], 0, (None, 0, 0)
 
         def done():
             nonlocal held, total, place
             runs = [np.frombuffer(x, "<u4") for _, x in held]
-            out = [[place[0]], [place[1]], [len(held)], [total], [file_bytes([d for d, _ in held], runs)]]
-            held, total, place = [], 0, (place[0], place[1] + 1)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+            out = [*place, len(held), total, file_bytes([d for d, _ in held], runs)]
+            held, total, place = [], 0, (place[0], place[1] + 1, place[2] + total)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, kinds)], names=names)
 
         for b in batches:
-            for shard, doc, ids in zip(*[b.column(c).to_pylist() for c in ("shard", "doc_id", "ids")]):
-                if held and (shard != place[0] or total + len(ids) // 4 > FILE_IDS):
-                    yield done()
-                if shard != place[0]:
-                    place = (shard, 0)
-                held.append((doc, ids))
-                total += len(ids) // 4
+            for at in range(0, b.num_rows, 200):
+                for shard, doc, ids in zip(*[b.column(c).slice(at, 200).to_pylist() for c in ("shard", "doc_id", "ids")]):
+                    if held and (shard != place[0] or total + len(ids) // 4 > FILE_IDS):
+                        yield done()
+                    if shard != place[0]:
+                        place = (shard, 0, 0)
+                    held.append((doc, ids))
+                    total += len(ids) // 4
         if held:
             yield done()
 
-    names = ["shard", "part", "n_docs", "n_ids", "data"]
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    dealt.mapInArrow(write, "shard int, part int, n_docs bigint, n_ids bigint, data binary").write.parquet(path)
+    names = ["shard", "part", "first", "n_docs", "n_ids", "data"]
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    files = dealt.mapInArrow(write, _FILES)
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        files.write.parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32, ids) of all documents, decoded from the files.
 
-    ``start`` counts the ids before a document's in all files; sums over files are all
-    that meets in one task.
+    ``start`` counts the ids before a document's in all files; sums over shards, of which
+    there are ``SHARDS`` at most, are all that meets in one task or is broadcast, so files
+    stay where they are read.
     """
-    files = spark.read.schema("shard int, part int, n_docs bigint, n_ids bigint, data binary").parquet(path)
-    before = Window.orderBy("shard", "part").rowsBetween(Window.unboundedPreceding, -1)
-    base = files.select("shard", "part", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0))).drop("n_ids")
+    files = spark.read.schema(_FILES).parquet(path)
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sums = files.groupBy("shard").agg(F.sum("n_ids").alias("n_ids"))
+    base = sums.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
         for b in batches:
@@ -243,4 +264,5 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                 columns = (f.doc_ids, pa.int64()), (base + at[:-1], pa.int64()), (f.lens, pa.int64()), ([zlib.crc32(x) for x in raw], pa.int64()), (raw, pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in columns], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
-    return files.join(base, ["shard", "part"]).select("base", "data").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    placed = files.join(F.broadcast(base), "shard").select((F.col("base") + F.col("first")).alias("base"), "data")
+    return placed.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")

@@ -30,6 +30,12 @@ def rows_per_batch(spark: SparkSession, rows: int):
         spark.conf.set(key, before)
 
 
+def give_back() -> None:
+    """Hands free memory of the worker back to the machine; workers live on after a task."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; null for a null id."""
     return F.crc32(doc_id.cast("string")) % folds

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunk_codes, rows_per_batch, sliced, spread, strings, texts_of, worker_cache
+from .common import chunk_codes, give_back, rows_per_batch, sliced, spread, strings, texts_of, worker_cache
 
 #: Selector, ids in a word, bits of each. Selector 0 marks an escape: the word's other bits
 #: are a place in the file's list of ids that need more than 60 bits.
@@ -26,10 +26,10 @@ BLOCK_IDS = 4096
 #: Ids of a file at most; a longer document is a file alone. Bytes of text of a shard, about.
 FILE_IDS, SHARD_BYTES = 250_000, 32 << 20
 #: Text bytes that a worker encodes at a time; pieces that it keeps encoded.
-SLICE_BYTES = 8 << 20
-CACHED = 200_000
+SLICE_BYTES = 4 << 20
+CACHED = 100_000
 #: Rows that a worker is handed at a time while files are written, so texts and ids of few documents are in memory.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 #: Shards at most; beyond, shards have more files.
 SHARDS = 20_000
 _HEAD = "<4sIIIQQQ"
@@ -182,6 +182,7 @@ def encode(docs: DataFrame, load: Callable, end_id: int, shards: int, bounds: np
             keys = b.column("doc_id")
             shard = np.searchsorted(bounds, np.asarray(pc.fill_null(keys, np.iinfo(np.int64).min)), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), keys, pa.array(runs, pa.binary())], names=["shard", "doc_id", "ids"])
+        give_back()
 
     slim = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return slim.mapInArrow(run, "shard int, doc_id bigint, ids binary")
@@ -234,6 +235,7 @@ def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id:
                     total += len(ids) // 4
         if held:
             yield done()
+        give_back()
 
     names = ["shard", "part", "first", "n_docs", "n_ids", "data"]
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())

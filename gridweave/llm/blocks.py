@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import flat
+from .common import flat, give_back
 
 #: Words of a block at most; a longer document is a block alone.
 BLOCK_WORDS = 4_000_000
@@ -92,5 +92,6 @@ def word_blocks(docs: DataFrame, id_kind: str, extra_schema: str, extra: Callabl
                     total = 0
         if held:
             yield flush()
+        give_back()
 
     return docs.mapInArrow(run, f"block bigint, doc_ids array<{id_kind}>, lens array<int>, codes binary, {extra_schema}")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import word_blocks
+from .common import give_back
 
 #: Words with more bytes are merged by a heap: a fold's time grows with the square of a word's length.
 LONG_WORD = 64
@@ -189,6 +190,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
                 ids_of = pa.array([ids[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary())
                 out = [b.column("doc_ids")[i].values, pa.array(np.diff(at)), ids_of]
                 yield pa.RecordBatch.from_arrays(out + ([pa.array(_bytes_of(ids, at, pieces), pa.binary())] if decoded else []), names=names)
+        give_back()
 
     names = ["doc_id", "n_tokens", "ids", "decoded"][: 4 if decoded else 3]
     return merged.mapInArrow(expand, f"doc_id {kind}, n_tokens bigint, ids binary" + (", decoded binary" if decoded else ""))

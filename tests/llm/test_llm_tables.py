@@ -56,6 +56,29 @@ def test_byte_bpe_equals_the_library(docs, spark):
     assert byte_bpe.encode(docs.limit(0), ranks, pattern).count() == 0
 
 
+def test_byte_bpe_words_run_through_small_blocks(spark, monkeypatch):
+    """A word that an earlier block of the task brought is found again; empty and null texts make no words."""
+    tiktoken = pytest.importorskip("tiktoken")
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 3)
+    ranks, pattern = byte_bpe.load_ranks(queries.tokenizer_file("byte_bpe_50k.tiktoken")), queries.tokenizer_pattern()
+    enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    texts = [(0, ""), (1, None), (2, "one two three four"), (3, "two"), (4, "four five one"), (5, ""), (6, "six two six five"), (7, "one")]
+    done = byte_bpe.encode(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1), ranks, pattern, decoded=True)
+    got = {r.doc_id: (np.frombuffer(r.ids, "<u4").tolist(), bytes(r.decoded)) for r in done.collect()}
+    assert got == {i: (enc.encode_ordinary(t or ""), (t or "").encode()) for i, t in texts}
+
+
+def test_token_files_of_marks_and_latin_letters(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    file = queries.tokenizer_file("word_bpe_49k.json")
+    tok, path = tokenizers.Tokenizer.from_file(file), work_path(spark, "latin")
+    tok.encode_special_tokens = True
+    texts = ["été ÀÉ'S ÿ µm ªº ß*** word'*** don't'", "Ünï<|endoftext|> x<|endoftext|> ×÷a a×b ÞÐ_", "e\u0301 é*** a\u2260 a=\u0338 \u0130stanbul ΣΑΣ ΑΣ.", "...", "Straße!? ÄÖÜ,"]
+    token_files.write_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, queries._word_tokenizer(file), 2)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_files(spark, path).collect()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_token_files_equal_the_library(docs, spark):
     tokenizers = pytest.importorskip("tokenizers")
     file = queries.tokenizer_file("word_bpe_49k.json")

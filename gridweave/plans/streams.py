@@ -65,17 +65,21 @@ FROM events WHERE event_type = 'purchase' AND user_id <> 0"""
 
 
 def trigger_once(spark: SparkSession, sf: str) -> DataFrame:
-    """Every flagged row is delivered twice and must be sent once."""
-    e = event_stream(spark, sf).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
-    edits = e.select(
-        "event_id", "ts", "event_type", "user_id",
-        F.when(F.col("event_type") == "click", "Trigger").otherwise("").alias("flag"),
-        F.when(F.col("user_id") < 10, "Processed").alias("state"),
-    )
-    once = on_trigger_once(edits, "event_id", "ts", {"Description": "event_type", "User": "user_id"}, "event_id")
-    path = work_path(spark, "trigger")
-    with stream_settings(spark):
-        run_available(once.select("event_id", "payload"), path, path + "_log")
+    """Every flagged row is delivered twice a run and must be sent once; the second run brings
+    the rows before NOW, all late, and those of the first run again."""
+    e = table(spark, sf, "events")
+    source, path = work_path(spark, "flags"), work_path(spark, "trigger")
+    with stream_settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        for part in (e.where(F.col("ts") >= F.lit(NOW).cast("timestamp_ntz")), e):
+            part.write.mode("append").parquet(source)
+            stream = spark.readStream.schema(e.schema).parquet(source).withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2))))
+            edits = stream.select(
+                "event_id", "ts", "event_type", "user_id",
+                F.when(F.col("event_type") == "click", "Trigger").otherwise("").alias("flag"),
+                F.when(F.col("user_id") < 10, "Processed").alias("state"),
+            )
+            once = on_trigger_once(edits, "event_id", "ts", {"Description": "event_type", "User": "user_id"}, "event_id")
+            run_available(once.select("event_id", "payload"), path, path + "_log")
     return spark.read.parquet(path)
 
 

@@ -19,12 +19,15 @@ def on_status(edits: DataFrame, cols: list[str], table: str = "Tasks", column: s
     return edits.where(hit).withColumn("payload", row_payload(cols))
 
 
-def on_trigger_once(edits: DataFrame, key: str, ts: str, names: dict[str, str], row_no: str, horizon: str = "1 day") -> DataFrame:
-    """Flagged rows that are not processed yet, each key once within ``horizon``."""
+def on_trigger_once(edits: DataFrame, key: str, ts: str, names: dict[str, str], row_no: str) -> DataFrame:
+    """Flagged rows that are not processed yet, each key once over all runs of a checkpoint.
+
+    The sent keys stay in the stream's state for good: there is no watermark, so ``ts`` plays no
+    part, a late row is sent like any other and a key that comes again is never sent twice. The
+    state grows with the keys; with the RocksDB provider it lies on disk.
+    """
     wanted = edits.where((F.col("flag") == TRIGGER_FLAG) & ~F.col("state").eqNullSafe(PROCESSED))
-    stamped = wanted.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", horizon)
-    once = stamped.dropDuplicatesWithinWatermark([key])
-    return once.drop("_ts").withColumn("payload", renamed_payload(names, row_no))
+    return wanted.dropDuplicates([key]).withColumn("payload", renamed_payload(names, row_no))
 
 
 def look_back(events: DataFrame, ts: str, now: Column, hours: int = LOOK_BACK_HOURS, inclusive: bool = False) -> DataFrame:

@@ -125,31 +125,25 @@ def order_changes(spark: SparkSession, sf: str) -> DataFrame:
 ORDER_CHANGES_SQL = """SELECT o_orderkey, 'o_orderstatus' AS "column", o_orderstatus AS old, 'F' AS new FROM orders WHERE o_orderstatus <> 'F'
 UNION ALL SELECT o_orderkey, 'o_orderpriority', o_orderpriority, NULL FROM orders WHERE o_orderpriority = '5-LOW'"""
 
-# Ends of the three ten-day files of the next query.
-_CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-01")
+# Where the second and the third of the three files of the next queries begin.
+_CUTS = ("2024-01-11", "2024-01-21")
 
 
-def _ten_days(spark: SparkSession, sf: str) -> str:
-    e = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
-    path = work_path(spark, "days")
-    for low, high in zip(_CUTS, _CUTS[1:]):
-        part = e.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
-        part.write.mode("append").parquet(f"{path}/from={low}")
-    return path
+def _parts(events: DataFrame) -> list[DataFrame]:
+    """Three parts that hold every event once; the first and the last are open-ended, events without a time are in the last."""
+    ts = F.col("ts")
+    low, high = (F.lit(c).cast("timestamp_ntz") for c in _CUTS)
+    return [events.where(ts < low), events.where((ts >= low) & (ts < high)), events.where((ts >= high) | ts.isNull())]
 
 
 def cell_change_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """Stateful stream: users whose last event type changed from one ten-day run to the next."""
-    path = _ten_days(spark, sf)
-    out = work_path(spark, "changes")
+    """Stateful stream: users whose last event type changed from one run to the next."""
+    path, out = work_path(spark, "days"), work_path(spark, "changes")
+    events = table(spark, sf, "events").select("event_id", "ts", "user_id", "event_type")
     with stream_settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
-        for low in _CUTS[:-1]:
-            stream = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string").option(
-                "pathGlobFilter", "*.parquet"
-            )
-            # One more folder per run: the checkpoint knows the files of earlier runs.
-            seen = [c for c in _CUTS[:-1] if c <= low]
-            source = stream.parquet(path + "/from={" + ",".join(seen) + "}")
+        for part in _parts(events):
+            part.write.mode("append").parquet(path)
+            source = spark.readStream.schema("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string").parquet(path)
             run_available(cell_changes(source, "user_id", "event_type", "event_id"), out, out + "_log")
     return spark.read.parquet(out).select(F.col("key").cast("bigint").alias("user_id"), "old", "new", F.col("seq").alias("event_id"))
 
@@ -167,8 +161,7 @@ def appended_payloads(spark: SparkSession, sf: str) -> DataFrame:
     bodies = F.when(F.col("event_type") == "error", F.lit("{broken")).otherwise(
         F.concat(F.lit('{"event_id": '), F.col("event_id").cast("string"), F.lit(', "category": "'), "event_type", F.lit('"}'))
     )
-    for low, high in zip(_CUTS, _CUTS[1:]):
-        part = e.where((F.col("ts") >= F.lit(low).cast("timestamp_ntz")) & (F.col("ts") < F.lit(high).cast("timestamp_ntz")))
+    for part in _parts(e):
         part.select(bodies.alias("value")).write.mode("append").text(source)
         stream = read_json_payloads(spark, source, "event_id bigint, category string", ["event_id"], streaming=True)
         run_available(stream, out, out + "_log")

@@ -2,7 +2,12 @@
 
 from datetime import datetime
 
-from gridweave.streaming import triggers
+import duckdb
+import pytest
+
+from gridweave.plans import ORACLES, QUERIES
+from gridweave.streaming import state, triggers
+from tools.verify import rows_of
 
 
 def test_late_and_repeated_triggers(spark, tmp_path):
@@ -21,3 +26,28 @@ def test_late_and_repeated_triggers(spark, tmp_path):
         once = triggers.on_trigger_once(stream, "key", "ts", {"K": "key"}, "row")
         triggers.run_available(once.select("row"), out, out + "-log")
     assert sorted(r["row"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_changes_of_a_null_key(spark, tmp_path):
+    src, out = str(tmp_path / "s"), str(tmp_path / "o")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.ROCKSDB)
+    try:
+        for batch in ([(None, "a", 1), (None, "b", 2), ("", "x", 3), ("k", "v", 4)], [(None, "c", 5), ("", "y", 6), (None, "d", 7)]):
+            spark.createDataFrame(batch, "cell string, v string, n int").coalesce(1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema("cell string, v string, n int").parquet(src)
+            triggers.run_available(state.cell_changes(stream, "cell", "v", "n"), out, out + "-log")
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert set(map(tuple, spark.read.parquet(out).collect())) == {(None, "b", "d", 7), ("", "x", "y", 6)}
+
+
+@pytest.mark.parametrize("name", ["cell_change_stream", "appended_payloads"])
+def test_events_of_any_time_and_user(spark, tmp_path, name):
+    """Events before, within and after January, without a time, and without a user."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT i::BIGINT AS event_id, CASE WHEN i % 7 <> 3 THEN TIMESTAMP '2023-11-20' + to_hours(CAST(i AS INT) * 5) END AS ts,
+        CASE WHEN i % 5 <> 0 THEN (i % 4)::BIGINT END AS user_id, ['view', 'click', 'error', 'signup'][1 + (i * 11) // 40 % 4] AS event_type FROM range(600) t(i)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    df = QUERIES[name](spark, str(tmp_path))
+    cur = con.execute(ORACLES[name])
+    assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())

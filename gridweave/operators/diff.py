@@ -15,6 +15,8 @@ from ..session import broadcast_if_small
 MISSING = "(missing)"
 NO_FORMULA = "(no formula)"
 _SPREAD = 32
+#: Data rows whose mismatches in a column share one list.
+PART_ROWS = 10_000
 
 
 def check_config(config: DataFrame) -> str:
@@ -30,11 +32,13 @@ def check_config(config: DataFrame) -> str:
     return book
 
 
-def table_diff(tables: DataFrame, headers: DataFrame, cells: DataFrame, config: DataFrame, first_rows: int = 5) -> DataFrame:
+def table_diff(tables: DataFrame, headers: DataFrame, cells: DataFrame, config: DataFrame, first_rows: int | None = 5) -> DataFrame:
     """Discrepancies of every compared book against the main one.
 
     ``cells.row_no`` counts data rows from 1; only the first ``first_rows`` are
-    compared, and only cells that start with ``=`` on either side.
+    compared (all when it is None), and only cells that start with ``=`` on either side.
+    A column's mismatches come in parts of :data:`PART_ROWS` data rows, one row each; the
+    headers are in the column's first row.
     """
     main = check_config(config)
     books = broadcast_if_small(config.where((F.col("compare") == "Y") & (F.col("book") != main)).select("book"))
@@ -63,20 +67,22 @@ def table_diff(tables: DataFrame, headers: DataFrame, cells: DataFrame, config:
     head = head.where("m <> o").select(
         "book", "tab", "col_idx", F.col("m").alias("main_header"), F.col("o").alias("other_header"), F.lit(None).alias("cell")
     )
-    formulas = cells.where((F.col("row_no") <= first_rows) & F.col("cell").startswith("="))
+    formulas = cells.where(F.col("cell").startswith("="))
+    formulas = formulas if first_rows is None else formulas.where(F.col("row_no") <= first_rows)
     cell = sided(formulas, ["row_no", "col_idx"], "cell").where(~F.col("m").eqNullSafe(F.col("o")))
     shown = lambda c: F.coalesce(F.col(c), F.lit(NO_FORMULA))
     found = F.struct((F.col("row_no") + 1).alias("row_number"), shown("m").alias("main_formula"), shown("o").alias("other_formula"))
+    part = F.floor((F.col("row_no") - 1) / PART_ROWS).alias("_part")
     cell = cell.select(
-        "book", "tab", "col_idx", F.lit(None).cast("string").alias("main_header"), F.lit(None).cast("string").alias("other_header"), found.alias("cell")
+        "book", "tab", "col_idx", part, F.lit(None).cast("string").alias("main_header"), F.lit(None).cast("string").alias("other_header"), found.alias("cell")
     )
-    # At most ``first_rows`` cells per column, so the list stays short.
-    columns = head.withColumn("cell", F.lit(None).cast(cell.schema["cell"].dataType)).unionByName(cell)
-    columns = columns.groupBy("book", "tab", "col_idx").agg(
+    # At most PART_ROWS cells per list, so it stays short.
+    columns = head.withColumn("_part", F.lit(0).cast("bigint")).withColumn("cell", F.lit(None).cast(cell.schema["cell"].dataType)).unionByName(cell)
+    columns = columns.groupBy("book", "tab", "col_idx", "_part").agg(
         F.max("main_header").alias("main_header"),
         F.max("other_header").alias("other_header"),
         F.array_sort(F.collect_list("cell")).alias("formula_mismatches"),
-    ).withColumn("type", F.lit("columnGroup")).withColumn("column_letter", column_letter(F.col("col_idx"))).drop("col_idx")
+    ).withColumn("type", F.lit("columnGroup")).withColumn("column_letter", column_letter(F.col("col_idx"))).drop("col_idx", "_part")
     out = columns.unionByName(missing, allowMissingColumns=True).unionByName(extra, allowMissingColumns=True)
     issues = F.when(F.col("main_header").isNotNull(), 1).otherwise(0) + F.coalesce(F.size("formula_mismatches"), F.lit(0))
     return out.select(
@@ -86,9 +92,12 @@ def table_diff(tables: DataFrame, headers: DataFrame, cells: DataFrame, config:
 
 
 def discrepancy_rollup(diff: DataFrame) -> DataFrame:
-    """Discrepancies and issues per book, per tab and per column (nulls are totals)."""
-    return diff.rollup("book", "tab", "column_letter").agg(
+    """Discrepancies and issues per book, per tab and per column (nulls are totals); a column in parts counts once."""
+    whole = diff.groupBy("book", "tab", "type", "column_letter").agg(
+        F.when(F.col("type") == "columnGroup", 1).otherwise(F.count("*")).alias("found"), F.sum("issues").alias("issues")
+    )
+    return whole.rollup("book", "tab", "column_letter").agg(
         F.grouping_id().cast("int").alias("level"),
-        F.count("*").alias("discrepancies"),
+        F.sum("found").cast("bigint").alias("discrepancies"),
         F.sum("issues").cast("bigint").alias("issues"),
     ).where((F.col("level") != 7))

@@ -162,26 +162,41 @@ def replace_window(
     return target.where(~gone).unionByName(first_per_key(overlapping, [id_col], [start]).select(*target.columns))
 
 
-def touch_last_sync(control: DataFrame, owners: DataFrame, now: Column, owner: str, stamp: str, slot: str, slots: int = 5) -> DataFrame:
+def touch_last_sync(control: DataFrame, owners: DataFrame, now: Column, owner: str, stamp: str, slot: str, slots: int | None = 5) -> DataFrame:
     """Stamp known owners; put new ones in the free slots, in owner order.
 
-    A control table has ``slots`` rows at most; owners beyond them are lost, as
-    the sheet has no room. Only ``slots`` candidates ever leave a task.
+    A control table has ``slots`` rows at most, as the sheet has no more room; owners
+    beyond them are in :func:`without_slot`. With None there is room for all.
     """
     spark = control.sparkSession
     named = owners.select(owner).distinct()
     known = control.join(named.withColumn("_hit", F.lit(True)), owner, "left").select(
         owner, F.when(F.col("_hit"), now).otherwise(F.col(stamp)).alias(stamp), slot
     )
-    # Both sides of this join have ``slots`` rows at most.
-    one = Window.partitionBy(F.lit(1))
-    free = spark.range(slots).select(F.col("id").cast(control.schema[slot].dataType).alias(slot)).join(control, slot, "left_anti")
-    free = free.withColumn("_n", F.row_number().over(one.orderBy(slot)))
-    new = named.join(control, owner, "left_anti").orderBy(owner).limit(slots)
-    new = new.withColumn("_n", F.row_number().over(one.orderBy(owner)))
+    new = named.join(control, owner, "left_anti")
+    room = control.count() + new.count() if slots is None else slots
+    free = spark.range(room).select(F.col("id").cast(control.schema[slot].dataType).alias(slot)).join(control, slot, "left_anti")
+    if slots is None:
+        # Numbering wants a number first: a text's first seven bytes, in the order of texts.
+        text = control.schema[owner].dataType.typeName() == "string"
+        lead = F.conv(F.rpad(F.hex(F.substring(F.encode(owner, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+        new = new.select(owner, F.coalesce(lead, F.lit(-1)).alias("_lead") if text else F.col(owner).alias("_lead"))
+        new = number_rows(new, ["_lead", owner], row_no="_n").drop("_lead")
+        free = number_rows(free, [slot], row_no="_n")
+    else:
+        # Both sides of the join have ``slots`` rows at most, and no more candidates leave a task.
+        one = Window.partitionBy(F.lit(1))
+        free = free.withColumn("_n", F.row_number().over(one.orderBy(slot)))
+        new = new.orderBy(owner).limit(slots).withColumn("_n", F.row_number().over(one.orderBy(owner)))
     return known.unionByName(free.join(new, "_n").select(owner, now.alias(stamp), slot))
 
 
+def without_slot(owners: DataFrame, synced: DataFrame, owner: str) -> DataFrame:
+    """Owners that found no room in ``synced``, the table of :func:`touch_last_sync`."""
+    held = synced.select(F.col(owner).alias("_held"))
+    return owners.select(owner).distinct().join(held, F.col(owner).eqNullSafe(F.col("_held")), "left_anti")
+
+
 def ingest_new_messages(target: DataFrame, batch: DataFrame, key: str, touched: str, now: Column, order: str) -> DataFrame:
     """Append unknown messages once; a known message only gets a new touch time."""
     incoming = first_per_key(batch, [key], [order])
@@ -196,7 +211,7 @@ def ingest_new_messages(target: DataFrame, batch: DataFrame, key: str, touched:
 def move_matching(
     box: DataFrame,
     folder: str,
-    limit: int,
+    limit: int | None,
     order: list[str],
     unseen_only: bool = False,
     before: Column | None = None,
@@ -204,7 +219,7 @@ def move_matching(
     dest: str | None = None,
     id_col: str = "id",
 ) -> DataFrame:
-    """Mark up to ``limit`` messages of a folder as seen, and move them when ``dest`` is given."""
+    """Mark up to ``limit`` messages of a folder (None: all) as seen, and move them when ``dest`` is given."""
     wanted = F.col("folder") == folder
     if unseen_only:
         wanted = wanted & ~F.col("seen")
@@ -212,8 +227,11 @@ def move_matching(
         wanted = wanted & (F.col("ts") < before)
     if since is not None:
         wanted = wanted & (F.col("ts") >= since)
-    picked = box.where(wanted).orderBy(*order).limit(limit).select(id_col).withColumn("_hit", F.lit(True))
-    marked = box.join(F.broadcast(picked), id_col, "left")  # at most ``limit`` rows
+    if limit is None:
+        marked = box.withColumn("_hit", wanted)
+    else:
+        picked = box.where(wanted).orderBy(*order).limit(limit).select(id_col).withColumn("_hit", F.lit(True))
+        marked = box.join(F.broadcast(picked), id_col, "left")  # at most ``limit`` rows
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     moved = F.when(hit, F.lit(dest)).otherwise(F.col("folder")) if dest else F.col("folder")
     out = marked.withColumn("moved", hit).withColumn("folder", moved).withColumn("seen", F.col("seen") | hit)
@@ -229,9 +247,9 @@ MAILBOX_RUNS = {
 }
 
 
-def mailbox_run(box: DataFrame, run: str, now: Column, order: list[str]) -> DataFrame:
-    """One of the preset runs at the time ``now``."""
-    spec = dict(MAILBOX_RUNS[run])
+def mailbox_run(box: DataFrame, run: str, now: Column, order: list[str], **changed) -> DataFrame:
+    """One of the preset runs at the time ``now``; ``limit=None`` takes all its messages."""
+    spec = MAILBOX_RUNS[run] | changed
     before, since = spec.pop("before_days", None), spec.pop("since_days", None)
     return move_matching(
         box,

@@ -250,7 +250,7 @@ def _books(spark: SparkSession, sf: str):
 
 
 def _diff(spark: SparkSession, sf: str) -> DataFrame:
-    return table_diff(*_books(spark, sf))
+    return table_diff(*_books(spark, sf), first_rows=5)
 
 
 def workbook_diff(spark: SparkSession, sf: str) -> DataFrame:

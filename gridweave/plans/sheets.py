@@ -291,7 +291,7 @@ def touch_last_sync(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("user_id") == 2, 3).otherwise(F.col("user_id")).cast("int").alias("slot"),
     )
     today = e.where((F.col("ts") >= now()) & (F.col("ts") < now() + F.expr("INTERVAL 1 DAY"))).select(F.col("user_id").alias("owner"))
-    return S.touch_last_sync(control, today, now(), "owner", "stamp", "slot")
+    return S.touch_last_sync(control, today, now(), "owner", "stamp", "slot", slots=5)
 
 
 TOUCH_LAST_SYNC_SQL = f"""WITH c AS (SELECT user_id AS owner, CASE WHEN user_id = 2 THEN 3 ELSE user_id END AS slot FROM (SELECT DISTINCT user_id FROM events ORDER BY 1 LIMIT 3)),

@@ -67,8 +67,9 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     """Dictionaries of the documents whose language isn't null.
 
     Each language gives the ``sample_docs`` documents whose ids have the smallest
-    hashes, at most ``DOC_BYTES`` of each: a bounded sample of its texts, which is all
-    that the driver gathers. Ids are picked on slim rows, each task keeping no more than the sample before the
+    hashes, at most ``DOC_BYTES`` of each and ``DICT_BYTES`` of all: a bounded sample of its
+    texts, which is all that the driver gathers. The documents share those bytes evenly, and
+    what short ones leave goes to longer ones; a part begins anywhere in its text, as the id's hash says. Ids are picked on slim rows, each task keeping no more than the sample before the
     shuffle; repeated rows of an id take as many places and teach once.
     Rows with a null id, a null or empty text teach nothing; more than
     ``max_languages`` values of the language column are an error.
@@ -77,9 +78,12 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     known = slim.where("doc_id IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     picked = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample_docs)
-    parts = F.substring(F.encode(F.lower("text"), "UTF-8"), 1, DOC_BYTES).alias("part")
+    data, share = F.encode(F.lower("text"), "UTF-8"), max(1, DICT_BYTES // sample_docs)
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("data") - share, F.lit(0)) + 1).cast("int") + 1
+    parts = F.substring(F.col("data"), start, F.lit(DOC_BYTES)).alias("part")
     rows = (
-        known.select("doc_id", "lang", parts)
+        known.select("doc_id", "lang", data.alias("data"))
+        .select("doc_id", "lang", parts)
         .join(F.broadcast(picked.select("doc_id", "lang")), ["doc_id", "lang"], "left_semi")
         .groupBy("doc_id", "lang")
         .agg(F.min("part").alias("part"))
@@ -91,7 +95,17 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         found.setdefault(r["lang"], []).append((r["doc_id"], bytes(r["part"])))
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages; is {lang} the language column?")
-    return LanguageModel({k: b"\n".join(p for _, p in sorted(v))[-DICT_BYTES:] for k, v in found.items()})
+    return LanguageModel({k: b"\n".join(even_parts([p for _, p in sorted(v)], DICT_BYTES)) for k, v in found.items()})
+
+
+def even_parts(parts: list[bytes], room: int) -> list[bytes]:
+    """The parts, cut so that they fit in ``room`` bytes with a separator after each: all to one length, shorter ones whole."""
+    room -= len(parts)
+    most = 0
+    for left, size in zip(range(len(parts), 0, -1), sorted(map(len, parts))):
+        most = min(size, max(0, room) // left)
+        room -= most
+    return [p[:most] for p in parts]
 
 
 def identify(docs: DataFrame, model: LanguageModel, doc_id: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -45,7 +45,7 @@ STAGES = [
     ("byte_bpe", token_ids),
 ]
 
-#: SQL can't express the stages; the tests hold each against a brute-force version.
+#: SQL can't express the stages. The tests check ids and decoded texts of the whole run only, and no stage's kept rows against a plain version.
 ORACLE_SQL = None
 
 

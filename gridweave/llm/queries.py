@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_path
-from . import archive, byte_bpe, chat, decontaminate, language, lattice, near_text, near_vectors, quality, token_files
+from ..session import cut_lineage, work_path
+from . import archive, byte_bpe, chat, clusters, decontaminate, digests, language, lattice, merkle, near_text, near_vectors, quality, token_files
 from .common import in_fold
 
 
@@ -190,6 +191,87 @@ def op10_lattice_score(spark: SparkSession, sf: str) -> DataFrame:
     return scored.select("doc_id", in_fold(F.col("doc_id"), 5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    leaf = lambda text: merkle.digest_of("doc_id", "source", "lang", "n_chars", text)
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf(F.replace("text", F.lit("\n"), F.lit(""))))
+    manifest = merkle.build(docs, leaf("text"), carry={"doc_id": F.col("doc_id"), "changed": changed})
+    shown = F.coalesce("changed", "leaf")
+    read = merkle.proofs(manifest, spark).select(
+        "doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), merkle.fold_path(shown, F.col("path")).alias("folded_root")
+    )
+    return read.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _leaf(text: str) -> str:
+    values = [f"CAST({c} AS VARCHAR)" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return "sha256(" + " || ".join(f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}) || ':' || {v} END" for v in values) + ")"
+
+
+_OP11 = f"""WITH RECURSIVE d AS (SELECT doc_id, source, {_leaf("text")} AS leaf,
+  CASE WHEN list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1),
+    lambda i: [ascii(substr(CAST(doc_id AS VARCHAR), i, 1)), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))) & 1 = 1 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS shown FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM d),
+low(source, lvl, idx, h, n) AS (SELECT source, 0, idx, leaf, count(*) OVER (PARTITION BY source) FROM leaves
+  UNION ALL SELECT source, any_value(lvl) + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 2) // 3) FROM low WHERE n > 1 GROUP BY source, idx // 3),
+subs AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM low WHERE n = 1),
+up(lvl, idx, h, n) AS (SELECT 0, idx, h, count(*) OVER () FROM subs
+  UNION ALL SELECT any_value(lvl) + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), any_value((n + 2) // 3) FROM up WHERE n > 1 GROUP BY idx // 3),
+nodes AS (SELECT coalesce('=' || source, '') AS tree, lvl, idx, h, n FROM low WHERE n > 1 UNION ALL SELECT 'up', lvl, idx, h, n FROM up WHERE n > 1),
+spots AS (SELECT l.source, l.idx, u.idx AS top, coalesce('=' || l.source, '') AS tree, doc_id, leaf, shown, u.h AS subroot FROM leaves l JOIN subs u ON l.source IS NOT DISTINCT FROM u.source),
+steps AS (SELECT s.tree AS own, s.idx AS place, 0 AS part, x.lvl, coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx < s.idx // CAST(3 ** x.lvl AS BIGINT)), '') AS lhs,
+    coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx > s.idx // CAST(3 ** x.lvl AS BIGINT)), '') AS rhs
+  FROM spots s JOIN nodes x ON x.tree = s.tree AND x.idx // 3 = s.idx // CAST(3 ** (x.lvl + 1) AS BIGINT) GROUP BY s.tree, s.idx, x.lvl
+  UNION ALL SELECT s.tree, s.idx, 1, x.lvl, coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx < s.top // CAST(3 ** x.lvl AS BIGINT)), ''),
+    coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx > s.top // CAST(3 ** x.lvl AS BIGINT)), '')
+  FROM spots s JOIN nodes x ON x.tree = 'up' AND x.idx // 3 = s.top // CAST(3 ** (x.lvl + 1) AS BIGINT) GROUP BY s.tree, s.idx, s.top, x.lvl),
+paths AS (SELECT own, place, sha256(string_agg(lhs || rhs, '' ORDER BY part, lvl)) AS proof,
+  list({{'l': lhs, 'r': rhs}} ORDER BY part, lvl) AS sides FROM steps GROUP BY own, place),
+folds(own, place, k, h, sides) AS (SELECT s.tree, s.idx, 1, s.shown, p.sides FROM spots s LEFT JOIN paths p ON p.own = s.tree AND p.place = s.idx
+  UNION ALL SELECT own, place, k + 1, sha256(sides[k].l || h || sides[k].r), sides FROM folds WHERE k <= len(sides))
+SELECT s.doc_id, s.leaf, s.subroot, r.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM spots s CROSS JOIN (SELECT h FROM up WHERE n = 1) r LEFT JOIN paths p ON p.own = s.tree AND p.place = s.idx
+JOIN folds f ON f.own = s.tree AND f.place = s.idx AND f.k = coalesce(len(f.sides), 0) + 1"""
+
+
+def op12_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return digests.edits(docs, digests.fit_ranks(docs))
+
+
+def op13_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    rows, centroids = clusters.cluster(table(spark, sf, "embeddings"))
+    placed = cut_lineage(rows)
+    sums = {r["cluster"]: r["s"] for r in placed.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
+    digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
+    named = spark.createDataFrame([(i, sums.get(i), d) for i, d in enumerate(digest)], "cluster int, cluster_inertia bigint, centroid_sha256 string")
+    joined = placed.join(F.broadcast(named), "cluster")  # a row a centroid
+    return joined.select("vec_id", "cluster", "distance", "cluster_inertia", F.lit(sum(sums.values())).cast("bigint").alias("inertia"), "centroid_sha256")
+
+
+def _op13_sql(rounds: int = 10, centroids: int = 8, dims: int = 64) -> str:
+    sql = f"""WITH kept AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v,
+    row_number() OVER (ORDER BY sha256('3:' || vec_id), vec_id) AS r FROM embeddings WHERE len(embedding) = {dims}
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+x AS MATERIALIZED (SELECT vec_id, unnest(range({dims})) AS d, unnest(v) AS a FROM kept),
+c0 AS MATERIALIZED (SELECT CAST(r - 1 AS INT) AS c, unnest(range({dims})) AS d, unnest(v) AS a FROM kept WHERE r <= {centroids})"""
+    for i in range(rounds + 1):
+        sql += f""",
+a{i} AS MATERIALIZED (SELECT vec_id, arg_min(c, (s, c)) AS c, min(s) AS s FROM (SELECT vec_id, c, CAST(sum((x.a - m.a) * (x.a - m.a)) AS BIGINT) AS s
+  FROM x JOIN c{i} m USING (d) GROUP BY vec_id, c) GROUP BY vec_id)"""
+        if i < rounds:
+            sql += f""",
+c{i + 1} AS MATERIALIZED (SELECT m.c, m.d, coalesce(n.a, m.a) AS a FROM c{i} m LEFT JOIN (SELECT c, d, CAST((sum(a) - ((sum(a) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS a
+  FROM x JOIN a{i} USING (vec_id) GROUP BY c, d) n ON n.c = m.c AND n.d = m.d)"""
+    return (
+        sql
+        + f"""
+SELECT a.vec_id, a.c AS cluster, a.s AS distance, CAST(sum(a.s) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.s) OVER () AS BIGINT) AS inertia,
+  h.h AS centroid_sha256 FROM a{rounds} a JOIN (SELECT c, sha256(string_agg(a, ',' ORDER BY d)) AS h FROM c{rounds} GROUP BY c) h ON h.c = a.c"""
+    )
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_decontaminate": op2_decontaminate,
@@ -201,10 +283,15 @@ QUERIES = {
     "op8_near_vectors": op8_near_vectors,
     "op9_warc_archive": op9_warc_archive,
     "op10_lattice_score": op10_lattice_score,
+    "op11_merkle": op11_merkle,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_clusters": op13_clusters,
 }
 
 ORACLES = {
     "op1_chat_format": _OP1,
     "op8_near_vectors": _OP8,
     "op9_warc_archive": _OP9,
+    "op11_merkle": _OP11,
+    "op13_clusters": _op13_sql(),
 }

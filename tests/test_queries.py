@@ -1,5 +1,8 @@
 """Every registered query against its SQL counterpart, on the smallest tables."""
 
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -64,3 +67,17 @@ def test_link_rows_do_not_carry_the_page(spark):
 def test_top_k_is_cut_before_the_shuffle(spark):
     plan = QUERIES["site_keywords"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 15, Partial" in plan
+
+
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_without_the_training_data_operators(tmp_path, pipeline):
+    """A copy without their folders imports, with or without the pipeline's file, and offers all other queries."""
+    root = Path(__file__).resolve().parents[1]
+    shutil.copytree(root / "gridweave", tmp_path / "gridweave", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    if pipeline and (root / "corpus_pipeline.py").exists():
+        shutil.copy(root / "corpus_pipeline.py", tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+    names, oracles = said.stdout.splitlines()
+    assert names.split() == sorted(QUERIES) and oracles.split() == sorted(ORACLES)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.ml.feature import NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import markup as M
 from ..functions import urls as U
 from ..functions.text import clean_text
+from ..functions.tokens import elements
 from ..functions.values import unfold
 from .matching import type_lookup
 from .ordering import first_k_per_group
@@ -40,6 +43,74 @@ BROKEN_LINK = "Broken Link"
 ALL_ROWS = (1 << 31) - 1
 
 
+#: Elements that the audit reads.
+ELEMENTS = frozenset(["a", "base", "h1", "link", "meta", "p", "title"])
+
+
+def page_elements(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
+    """(keep, elements) of each page: an array of (tag, attrs, text) in page order, read in one pass.
+
+    The tokenizer reads markup as browsers do, which expressions can't: quoted `>`, unclosed
+    comments, declarations, raw texts, all character references. A null page has no elements.
+    From here :func:`element_issues`, :func:`element_text` and :func:`element_links` need no
+    markup any more.
+    """
+    kind = pa.list_(pa.struct([("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+
+    def read(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                found = [elements(h or "", ELEMENTS) for h in part.column("_html").to_pylist()]
+                rows = pa.array([[{"tag": t, "attrs": list(a.items()), "text": x} for t, a, x in e] for e in found], kind)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], rows], names=[*keep, "elements"])
+
+    slim = pages.select(*keep, F.col(html).alias("_html"))
+    schema = StructType(slim.drop("_html").schema.fields + StructType.fromDDL("elements array<struct<tag:string,attrs:map<string,string>,text:string>>").fields)
+    return slim.mapInArrow(read, schema)
+
+
+def _attr(element: Column, name: str) -> Column:
+    return F.coalesce(F.element_at(element["attrs"], name), F.lit(""))
+
+
+def element_issues(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """The ten flags of :func:`page_issues` from the elements of :func:`page_elements`."""
+    of = lambda tag: F.filter("elements", lambda e: e["tag"] == tag)
+    facts = parsed.select(
+        *keep,
+        F.coalesce(F.get(of("title"), F.lit(0))["text"], F.lit("")).alias("_title"),
+        F.size(of("h1")).alias("_h1"),
+        F.size(of("title")).alias("_titles"),
+        F.filter(of("meta"), lambda e: _attr(e, "name") == "description").alias("_described"),
+        F.size(F.filter(of("link"), lambda e: (_attr(e, "rel") == "canonical") & (M.strip_space(_attr(e, "href")) != ""))).alias("_canonical"),
+    )
+    counted = facts.select(
+        *keep, "_title", "_h1", "_titles", "_canonical", F.size("_described").alias("_metas"), F.octet_length("_title").alias("_bytes"),
+        F.octet_length(F.coalesce(_attr(F.get("_described", F.lit(0)), "content"), F.lit(""))).alias("_meta_bytes"),
+    )
+    return issue_flags(counted, keep)
+
+
+def element_text(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """Description contents, then paragraph texts, joined by a blank, from the elements of :func:`page_elements`."""
+    described = F.filter("elements", lambda e: (e["tag"] == "meta") & (_attr(e, "name") == "description"))
+    texts = F.concat(
+        F.transform(described, lambda e: _attr(e, "content")), F.transform(F.filter("elements", lambda e: e["tag"] == "p"), lambda e: e["text"])
+    )
+    return parsed.select(*keep, F.size(texts).alias("elements"), F.array_join(texts, " ").alias("text"))
+
+
+def element_links(parsed: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, base_href, position, href, rel) of each link, as :func:`raw_links` gives them, from the elements of :func:`page_elements`."""
+    of = lambda tag: F.filter("elements", lambda e: e["tag"] == tag)
+    base = F.get(of("base"), F.lit(0))
+    links = F.transform(of("a"), lambda e: F.struct(_attr(e, "href").alias("href"), _attr(e, "rel").alias("rel")))
+    found = parsed.select(*keep, F.when(base.isNotNull(), _attr(base, "href")).alias("base_href"), links.alias("_links"))
+    rows = unfold(found, [*keep, "base_href"], F.col("_links"), "_l", "position")
+    return rows.select(*keep, "base_href", "position", F.col("_l.href").alias("href"), F.col("_l.rel").alias("rel"))
+
+
 def raw_links(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """One row per ``<a>`` with its position, href and rel."""
     seen = pages.select(*keep, M.visible_markup(F.col(html)).alias("_m"))
@@ -89,11 +160,14 @@ def updater_links(pages: DataFrame, keep: list[str], page_url: str, html: str =
     return kept.select(*keep, "position", U.resolve_url_from_root(F.col("href"), F.col(page_url)).alias("url"))
 
 
-def link_counts(links: DataFrame, key: list[str]) -> DataFrame:
-    """Internal and external links per page."""
-    return links.groupBy(*key).agg(
+def link_counts(links: DataFrame, key: list[str], pages: DataFrame | None = None) -> DataFrame:
+    """Internal and external links per page; with ``pages`` a page without links has none of both instead of no row."""
+    counts = links.groupBy(*key).agg(
         F.count_if("is_internal").alias("internal_links"), F.count_if("is_external").alias("external_links")
     )
+    if pages is None:
+        return counts
+    return pages.select(*key).distinct().join(counts, key, "left").na.fill(0, ["internal_links", "external_links"])
 
 
 def links_column(links: DataFrame, key: list[str]) -> DataFrame:
@@ -104,6 +178,24 @@ def links_column(links: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def issue_flags(facts: DataFrame, keep: list[str]) -> DataFrame:
+    """The ten flags from a page's counts of elements, first title and byte lengths."""
+    has_title = F.col("_title") != ""
+    rules = [
+        F.col("_h1") == 0,
+        F.col("_metas") == 0,
+        ~has_title,
+        F.col("_canonical") == 0,
+        F.col("_meta_bytes") > MAX_DESCRIPTION,
+        has_title & (F.col("_bytes") > MAX_TITLE),
+        has_title & (F.col("_bytes") < MIN_TITLE),
+        has_title & (F.col("_titles") > 1),
+        F.col("_metas") > 1,
+        F.col("_h1") > 1,
+    ]
+    return facts.select(*keep, *[r.cast("int").alias(n) for n, r in zip(ISSUES, rules)])
+
+
 def page_issues(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """Ten 0/1 flags per page; lengths are bytes of the decoded text."""
     head = pages.select(*keep, M.visible_markup(F.col(html)).alias("_m")).select(
@@ -127,20 +219,7 @@ def page_issues(pages: DataFrame, keep: list[str], html: str = "html") -> DataFr
         F.size(canonical).alias("_canonical"),
         F.octet_length("_title").alias("_bytes"),
     )
-    has_title = F.col("_title") != ""
-    rules = [
-        F.col("_h1") == 0,
-        F.col("_metas") == 0,
-        ~has_title,
-        F.col("_canonical") == 0,
-        F.col("_meta_bytes") > MAX_DESCRIPTION,
-        has_title & (F.col("_bytes") > MAX_TITLE),
-        has_title & (F.col("_bytes") < MIN_TITLE),
-        has_title & (F.col("_titles") > 1),
-        F.col("_metas") > 1,
-        F.col("_h1") > 1,
-    ]
-    return facts.select(*keep, *[r.cast("int").alias(n) for n, r in zip(ISSUES, rules)])
+    return issue_flags(facts, keep)
 
 
 def page_items(pages: DataFrame, issues: DataFrame, key: str, status: str, types: DataFrame) -> DataFrame:

@@ -89,6 +89,41 @@ def page_issues(spark: SparkSession, sf: str) -> DataFrame:
 PAGE_ISSUES_SQL = f"WITH {SITE_PAGES_SQL}, {ISSUES_SQL} SELECT * EXCLUDE (url, status) FROM issues"
 
 
+# Markup put before each page by its id, and behind it; SQL has the same places as facts.
+ODD_MARKUP = [
+    ("", ""),
+    ("<meta data-a='>' name=\"description\" content=\"1 > 0 &amp; more\">", ""),
+    ("", "<!-- <h1>a</h1><title>b</title><link rel=canonical href=/c>"),
+    ("<![CDATA[ > ]]><link title='>' rel=canonical href=\"/c?a=1>2\">", ""),
+    (f"<meta name=description content='{'é' * 81}'>", ""),
+    ("<meta name=description><meta name=\"description\" content=\"&eacute;\">", ""),
+    ("<title> &#32;&Tab; </title>", ""),
+    ("<title>&LongLeftRightArrow;&lt;b&gt; é</title>", ""),
+    (f"<title>{'&eacute;' * 31}</title>", ""),
+    ("<xmp>'<h1>' < 1; </xmps>", ""),
+    ("<script>var a = '<h1>' < 1; </scripts></script><h1 title='>'>", ""),
+    ("<p title='<h1>'><textarea><h1></textarea></p x='>'>", "<a href='open><h1>"),
+]
+
+
+def markup_issues(spark: SparkSession, sf: str) -> DataFrame:
+    """The flags and texts of pages with markup that only a tokenizer reads right."""
+    at = (F.col("page_id") % len(ODD_MARKUP)).cast("int")
+    part = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in ODD_MARKUP]), at + 1)
+    odd = table(spark, sf, "pages", True).select("page_id", F.concat(part(0), "html", part(1)).alias("html"))
+    return P.element_issues(P.page_elements(odd, ["page_id"]), ["page_id"])
+
+
+MARKUP_ISSUES_SQL = f"""WITH {SITE_PAGES_SQL}, {ISSUES_SQL}, k AS (SELECT page_id, page_id % {len(ODD_MARKUP)} AS k, h1s, titles, strlen(title) AS n FROM facts),
+f AS (SELECT page_id, k, CASE k WHEN 9 THEN 0 WHEN 10 THEN h1s + 1 ELSE h1s END AS h1s,
+  CASE WHEN k IN (6, 7, 8) THEN titles + 1 WHEN k = 9 THEN 0 ELSE titles END AS titles, CASE k WHEN 6 THEN 0 WHEN 7 THEN 9 WHEN 8 THEN 62 WHEN 9 THEN 0 ELSE n END AS n,
+  CASE WHEN k IN (1, 4) THEN 1 WHEN k = 5 THEN 2 ELSE 0 END AS metas FROM k)
+SELECT page_id, CAST(h1s = 0 AS INT) AS "Missing H1 Heading", CAST(metas = 0 AS INT) AS "Missing Meta Description", CAST(n = 0 AS INT) AS "Missing Title Tag",
+  CAST(k <> 3 AS INT) AS "No Canonical Tag", CAST(k = 4 AS INT) AS "Meta Description Too Long", CAST(n > 60 AS INT) AS "Title Tag Too Long",
+  CAST(n BETWEEN 1 AND 29 AS INT) AS "Title Tag Too Short", CAST(n > 0 AND titles > 1 AS INT) AS "Multiple Title Tags",
+  CAST(metas > 1 AS INT) AS "Multiple Meta Descriptions", CAST(h1s > 1 AS INT) AS "Multiple H1 Headings" FROM f"""
+
+
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     pages = site_pages(spark, sf)
     issues = P.page_issues(pages, ["page_id", "status"])
@@ -490,6 +525,7 @@ QUERIES = {
     "site_score": site_score,
     "site_score_latest": site_score_latest,
     "page_issues": page_issues,
+    "markup_issues": markup_issues,
     "page_items": page_items,
     "page_links": page_links,
     "link_counts": link_counts,
@@ -514,6 +550,7 @@ ORACLES = {
     "site_score": SITE_SCORE_SQL,
     "site_score_latest": SITE_SCORE_LATEST_SQL,
     "page_issues": PAGE_ISSUES_SQL,
+    "markup_issues": MARKUP_ISSUES_SQL,
     "page_items": PAGE_ITEMS_SQL,
     "page_links": PAGE_LINKS_SQL,
     "link_counts": LINK_COUNTS_SQL,

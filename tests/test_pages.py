@@ -156,3 +156,10 @@ def test_latest_crawls(spark):
     df = spark.createDataFrame(rows, "website string, crawl_id int, pages_crawled int, issues_found int, complete boolean, is_test boolean, d string")
     got = score.latest_crawls(df.withColumn("crawled_at", F.col("d").cast("timestamp_ntz"))).collect()
     assert [tuple(r) for r in got] == [("a", 2)]
+
+
+def test_link_counts_of_pages_without_links(spark):
+    pages = spark.createDataFrame([(1, "<a href='http://www.a.de/x'>1</a><a href='http://b.de/'>2</a>", "http://www.a.de"), (2, "none", "http://www.a.de"), (3, None, "http://www.a.de")], "page_id int, html string, site_url string")
+    links = P.page_links(pages, ["page_id"], "site_url")
+    got = P.link_counts(links, ["page_id"], pages)
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 0, 0), (3, 0, 0)]

@@ -6,45 +6,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import let, unfold
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 # Fixed value: the item type used when no type name contains the issue text.
 UNKNOWN_ITEM_TYPE = 21
 _GRAM = 3
 
 
+def _grams(col, n):
+    """All substrings of ``n`` characters; the whole text when it is shorter."""
+    start = F.sequence(F.lit(1), F.greatest(F.length(col) - n + 1, F.lit(1)))
+    return F.transform(start, lambda i: F.substring(col, i, n))
+
+
+def gram_candidates(low: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_tid, _kid, _key) of texts (_tid, _text) and keys (_kid, _key), both in lower case, that share the key's rarest gram.
+
+    A key has the grams of three characters in it, a shorter one itself. A text is posted
+    under those of its grams that any key has; a key is filed under the one that the
+    fewest texts have, so keys that begin alike, or hold common grams, don't meet all
+    texts. A key with a gram that no text has is in none.
+    """
+    sizes = sorted(r["n"] for r in wanted.select(F.least(F.length("_key"), F.lit(_GRAM)).alias("n")).distinct().collect())  # three at most
+    if not sizes:
+        return low.join(wanted, F.col("_text") == F.col("_key")).select("_tid", "_kid", "_key")  # no keys, no pairs
+    key_grams = unfold(wanted, ["_kid", "_key"], F.array_distinct(_grams(F.col("_key"), F.least(F.length("_key"), F.lit(_GRAM)))), "_gram")
+    text_grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_text"), F.lit(n)) for n in sizes])))
+    postings = cut_lineage(unfold(low, ["_tid"], text_grams, "_gram").join(key_grams.select("_gram").distinct(), "_gram", "left_semi"))
+    frequency = postings.groupBy("_gram").agg(F.count("*").alias("_texts"))
+    known = key_grams.join(frequency, "_gram", "left").na.fill(0, ["_texts"])
+    rarest = known.groupBy("_kid").agg(F.min(F.struct("_texts", "_gram")).alias("_r"), F.first("_key").alias("_key"))
+    filed = rarest.where(F.col("_r._texts") > 0).select("_kid", "_key", F.col("_r._gram").alias("_gram"))
+    return postings.join(filed, "_gram").select("_tid", "_kid", "_key")
+
+
 def contained_pairs(texts: DataFrame, text_id: str, text: str, keys: DataFrame, key_id: str, key: str) -> DataFrame:
     """(text id, key id) wherever the key occurs in the text, ignoring case.
 
-    An equi-join on short substrings: a key is filed under its first three
-    characters (all of it when shorter), a text under every substring of one to
-    three characters; hits are then verified. Works at any size of both sides.
-    Blank keys match nothing. Both ids are unique.
+    Candidates come from an index of grams (:func:`gram_candidates`), hits are then verified.
+    Works at any size of both sides. Blank keys match nothing. Both ids are unique.
     """
     low = texts.select(F.col(text_id).alias("_tid"), F.lower(text).alias("_text"))
     wanted = keys.where(F.col(key) != "").select(F.col(key_id).alias("_kid"), F.lower(key).alias("_key"))
-    wanted = wanted.withColumn("_gram", F.substring("_key", 1, _GRAM))
-    start = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
-
-    def substrings(n: int):
-        return F.transform(start, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
-
-    grams = F.flatten(F.array(*[substrings(n) for n in range(1, _GRAM + 1)]))
-    filed = unfold(low, ["_tid"], F.array_distinct(grams), "_gram")
     # Candidates carry ids only; each text joins back once for the check.
-    candidates = filed.join(wanted, "_gram").select("_tid", "_kid", "_key")
-    hits = candidates.join(low, "_tid").where(F.contains("_text", "_key"))
+    hits = gram_candidates(low, wanted).join(low, "_tid").where(F.contains("_text", "_key"))
     return hits.select(F.col("_tid").alias(text_id), F.col("_kid").alias(key_id))
 
 
-def first_keyword_match(events: DataFrame, event_id: str, title: str, clients: DataFrame, out: str = "client") -> DataFrame:
+def first_keyword_match(events: DataFrame, event_id: str, title: str, clients: DataFrame, out: str = "client", max_bytes: int = 4 << 20) -> DataFrame:
     """First client in list order whose keyword is in the title, ignoring case; else blank.
 
     ``clients`` has the columns client, keyword, position; equal positions go by
-    keyword, then client. The list travels as one sorted array with every task, whatever
-    its length, so it must fit in a row; events are not shuffled and their ids may repeat.
+    keyword, then client. The list travels as one sorted array with every task; one of more than
+    ``max_bytes`` is an error, to be matched by :func:`contained_pairs`. Events are
+    not shuffled and their ids may repeat.
     """
     usable = clients.where(F.coalesce(F.col("keyword"), F.lit("")) != "")
+    size = usable.agg(F.coalesce(F.sum(F.octet_length("keyword") + F.octet_length(F.col("client").cast("string"))), F.lit(0)).alias("n")).first()["n"]
+    if size > max_bytes:
+        raise ValueError(f"a client list of {size} bytes; at most {max_bytes} can travel with every task")
     listed = usable.agg(
         F.array_sort(F.collect_list(F.struct("position", F.lower("keyword").alias("keyword"), "client"))).alias("l")
     ).scalar()
@@ -56,13 +76,18 @@ def first_keyword_match(events: DataFrame, event_id: str, title: str, clients: D
 def type_lookup(items: DataFrame, issue: str, types: DataFrame, out: str = "type_id") -> DataFrame:
     """Highest id of the types whose name contains the issue text, ignoring case; else 21.
 
-    ``types`` has type_id and type_name; it travels as one array, whatever its length, so
-    it must fit in a row. A blank issue is contained in every name.
+    ``types`` has type_id and type_name. A blank issue is contained in every name, a null one
+    in none. Distinct issues meet distinct names once, by :func:`contained_pairs`;
+    items join the result from the left, which Spark can split for a hot issue.
     """
-    listed = types.agg(F.collect_list(F.struct("type_id", F.lower("type_name").alias("name"))).alias("l")).scalar()
-    hits = let(F.lower(issue), lambda low: F.filter(F.col("_types"), lambda t: F.contains(t["name"], low)))
-    best = F.coalesce(F.array_max(hits["type_id"]), F.lit(UNKNOWN_ITEM_TYPE))
-    return items.withColumn("_types", listed).withColumn(out, best.cast("int")).drop("_types")
+    names = types.where(F.col("type_name").isNotNull()).groupBy(F.lower("type_name").alias("_name")).agg(F.max("type_id").alias("_best"))
+    issues = items.select(F.lower(issue).alias("_issue")).distinct()
+    pairs = contained_pairs(names, "_name", "_name", issues, "_issue", "_issue")
+    found = pairs.join(names, "_name").groupBy("_issue").agg(F.max("_best").alias("_best"))
+    any_name = names.agg(F.max("_best").alias("b")).scalar()
+    joined = items.withColumn("_issue", F.lower(issue)).join(found, "_issue", "left")
+    best = F.coalesce(F.when(F.col("_issue") == "", any_name).otherwise(F.col("_best")), F.lit(UNKNOWN_ITEM_TYPE))
+    return joined.withColumn(out, best.cast("int")).select(*items.columns, out)
 
 
 def mention_join(sections: DataFrame, section_id: str, listed: str, characters: DataFrame, name: str) -> DataFrame:

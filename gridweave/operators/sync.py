@@ -162,6 +162,27 @@ def replace_window(
     return target.where(~gone).unionByName(first_per_key(overlapping, [id_col], [start]).select(*target.columns))
 
 
+def replace_windows(
+    target: DataFrame, fresh: DataFrame, control: DataFrame, now: Column, start: str, end: str, owner_col: str, id_col: str,
+    back: str = "back_days", forward: str = "forward_days",
+) -> DataFrame:
+    """:func:`replace_window` for all owners of a control table at once, each with days of its own.
+
+    ``control`` has the owner and the days back and forward; null or not above 0 they are 7, and
+    of several rows of an owner the widest count. Owners that it doesn't name keep
+    their rows, those with a null owner too. Both joins are on the owner, from the side of the
+    events, which Spark can split for a hot owner.
+    """
+    days = lambda c: F.coalesce(F.when(F.col(c) > 0, F.col(c)), F.lit(7)).cast("int")
+    windows = control.where(F.col(owner_col).isNotNull()).groupBy(F.col(owner_col).alias("_owner")).agg(
+        (now - F.make_dt_interval(F.max(days(back)))).alias("_low"), (now + F.make_dt_interval(F.max(days(forward)))).alias("_high")
+    )
+    mine = F.col(owner_col) == F.col("_owner")
+    kept = target.join(windows, mine, "left").where(~F.coalesce(F.col(start) > F.col("_low"), F.lit(False)))
+    overlapping = fresh.join(windows, mine).where((F.col(end) > F.col("_low")) & (F.col(start) < F.col("_high")))
+    return kept.select(*target.columns).unionByName(first_per_key(overlapping, [owner_col, id_col], [start]).select(*target.columns))
+
+
 def touch_last_sync(control: DataFrame, owners: DataFrame, now: Column, owner: str, stamp: str, slot: str, slots: int | None = 5) -> DataFrame:
     """Stamp known owners; put new ones in the free slots, in owner order.
 

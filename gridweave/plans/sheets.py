@@ -282,6 +282,28 @@ SELECT event_id, 'new ' || title, s, f, owner FROM e WHERE owner = 8 AND f > TIM
 SELECT event_id, title, s AS start, owner, printf('%.2f', epoch_us(f) / 3600000000.0 - epoch_us(s) / 3600000000.0) AS hours FROM w"""
 
 
+# The control table of the query (owner, days back, days forward).
+WINDOWS = [(8, 0, 0), (3, 2, 1), (5, None, 30), (21, 20, None)]
+
+
+def replace_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as calendar rows; the calendars of four owners are synced, each with its own window."""
+    e = table(spark, sf, "events").select(
+        "event_id", F.col("event_type").alias("title"), F.col("ts").alias("start"),
+        (F.col("ts") + F.make_dt_interval(mins=F.floor("value").cast("int"))).alias("end"), F.col("user_id").alias("owner"),
+    )
+    control = spark.createDataFrame(WINDOWS, "owner bigint, back_days int, forward_days int")
+    got = S.replace_windows(e, e.withColumn("title", F.concat(F.lit("new "), "title")), control, now(), "start", "end", "owner", "event_id")
+    return got.select("event_id", "title", "start", "owner", V.duration_hours(F.col("start"), F.col("end")).alias("hours"))
+
+
+REPLACE_WINDOWS_SQL = f"""WITH e AS (SELECT event_id, event_type AS title, ts AS s, ts + to_minutes(CAST(floor(value) AS INT)) AS f, user_id AS owner FROM events),
+c AS (SELECT owner, TIMESTAMP '{NOW}' - to_days(b) AS low, TIMESTAMP '{NOW}' + to_days(d) AS high FROM (VALUES (8, 7, 7), (3, 2, 1), (5, 7, 30), (21, 20, 7)) v(owner, b, d)),
+w AS (SELECT e.* FROM e LEFT JOIN c USING (owner) WHERE NOT coalesce(s > low, false) UNION ALL
+SELECT event_id, 'new ' || title, s, f, e.owner FROM e JOIN c USING (owner) WHERE f > low AND s < high)
+SELECT event_id, title, s AS start, owner, printf('%.2f', epoch_us(f) / 3600000000.0 - epoch_us(s) / 3600000000.0) AS hours FROM w"""
+
+
 def touch_last_sync(spark: SparkSession, sf: str) -> DataFrame:
     """Three known owners in slots 0, 1 and 3; today's users try to get in."""
     e = table(spark, sf, "events")
@@ -518,7 +540,7 @@ _NAMES = (
     "column_letters:COLUMN_LETTERS_SQL inserted_tasks:INSERTED_TASKS_SQL rejected_tasks:REJECTED_TASKS_SQL "
     "upsert_orders:UPSERT_ORDERS_SQL upsert_counts:UPSERT_COUNTS_SQL transaction_keys:TRANSACTION_KEYS_SQL "
     "insert_if_absent:INSERT_IF_ABSENT_SQL get_or_create:GET_OR_CREATE_SQL slot_upsert:SLOT_UPSERT_SQL "
-    "latest_text:LATEST_TEXT_SQL replace_window:REPLACE_WINDOW_SQL touch_last_sync:TOUCH_LAST_SYNC_SQL "
+    "latest_text:LATEST_TEXT_SQL replace_window:REPLACE_WINDOW_SQL replace_windows:REPLACE_WINDOWS_SQL touch_last_sync:TOUCH_LAST_SYNC_SQL "
     "ingested_messages:INGESTED_MESSAGES_SQL mailbox_runs:MAILBOX_RUNS_SQL update_status:UPDATE_STATUS_SQL "
     "unmatched_status:UNMATCHED_STATUS_SQL merge_config:MERGE_CONFIG_SQL expand_links:EXPAND_LINKS_SQL "
     "flatten_report:FLATTEN_REPORT_SQL rows_to_array:ROWS_TO_ARRAY_SQL payload_json:PAYLOAD_JSON_SQL "

@@ -62,13 +62,15 @@ def cell_changes(edits: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """Stream of (key, old, new, seq): cells whose value after a micro-batch differs
     from the one before it. State is one value per cell; the order of rows within a
     batch does not matter, rows older than the known one are ignored. Rows with a null
-    key are one cell of their own.
+    key are one cell of their own, rows with a null ``seq`` have no place in the order and
+    are ignored.
 
     Needs ``spark.sql.streaming.stateStore.providerClass`` set to :data:`ROCKSDB`.
     """
     # Keys go to Python as texts that are never null: "=" and the key, or "" for a null one.
     named = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     shaped = edits.select(named.alias("key"), F.col(value).cast("string").alias("value"), F.col(seq).cast("bigint").alias("seq"))
+    shaped = shaped.where("seq IS NOT NULL")
     newest = shaped.mapInPandas(_combine, shaped.schema)
     changes = newest.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_LastCell(), outputStructType="key string, old string, new string, seq bigint",

@@ -51,3 +51,20 @@ def test_events_of_any_time_and_user(spark, tmp_path, name):
     df = QUERIES[name](spark, str(tmp_path))
     cur = con.execute(ORACLES[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in cur.description], cur.fetchall())
+
+
+def test_cell_changes_without_a_place_in_the_order(spark, tmp_path):
+    """Rows with a null seq are ignored, also where a key has no others in a batch."""
+    src, out, key = str(tmp_path / "s"), str(tmp_path / "o"), "spark.sql.streaming.stateStore.providerClass"
+    kinds = "key string, value string, seq long"
+    runs = [[("a", "1", 1), ("b", "x", None)], [("a", "2", None), ("b", "y", 5), ("c", None, None)], [("a", "3", 4), ("a", "9", None), ("b", "z", 6)]]
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, state.ROCKSDB)
+    try:
+        for run in runs:
+            spark.createDataFrame(run, kinds).coalesce(1).write.mode("append").parquet(src)
+            changes = state.cell_changes(spark.readStream.schema(kinds).parquet(src), "key", "value", "seq")
+            triggers.run_available(changes, out, out + "-log")
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", "1", "3", 4), ("b", "y", "z", 6)]

@@ -1,7 +1,7 @@
 """Header, sync, reshape, ordering, matching and diff operators on literal tables."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -235,6 +235,35 @@ def test_contained_pairs_against_brute_force(spark):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_keys_that_begin_alike_have_few_candidates(spark):
+    """1,500 keys with one beginning over 1,500 texts that all hold it: the rarest gram decides, not the first."""
+    low = spark.range(1500).select(F.col("id").alias("_tid"), F.concat(F.lit("common start "), F.lpad(F.conv(F.col("id") * 7919, 10, 36), 6, "x"), F.lit(" end")).alias("_text"))
+    low = low.withColumn("_text", F.lower("_text"))
+    wanted = low.select(F.col("_tid").alias("_kid"), F.expr("substring(_text, 1, 19)").alias("_key"))
+    assert J.gram_candidates(low, wanted).count() < 10_000
+    found = J.contained_pairs(low, "_tid", "_text", wanted, "_kid", "_key")
+    assert found.count() == 1500 and found.where("_tid <> _kid").count() == 0
+    assert J.contained_pairs(low, "_tid", "_text", wanted.where("_key = ''"), "_kid", "_key").count() == 0
+
+
+def test_long_client_list_is_refused(spark):
+    events = spark.createDataFrame([(1, "a")], "id int, title string")
+    clients = spark.createDataFrame([("c", "k" * 50, 1)], "client string, keyword string, position int")
+    with pytest.raises(ValueError):
+        J.first_keyword_match(events, "id", F.col("title"), clients, max_bytes=20)
+
+
+def test_replace_windows(spark):
+    """Each owner by its own days; null and low days are 7; owners without a row, null owners and repeated control rows."""
+    d = lambda n: datetime(2024, 1, 20) + timedelta(days=n)
+    old = [(i, o, d(n), d(n + 1)) for i, (o, n) in enumerate([(1, -9), (1, -3), (1, 50), (2, -3), (2, -1), (3, -3), (None, 0), (4, -8), (4, -6)])]
+    new = [(100 + i, o, d(n), d(n + 0.5)) for i, (o, n) in enumerate([(1, -7.2), (1, -8), (1, 6), (1, 8), (2, -3), (2, 1.5), (2, 4), (3, 0), (None, 0)])] + [(102, 1, d(6), d(6.5))]
+    kinds = "id int, owner int, s timestamp_ntz, e timestamp_ntz"
+    control = spark.createDataFrame([(1, 0, None), (2, 1, 2), (2, 2, 1), (4, -1, 3), (None, 1, 1)], "owner int, back_days int, forward_days int")
+    got = S.replace_windows(spark.createDataFrame(old, kinds), spark.createDataFrame(new, kinds), control, F.lit(d(0)).cast("timestamp_ntz"), "s", "e", "owner", "id")
+    assert sorted(r["id"] for r in got.collect()) == [0, 3, 5, 6, 7, 100, 102, 105]
+
+
 def test_first_keyword(spark):
     events = spark.createDataFrame([(1, "Call with ACME about beta"), (2, "beta"), (3, "none")], "id int, title string")
     clients = spark.createDataFrame([("B", "Beta", 2), ("A", "acme", 1), ("N", "", 0)], "client string, keyword string, position int")

@@ -8,16 +8,20 @@ import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import word_blocks
+from ..session import cut_lineage
+from .blocks import Block, word_blocks
 from .common import give_back
 
 #: Words with more bytes are merged by a heap: a fold's time grows with the square of a word's length.
 LONG_WORD = 64
+#: Frequent words that are folded before all others, at most; documents, about, of the sample that they are taken from.
+COMMON_WORDS, SAMPLE_DOCS = 160_000, 5_000
 #: Words of a block: a few tens of megabytes in the JVM and in a worker.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
 #: No merge. Ranks and positions in a folded word are smaller.
 _NONE = 1 << 16
 #: An id that merges with nothing; it stands before a word.
@@ -66,21 +70,30 @@ class RankMap:
                 slots[left + shift] = entry
         self.slots = [1 << 50 if x < 0 else x for x in slots[: max((i for i, x in enumerate(slots) if x >= 0), default=0) + 1]]
 
-    def lookup(self):
-        """f(left, right): the merged id, ``_NONE`` if the two don't merge or one is null."""
-        array = lambda xs: F.from_json(F.lit(json.dumps(xs, separators=(",", ":"))), "array<bigint>")
-        shifts, slots, none = array(self.shifts), array(self.slots), F.lit(_NONE).cast("bigint")
+    def table(self, spark: SparkSession) -> DataFrame:
+        """One row (shifts, slots), written from the two literals."""
+        array = lambda xs, name: F.from_json(F.lit(json.dumps(xs, separators=(",", ":"))), "array<bigint>").alias(name)
+        return cut_lineage(spark.range(1).select(array(self.shifts, "shifts"), array(self.slots, "slots")))
 
-        def find(left: Column, right: Column) -> Column:
-            bucket = (left + right * self.FACTOR).bitwiseAND(F.lit(self.MASK)).cast("int")
-            entry = F.get(slots, (left + F.get(shifts, bucket)).cast("int"))
-            return F.least(entry.bitwiseXOR(F.shiftleft(left, 32).bitwiseOR(F.shiftleft(right, 16))), none)
 
-        return find
+def with_ranks(df: DataFrame, ranks: DataFrame) -> DataFrame:
+    """Adds the rank map as constant columns ``_shifts`` and ``_slots``.
 
+    As literals in each place that looks up a pair they would stand in the plan, and in its
+    texts that the driver keeps, many times over.
+    """
+    return df.withColumns({"_shifts": ranks.select("shifts").scalar(), "_slots": ranks.select("slots").scalar()})
+
+
+def find(left: Column, right: Column) -> Column:
+    """The merged id of a pair by the columns of ``with_ranks``, ``_NONE`` if the two don't merge or one is null."""
+    bucket = (left + right * RankMap.FACTOR).bitwiseAND(F.lit(RankMap.MASK)).cast("int")
+    entry = F.get(F.col("_slots"), (left + F.get(F.col("_shifts"), bucket)).cast("int"))
+    return F.least(entry.bitwiseXOR(F.shiftleft(left, 32).bitwiseOR(F.shiftleft(right, 16))), F.lit(_NONE).cast("bigint"))
 
-def fold_merges(word: Column, find) -> Column:
-    """The ids of a word given the ids of its bytes: merge the leftmost pair of lowest rank until none merges.
+
+def fold_merges(word: Column) -> Column:
+    """The ids of a word given the ids of its bytes, beside ``with_ranks``: merge the leftmost pair of lowest rank until none merges.
 
     The state is one number for each id, behind a start mark: the rank with its
     successor, 16 bits of the place in the word, 20 bits of the id. The smallest number
@@ -140,44 +153,39 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
 
     Each match of ``pattern`` is merged for itself by ``ranks``, without special tokens. A
     null text counts as empty and gives no ids; repeated rows stay; other columns are not
-    read. Words are folded once for each task (see ``word_blocks``), in Spark expressions;
-    nothing is shuffled. Words over ``LONG_WORD`` bytes are merged by a heap
-    before the fold, which then finds nothing to merge.
+    read; an empty table gives no rows. Words are folded in Spark expressions: first the most
+    frequent ones of a sample, up to ``COMMON_WORDS``, which are then known to every task, and
+    all others once for each task (see ``word_blocks``). The sample spares work and changes no
+    id; texts are not shuffled. Words over ``LONG_WORD`` bytes are merged by a heap
+    before the fold, which then finds nothing to merge. ``docs`` is read twice, and counted.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
-    pairs: dict[tuple[int, int], int] = {}
-    ranked = ranks
-
-    def first_ids(words: pa.Array) -> pa.Array:
-        nonlocal pairs
-        data = words.cast(pa.large_binary())
-        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        ids, starts = byte_ids[raw], offsets - offsets[0]
-        lens = np.diff(starts)
-        if (lens > LONG_WORD).any():
-            pairs = pairs or {(a, b): m for a, b, m in _merges(ranked)}
-            lists = [merge_long(ids[s:e].tolist(), pairs) if e - s > LONG_WORD else ids[s:e] for s, e in zip(starts, starts[1:])]
-            ids, starts = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
-
+    if sorted(ranks.values()) != list(range(len(ranks))):
+        raise ValueError("ranks must be 0, 1, 2, ...")
+    first_ids, rank_map = _first_ids(ranks), RankMap(ranks).table(docs.sparkSession)
     words = F.regexp_extract_all(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), words.alias("words"))
-    blocks = word_blocks(slim, kind, "words array<array<bigint>>, before bigint", lambda block: [first_ids(block.words), block.before], block_words=BLOCK_WORDS, running=True)
-    find = RankMap(ranks).lookup()
-    merged = blocks.select("doc_ids", "lens", "codes", "before", F.transform("words", lambda w: fold_merges(w, find)).alias("words"))
+    common = _fold_common(slim.select("words"), first_ids, rank_map)
+    known_words, known_ids = (common.column(c).combine_chunks() for c in ("word", "ids"))
+
+    def placed(block: Block) -> list:
+        """Byte ids of the words that are not common, and the place of each word in the common ones and these."""
+        place = pc.index_in(block.words, known_words)
+        new = np.asarray(place.is_null())
+        at = np.where(new, len(known_words) + np.cumsum(new) - 1, np.asarray(place.fill_null(0)))
+        return [first_ids(block.words.filter(pa.array(new))), pa.array(at, pa.int32()), block.before]
+
+    blocks = word_blocks(slim, kind, "words array<array<bigint>>, place array<int>, before bigint", placed, block_words=BLOCK_WORDS, running=True)
+    merged = with_ranks(blocks, rank_map).select("doc_ids", "lens", "codes", "place", "before", F.transform("words", fold_merges).alias("words"))
     pieces = pa.array([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])], pa.large_binary())
-    dense = sorted(ranks.values()) == list(range(len(ranks)))
-    if not dense:
-        raise ValueError("ranks must be 0, 1, 2, ...")
 
     def expand(batches):
         lists = None
         for b in batches:
             for i in range(b.num_rows):
                 codes = np.frombuffer(b.column("codes")[i].as_py(), np.int32)
-                new, before = b.column("words")[i].values, b.column("before")[i].as_py()
+                new = pa.concat_arrays([known_ids, b.column("words")[i].values]).take(b.column("place")[i].values)
+                before = b.column("before")[i].as_py()
                 lists = pa.concat_arrays([lists, new]) if before else new
                 if len(lists) != before + len(new):
                     raise ValueError("blocks of a task are out of order")
@@ -196,6 +204,49 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     return merged.mapInArrow(expand, f"doc_id {kind}, n_tokens bigint, ids binary" + (", decoded binary" if decoded else ""))
 
 
+def _first_ids(ranks: dict[bytes, int]):
+    """f(words) -> ids of each word's bytes; long words come merged."""
+    byte_ids = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
+    pairs: dict[tuple[int, int], int] = {}
+
+    def first_ids(words: pa.Array) -> pa.Array:
+        data = words.cast(pa.large_binary())
+        offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1] if len(data) else np.zeros(1, np.int64)
+        raw = np.frombuffer(data.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ids, starts = byte_ids[raw], offsets - offsets[0]
+        lens = np.diff(starts)
+        if (lens > LONG_WORD).any():
+            if not pairs:
+                pairs.update({(a, b): m for a, b, m in _merges(ranks)})
+            lists = [merge_long(ids[s:e].tolist(), pairs) if e - s > LONG_WORD else ids[s:e] for s, e in zip(starts, starts[1:])]
+            ids, starts = np.concatenate(lists), np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(ids))
+
+    return first_ids
+
+
+def _fold_common(slim: DataFrame, first_ids, rank_map: DataFrame) -> pa.Table:
+    """(word, ids) of the most frequent words of about ``SAMPLE_DOCS`` documents, ``COMMON_WORDS`` words of ``LONG_WORD`` bytes at most."""
+    sample = slim.sample(min(1.0, SAMPLE_DOCS / max(1, slim.count())), 1).select(F.explode("words").alias("word"))
+    short = sample.where(F.octet_length("word") <= LONG_WORD)
+    top = short.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(COMMON_WORDS)
+
+    def spelled(batches):
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        for b in batches:
+            words = b.column("word").cast(pa.large_string())
+            yield pa.RecordBatch.from_arrays([one(words), one(first_ids(words))], names=["words", "ids"])
+
+    # Many words a row, as each row carries the rank map.
+    dealt = cut_lineage(top.select("word").repartition(slim.sparkSession.sparkContext.defaultParallelism))
+    packed = with_ranks(dealt.mapInArrow(spelled, "words array<string>, ids array<array<bigint>>"), rank_map)
+    found = packed.select("words", F.transform("ids", fold_merges).alias("ids")).toArrow()
+    flat_of = lambda name: pa.concat_arrays([*[x.flatten() for x in found.column(name).chunks]]) if len(found) else None
+    words, ids = flat_of("words"), flat_of("ids")
+    kinds = pa.schema([("word", pa.large_string()), ("ids", pa.list_(pa.int32()))])
+    return pa.table({"word": words, "ids": ids}).cast(kinds) if len(found) else kinds.empty_table()
+
+
 def _bytes_of(ids: np.ndarray, at: np.ndarray, pieces: pa.Array) -> list[bytes]:
     """The joined pieces of each run of ids between the places ``at``."""
     taken = pieces.take(pa.array(ids.astype(np.int64)))

@@ -122,10 +122,14 @@ def build(docs: DataFrame, leaf: Column, source: str = "source", order: str = "d
     return Manifest(rows, upper, found["digest"] if found else None)
 
 
-def _descend(rounds: list[DataFrame], above: DataFrame, lowest: list[Column]) -> DataFrame:
-    """Rows of the lowest round with their paths to the root; ``above``: (tree, block, path, root) of the last round's blocks."""
+def _descend(rounds: list[DataFrame], above: DataFrame | None, lowest: list[Column]) -> DataFrame:
+    """Rows of the lowest round with their paths to the root; ``above``: (tree, subroot, block, path) of the last round's blocks.
+
+    Without it there is one tree, whose path ends at its own root.
+    """
+    none = F.array().cast("array<struct<left:string,right:string>>")
     for k in range(len(rounds) - 1, -1, -1):
-        joined = rounds[k].join(above, ["tree", "block"])
+        joined = rounds[k].withColumns({"path": none, "subroot": F.lit("")}) if above is None else rounds[k].join(above, ["tree", "block"])
         each = lambda row, i: F.struct(
             (F.col("block") * ARITY**DEPTH + i).alias("block"),
             F.substring(F.col("levels")[0], i * HEX + 1, F.lit(HEX)).cast("string").alias("leaf"),
@@ -137,10 +141,8 @@ def _descend(rounds: list[DataFrame], above: DataFrame, lowest: list[Column]) ->
     return above
 
 
-def proofs(manifest: Manifest, spark) -> DataFrame:
+def proofs(manifest: Manifest) -> DataFrame:
     """(carried columns, leaf, subroot, path, root) of each row; ``path`` has (left, right) siblings of each level up to the root."""
-    none = F.array().cast("array<struct<left:string,right:string>>")
-    start = spark.range(1).select(F.lit("").alias("tree"), F.lit(0).cast("bigint").alias("block"), none.alias("path"), F.lit("").alias("subroot"))
-    sources = _descend(manifest.sources, start, [F.col("x.kept.tree").alias("tree"), F.col("x.kept.digest").alias("subroot"), F.lit(0).cast("bigint").alias("block"), F.col("x.path").alias("path")])
+    sources = _descend(manifest.sources, None, [F.col("x.kept.tree").alias("tree"), F.col("x.kept.digest").alias("subroot"), F.lit(0).cast("bigint").alias("block"), F.col("x.path").alias("path")])
     rows = _descend(manifest.rows, sources, [F.col("x.kept.*"), F.col("x.leaf").alias("leaf"), "subroot", F.col("x.path").alias("path")])
     return rows.withColumn("root", F.lit(manifest.root).cast("string"))

@@ -197,7 +197,7 @@ def op11_merkle(spark: SparkSession, sf: str) -> DataFrame:
     changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, leaf(F.replace("text", F.lit("\n"), F.lit(""))))
     manifest = merkle.build(docs, leaf("text"), carry={"doc_id": F.col("doc_id"), "changed": changed})
     shown = F.coalesce("changed", "leaf")
-    read = merkle.proofs(manifest, spark).select(
+    read = merkle.proofs(manifest).select(
         "doc_id", "leaf", "subroot", "root", merkle.path_digest(F.col("path")).alias("proof_sha256"), merkle.fold_path(shown, F.col("path")).alias("folded_root")
     )
     return read.withColumn("verified", F.col("folded_root") == F.col("root"))

@@ -166,3 +166,45 @@ def test_pipeline(spark):
     assert 0 < len(ids) == len(set(ids)) < docs.count()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in out)
+
+
+def test_archive_records_are_a_file(spark):
+    """Records one after another, each with its closing line ends; control characters of a url don't break a header."""
+    rows = [(1, "http://a/\r\nX: \x00y\t", "<p>a</p>"), (2, "http://a/%0D", "<p>a</p>"), (3, None, "é" * 1000)]
+    path = work_path(spark, "warc")
+    archive.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    read = archive.read_archive(spark, path).orderBy("record_id").collect()
+    data, seen = b"".join(bytes(r.closed_record) for r in read), []
+    while data:
+        head, rest = data.split(b"\r\n\r\n", 1)
+        size = int(re.search(rb"\r\nContent-Length: (\d+)", head)[1])
+        seen.append(re.search(rb"\r\nWARC-Record-ID: <urn:page:(\d+)>", head)[1])
+        assert head.startswith(b"WARC/1.1\r\n") and rest[size : size + 4] == b"\r\n\r\n"
+        data = rest[size + 4 :]
+    assert seen == [b"1", b"2", b"3"]
+    assert [r.target_uri for r in read] == ["http://a/%0D%0AX: %00y%09", "http://a/%0D", None]
+
+
+def test_token_files_of_all_scripts(spark):
+    """Random texts over many scripts, cases and marks, as the library encodes them whole."""
+    tokenizers = pytest.importorskip("tokenizers")
+    file = queries.tokenizer_file("word_bpe_49k.json")
+    tok, path = tokenizers.Tokenizer.from_file(file), work_path(spark, "scripts")
+    tok.encode_special_tokens = True
+    rng = np.random.default_rng(8)
+    ranges = [(33, 127), (33, 127), (0xA1, 0x180), (0x180, 0x250), (0x2B0, 0x370), (0x370, 0x400), (0x400, 0x480), (0x590, 0x5F0), (0x600, 0x6FF), (0x900, 0x97F), (0xE00, 0xE7F), (0x1E00, 0x1F00), (0x1F00, 0x2000), (0x2000, 0x2070), (0x3040, 0x3100), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0xFB00, 0xFB50), (0x1F300, 0x1F400)]
+    odd = list(".,!?'\"-_*= \t\n\x0b\x1c\x85\xa0̸́̇İıſẞﬁÅ")
+
+    def text():
+        parts = []
+        for _ in range(rng.integers(1, 12)):
+            low, high = ranges[rng.integers(len(ranges))]
+            parts.append("".join(map(chr, rng.integers(low, high, rng.integers(1, 8)))))
+            parts.append("".join(odd[i] for i in rng.integers(0, len(odd), rng.integers(0, 3))))
+        return "".join(parts)
+
+    texts = ["TARİHİ, 1923.", "İ.", "İ, x", "Straße.", "ΣΑΣ. ΣΑΣ", "ŒUVRE, ŒUVRE"] + [text() for _ in range(10_000)]
+    token_files.write_files(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, queries._word_tokenizer(file), 2)
+    got = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_files(spark, path).collect()}
+    wrong = [i for i, t in enumerate(texts) if got[i] != tok.encode(t, add_special_tokens=False).ids + [2]]
+    assert not wrong, [(i, texts[i]) for i in wrong[:5]]

@@ -51,7 +51,7 @@ def test_manifest_equals_a_plain_tree(spark, monkeypatch, depth):
     df = spark.createDataFrame([(*r, "c", "d") for r in rows], "doc_id long, source string, lang string, n_chars int, text string, tree string, digest string")
     manifest = merkle.build(df, merkle.digest_of("doc_id", "source", "lang", "n_chars", "text"))
     path = F.col("path")
-    got = merkle.proofs(manifest, spark).select("doc_id", "leaf", "subroot", "root", merkle.path_digest(path), merkle.fold_path(F.col("leaf"), path))
+    got = merkle.proofs(manifest).select("doc_id", "leaf", "subroot", "root", merkle.path_digest(path), merkle.fold_path(F.col("leaf"), path))
     by_source = {}
     for r in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, plain_leaf(r))):
         by_source.setdefault(r[1], []).append(r)
@@ -66,19 +66,19 @@ def test_manifest_tells_changed_rows(spark):
     df = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"))
     manifest = merkle.build(df, merkle.digest_of("doc_id"), carry={"bad": F.when(F.col("doc_id") == 7, F.lit("0" * 64)), "doc_id": F.col("doc_id")})
     folded = merkle.fold_path(F.coalesce("bad", "leaf"), F.col("path"))
-    wrong = merkle.proofs(manifest, spark).where(folded != F.col("root")).select("doc_id").collect()
+    wrong = merkle.proofs(manifest).where(folded != F.col("root")).select("doc_id").collect()
     assert [r.doc_id for r in wrong] == [7]
 
 
 def test_manifest_of_nothing_and_of_many_sources(spark):
     none = spark.createDataFrame([], "doc_id long, source string")
     empty = merkle.build(none, merkle.digest_of("doc_id"))
-    assert empty.root is None and merkle.proofs(empty, spark).count() == 0
+    assert empty.root is None and merkle.proofs(empty).count() == 0
     df = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("www.host-name-"), F.col("id").cast("string")).alias("source"))
     manifest = merkle.build(df, merkle.digest_of("doc_id"))
     names = sorted((f"www.host-name-{i}", i) for i in range(1000))
     assert manifest.root == plain_tree([plain_leaf((i,)) for _, i in names])[0]
-    assert merkle.proofs(manifest, spark).count() == 1000
+    assert merkle.proofs(manifest).count() == 1000
 
 
 def plain_grade(window):

@@ -26,8 +26,10 @@ BLOCK_IDS = 4096
 #: Ids of a file at most; a longer document is a file alone. Bytes of text of a shard, about.
 FILE_IDS, SHARD_BYTES = 250_000, 32 << 20
 #: Text bytes that a worker encodes at a time; pieces that it keeps encoded.
-SLICE_BYTES = 4 << 20
-CACHED = 100_000
+SLICE_BYTES = 3 << 20
+CACHED = 40_000
+#: Frequent pieces that are encoded before all others, and characters of each, at most; documents, about, of their sample.
+COMMON, COMMON_CHARS, SAMPLE_DOCS = 80_000, 64, 4_000
 #: Rows that a worker is handed at a time while files are written, so texts and ids of few documents are in memory.
 BATCH_ROWS = 1000
 #: Shards at most; beyond, shards have more files.
@@ -132,51 +134,83 @@ class TokenFile:
         return got[a - first * self.block : b - first * self.block]
 
 
-def encode(docs: DataFrame, load: Callable, end_id: int, shards: int, bounds: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, doc_id, ids) with little-endian 32-bit ids. ``load()`` gives the tokenizer in the task.
+def _encoder(load: Callable) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
+    """f(pieces) -> start of each piece's ids, and the ids, by the library; a worker keeps what it encoded in a bounded cache."""
+    tokenizer = load()
+    known, model = worker_cache("token pieces", CACHED), tokenizer.model
+    letters = [chr(c) for c in range(128, 256) if chr(c).isalpha()]
+    alphabet = str.maketrans({c: tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
+
+    def add(pieces: list[str]) -> None:
+        rest = []
+        for p in pieces:
+            if p.isalpha() and (p.isascii() or max(p) <= "\xff"):
+                ids = [t.id for t in model.tokenize(p if p.isascii() else p.lower().translate(alphabet))]
+                known[p] = struct.pack(f"<{len(ids)}I", *ids)
+            else:
+                rest.append(p)
+        for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+
+    def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Start of each word's ids, and the ids."""
+        if len(known) > CACHED:
+            known.clear()
+        missing = [w for w in words if w not in known]
+        for i in range(0, len(missing), 10_000):
+            add(missing[i : i + 10_000])
+        raw = [known[w] for w in words]
+        lens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        return np.concatenate([[0], np.cumsum(lens)]), np.frombuffer(b"".join(raw), "<u4")
+
+    return encoded
+
+
+def _common(docs: DataFrame, load: Callable, n: int, text: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The most frequent pieces of about ``SAMPLE_DOCS`` of the ``n`` documents, and their ids.
+
+    They are ``COMMON`` pieces of ``COMMON_CHARS`` characters at most, so the driver may encode them.
+    """
 
-    Texts are cut at ASCII white space, of which the tokenizer keeps nothing, and each
-    distinct part is encoded by the library once for a worker, as far as its bounded
-    cache reaches. Closing marks are encoded apart from a word before them, as the
-    tokenizer parts them too; a word of ASCII or Latin-1 letters alone, which composing
-    and splitting leave whole, goes to the library's model at once, its letters as the
-    library's byte alphabet writes them.
+    def pieces(batches):
+        for b in sliced(batches, "text", SLICE_BYTES):
+            for part in _parts(chunk_codes(texts_of(b, "text"))[1].dictionary):
+                yield pa.RecordBatch.from_arrays([pc.cast(pc.unique(part), pa.string())], names=["piece"])
+
+    sample = docs.select(F.col(f"`{text}`").cast("string").alias("text")).sample(min(1.0, SAMPLE_DOCS / max(1, n)), 1)
+    counted = sample.mapInArrow(pieces, "piece string").where(F.length("piece") <= COMMON_CHARS).groupBy("piece").agg(F.count("*").alias("n"))
+    top = counted.orderBy(F.desc("n"), "piece").limit(COMMON).select("piece")
+    found = top.toArrow().column("piece").combine_chunks().cast(pa.large_string())
+    starts, values = _encoder(load)(strings(found))
+    return found, starts, values.copy()
+
+
+def encode(docs: DataFrame, load: Callable, end_id: int, n: int, bounds: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(shard, doc_id, ids) of the ``n`` rows, with little-endian 32-bit ids. ``load()`` gives the tokenizer in the task.
+
+    Texts are cut at ASCII white space, of which the tokenizer keeps nothing. The most frequent
+    parts of a sample are encoded first and then known to every task; any other distinct part is
+    encoded by the library once for a worker, as far as its bounded cache reaches. The sample
+    spares work and changes no id. Closing marks are encoded apart from a word of
+    ASCII or Latin-1 letters before them, as the tokenizer parts them too; such a word alone,
+    which composing and splitting leave whole, goes to the library's model at once, its letters
+    as the library's byte alphabet writes them. All other parts go to the library whole.
     """
+    common, common_starts, common_ids = _common(docs, load, n, text)
 
     def run(batches):
-        tokenizer = load()
-        known, model = worker_cache("token pieces", CACHED), tokenizer.model
-        letters = [chr(c) for c in range(128, 256) if chr(c).isalpha()]
-        alphabet = str.maketrans({c: tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters})
-
-        def add(pieces: list[str]) -> None:
-            rest = []
-            for p in pieces:
-                if p.isalpha() and (p.isascii() or max(p) <= "\xff"):
-                    ids = [t.id for t in model.tokenize(p if p.isascii() else p.lower().translate(alphabet))]
-                    known[p] = struct.pack(f"<{len(ids)}I", *ids)
-                else:
-                    rest.append(p)
-            for p, e in zip(rest, tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-                known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-
-        def encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Start of each word's ids, and the ids."""
-            if len(known) > CACHED:
-                known.clear()
-            missing = [w for w in words if w not in known]
-            for i in range(0, len(missing), 10_000):
-                add(missing[i : i + 10_000])
-            raw = [known[w] for w in words]
-            lens = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            return np.concatenate([[0], np.cumsum(lens)]), np.frombuffer(b"".join(raw), "<u4")
-
+        encoded = _encoder(load)
         for b in sliced(batches, "text", SLICE_BYTES):
             offsets, coded = chunk_codes(texts_of(b, "text"))
             stems, tails = (pc.dictionary_encode(x) for x in _parts(coded.dictionary))
-            starts, ids = encoded(strings(pa.concat_arrays([stems.dictionary, tails.dictionary])))
+            pieces = pa.concat_arrays([stems.dictionary, tails.dictionary])
+            known = pc.index_in(pieces, common)
+            new = np.asarray(known.is_null())
+            starts, ids = encoded(strings(pieces.filter(pa.array(new))))
+            starts, ids = np.concatenate([common_starts, common_starts[-1] + starts[1:]]), np.concatenate([common_ids, ids])
+            place = np.where(new, len(common) + np.cumsum(new) - 1, np.asarray(known.fill_null(0)))
             pairs = np.stack([np.asarray(stems.indices, np.int64), len(stems.dictionary) + np.asarray(tails.indices, np.int64)], axis=1)
-            starts, ids = spread(np.arange(0, pairs.size + 1, 2), pairs.ravel(), starts, ids)
+            starts, ids = spread(np.arange(0, pairs.size + 1, 2), place[pairs.ravel()], starts, ids)
             at, ids = spread(offsets, np.asarray(coded.indices, np.int64), starts, ids)
             runs = [ids[s:e].astype("<u4").tobytes() + struct.pack("<I", end_id) for s, e in zip(at, at[1:])]
             keys = b.column("doc_id")
@@ -189,10 +223,14 @@ def encode(docs: DataFrame, load: Callable, end_id: int, shards: int, bounds: np
 
 
 def _parts(pieces: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Words of letters and their closing marks; any other piece and no marks. ASCII case is folded, as the tokenizer does."""
+    """Words of ASCII or Latin-1 letters and their closing marks; any other piece whole and no marks. ASCII case is folded, as the tokenizer does.
+
+    Lower case or composition can join other letters to what is behind them: a capital dotted I
+    becomes two characters, of which the library takes the second with the mark that follows.
+    """
     stems = pc.utf8_rtrim(pieces, characters=punctuation)
     tails = pc.replace_substring_regex(pieces, f"^.*[^{re.escape(punctuation)}]", "")
-    word = pc.utf8_is_alpha(stems)
+    word = pc.match_substring_regex(stems, "^[A-Za-zªµºÀ-ÖØ-öø-ÿ]+$")
     return pc.ascii_lower(pc.if_else(word, stems, pieces)), pc.if_else(word, tails, "")
 
 
@@ -212,7 +250,6 @@ def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id:
     steps = [k / shards for k in range(1, shards)]
     bounds = docs.select(key.alias("k")).approxQuantile("k", steps, max(1e-4, 0.1 / shards)) if steps else []
     cuts = np.unique(np.array(bounds, np.int64))
-    rows = encode(docs, load, end_id, shards, cuts, doc_id, text)
 
     def write(batches):
         held, total, place = [], 0, (None, 0, 0)
@@ -239,10 +276,10 @@ def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id:
 
     names = ["shard", "part", "first", "n_docs", "n_ids", "data"]
     kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-    files = dealt.mapInArrow(write, _FILES)
     with rows_per_batch(docs.sparkSession, BATCH_ROWS):
-        files.write.parquet(path)
+        rows = encode(docs, load, end_id, stats["n"], cuts, doc_id, text)
+        dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+        dealt.mapInArrow(write, _FILES).write.parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

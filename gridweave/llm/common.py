@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at a time.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 4 << 20
+#: Pieces that a worker keeps hashed, and the longest one of them.
+CACHED_PIECES, CACHED_CHARS = 150_000, 100
 
 
 @contextmanager
@@ -47,12 +49,15 @@ def in_fold(doc_id: Column, folds: int, one: int) -> Column:
 
 
 def worker_cache(name: str, limit: int) -> dict:
-    """A dict that lives as long as the Python worker, so the next task finds it filled.
+    """A dict that outlives the task, so the stage's next one in the same Python worker finds it filled.
 
-    It starts anew when it holds ``limit`` entries, which bounds a worker's memory.
-    Only pure functions of the key may be kept in it.
+    It starts anew when it holds ``limit`` entries, and a worker keeps one cache alone: that of
+    an earlier stage goes when another one is asked for. Only pure functions of the key may
+    be kept in it.
     """
     caches = sys.__dict__.setdefault("_gridweave_caches", {})
+    for other in [n for n in caches if n != name]:
+        del caches[other]
     cache = caches.setdefault(name, {})
     if len(cache) >= limit:
         cache.clear()
@@ -65,7 +70,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def sliced(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``size`` bytes of text; a longer text is a batch alone."""
+    """The same rows in batches of about ``size`` bytes of text; a longer text is a batch alone. At the end free memory goes back."""
     for batch in batches:
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
         piece = np.cumsum(sizes) // size
@@ -73,6 +78,7 @@ def sliced(batches: Iterable[pa.RecordBatch], text: str, size: int = SLICE_BYTES
         for a, b in zip(edges, edges[1:]):
             if b > a:
                 yield batch.slice(a, b - a)
+    give_back()
 
 
 def map_texts(df: DataFrame, doc_id: str, text: str, schema: str, make: Callable[[], Callable]) -> DataFrame:
@@ -90,12 +96,12 @@ def map_texts(df: DataFrame, doc_id: str, text: str, schema: str, make: Callable
     return slim.mapInArrow(run, out)
 
 
-def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable]) -> DataFrame:
-    """The rows of ``df``, all columns as they are, where f(texts) of ``make()`` is true."""
+def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable], size: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns as they are, where f(texts) of ``make()`` is true; ``size`` bytes of text at a time."""
 
     def run(batches):
         f = make()
-        for b in sliced(batches, text):
+        for b in sliced(batches, text, size):
             yield b.filter(pa.array(np.asarray(f(texts_of(b, text)), dtype=bool)))
 
     return df.mapInArrow(run, df.schema)
@@ -150,12 +156,14 @@ def token_hashes(texts: pa.Array, pattern: str = r"\w+", lower: bool = True) ->
     from xxhash import xxh3_64_intdigest
 
     offsets, codes, pieces = chunks_of(pc.utf8_lower(texts) if lower else texts)
-    known, find = worker_cache(f"tokens {pattern} {lower}", 300_000), re.compile(pattern).findall
+    known, find = worker_cache(f"tokens {pattern} {lower}", CACHED_PIECES), re.compile(pattern).findall
     lists = []
     for p in pieces:
         got = known.get(p)
         if got is None:
-            got = known[p] = tuple(map(xxh3_64_intdigest, find(p)))
+            got = tuple(map(xxh3_64_intdigest, find(p)))
+            if len(p) <= CACHED_CHARS and len(known) < CACHED_PIECES:
+                known[p] = got
         lists.append(got)
     return spread_lists(offsets, codes, lists, np.uint64)
 

@@ -21,6 +21,8 @@ THRESHOLD = 0.7
 QUESTION, ANSWER = 0.8, 0.8
 #: Words from one passage to the next at least; a passage has twice as many.
 STRIDE = 64
+#: Text bytes that a task searches at a time; each slice goes through all blocks of the index.
+SLICE_BYTES = 12 << 20
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -171,7 +173,7 @@ def find_leaks(docs: DataFrame, index: Index, items_kind: str = "bigint", doc_id
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches):
-        for b in sliced(batches, "text"):
+        for b in sliced(batches, "text", SLICE_BYTES):
             found = index.search(texts_of(b, "text"))
             if found:
                 t, i, at, score, q, a = zip(*found)
@@ -192,4 +194,4 @@ def keep_clean(docs: DataFrame, index: Index, text: str = "text") -> DataFrame:
         out[[f[0] for f in index.search(texts)]] = False
         return out
 
-    return filter_texts(docs, text, lambda: clean)
+    return filter_texts(docs, text, lambda: clean, SLICE_BYTES)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import distinct, filter_texts, flat, map_texts, texts_of, token_hashes
+from .common import distinct, filter_texts, flat, map_texts, sliced, texts_of, token_hashes
 
 #: Cells of the hashed n-grams.
 CELLS = 1 << 16
@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
     def cells(batches):
-        for b in batches:
+        for b in sliced(batches, "text"):
             starts, c = features(texts_of(b, "text"))
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(c))], names=["y", "cells"])
 

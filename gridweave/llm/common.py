@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker works on at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Pieces that a worker keeps hashed, and the longest one of them.
 CACHED_PIECES, CACHED_CHARS = 150_000, 100
 

@@ -22,7 +22,7 @@ QUESTION, ANSWER = 0.8, 0.8
 #: Words from one passage to the next at least; a passage has twice as many.
 STRIDE = 64
 #: Text bytes that a task searches at a time; each slice goes through all blocks of the index.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:

@@ -6,12 +6,12 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.linkage import connected_components
 from ..session import cut_lineage
-from .common import distinct, shingles, sliced, texts_of, token_hashes
+from .common import distinct, rows_per_batch, shingles, sliced, texts_of, token_hashes
 
 #: Words of a k-mer, and the least similarity of linked texts.
 SIZE, SIMILARITY = 5, 0.8
@@ -23,6 +23,10 @@ SIZE, SIMILARITY = 5, 0.8
 BANDS = ((1, 50, 3, 12), (40, None, 6, 30))
 #: Texts of a group that a task compares with as many others at a time.
 BLOCK = 512
+#: Rows (texts, or pairs with the words of both) that a Python worker is handed at a time.
+BATCH_ROWS = 1_000
+#: Hashes of k-mers that a long text holds at a time; it takes its tables a few at a time.
+HASHES = 1 << 18
 
 
 def sketches(words: np.ndarray, bands=BANDS, size: int = SIZE) -> np.ndarray:
@@ -45,10 +49,8 @@ def sketches(words: np.ndarray, bands=BANDS, size: int = SIZE) -> np.ndarray:
         seeds, all_seeds = all_seeds[:tables], all_seeds[tables:]
         if len(g) < least or (end is not None and len(g) >= end):
             continue
-        h = (labelled ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
-        h ^= h >> np.uint64(29)
         k = min(kmers, len(g))
-        at = np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1) if k < len(g) else np.tile(np.arange(k), (tables, 1))
+        at = np.concatenate([_smallest(labelled, some, k) for some in np.array_split(seeds, min(tables, 1 + len(g) * tables // HASHES))])
         one = seeds.copy()
         for j in range(k):
             one = (one ^ labelled[at[:, j]]) * np.uint64(0x94D049BB133111EB)
@@ -57,6 +59,15 @@ def sketches(words: np.ndarray, bands=BANDS, size: int = SIZE) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _smallest(labelled: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """For each seed the places of the ``k`` k-mers with the smallest hashes, in text order."""
+    if k == len(labelled):
+        return np.tile(np.arange(k), (len(seeds), 1))
+    h = (labelled ^ seeds[:, None]) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return np.sort(np.argpartition(h, k - 1, axis=1)[:, :k], axis=1)
+
+
 def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edits (insert, delete, replace) between two word sequences, if at most ``most``; else ``most + 1``.
 
@@ -167,23 +178,24 @@ def near_classes(
                 names=["doc_id", "text_key", "node", "n", "sketch"],
             )
 
-    rows = cut_lineage(slim.mapInArrow(sketch, f"doc_id {kind}, text_key bigint, node binary, n int, sketch array<bigint>"))
-    row_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min(row_id).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
-    filed = nodes.select("node", "n", F.explode("sketch").alias("cell"))
-    full = filed.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1")
-    filled = cut_lineage(filed.join(full, "cell"))
-    weight = filled.groupBy("node").agg(F.sum("held").alias("weight"))
-    weighed = filled.select("cell", "node").join(weight, "node")
-    lead = weighed.groupBy("cell").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
-    groups = cut_lineage(weighed.select("cell", "node").join(lead, "cell").select("lead", "node").distinct())
-    words = cut_lineage(_words_of(slim, weight.join(nodes, "node").select("node", "first.doc_id", "first.text_key")))
-
-    stars = cut_lineage(_compare(groups.where("lead <> node"), words, least, size))
-    roots = cut_lineage(connected_components(stars, "lead", "node"))
-    rest = cut_lineage(_compare_blocks(groups, roots, words, least, size))
-    if rest.limit(1).count():
-        roots = connected_components(stars.unionByName(rest), "lead", "node")
+    with rows_per_batch(docs.sparkSession, BATCH_ROWS):
+        rows = cut_lineage(slim.mapInArrow(sketch, f"doc_id {kind}, text_key bigint, node binary, n int, sketch array<bigint>"))
+        row_id = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+        nodes = cut_lineage(rows.groupBy("node").agg(F.min(row_id).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")))
+        filed = nodes.select("node", "n", F.explode("sketch").alias("cell"))
+        full = filed.groupBy("cell").agg(F.count("*").alias("held")).where("held > 1")
+        filled = cut_lineage(filed.join(full, "cell"))
+        weight = filled.groupBy("node").agg(F.sum("held").alias("weight"))
+        weighed = filled.select("cell", "node").join(weight, "node")
+        lead = weighed.groupBy("cell").agg(F.max_by("node", F.struct("weight", "node")).alias("lead"))
+        groups = cut_lineage(weighed.select("cell", "node").join(lead, "cell").select("lead", "node").distinct())
+        words = cut_lineage(_words_of(slim, weight.join(nodes, "node").select("node", "first.doc_id", "first.text_key")))
+
+        stars = cut_lineage(_compare(groups.where("lead <> node"), words, least, size))
+        roots = cut_lineage(connected_components(stars, "lead", "node"))
+        rest = cut_lineage(_compare_blocks(groups, roots, words, least, size))
+        if rest.limit(1).count():
+            roots = connected_components(stars.unionByName(rest), "lead", "node")
 
     placed = nodes.select("node", "first")
     placed = placed.join(roots, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -229,8 +241,9 @@ def _compare(pairs: DataFrame, words: DataFrame, least: float, size: int) -> Dat
 def _compare_blocks(groups: DataFrame, roots: DataFrame, words: DataFrame, least: float, size: int) -> DataFrame:
     """Links (lead, node) between classes of one group: the texts outside its largest class against all of them.
 
-    The former come in blocks and so do the latter; a task has one block of each. A
-    group of one block, as nearly all are, sends each of its texts to one task once or twice.
+    The former come in blocks and so do the latter, of some ``BLOCK`` texts by the hash
+    of the text, so no group is put in order; a task has one block of each. A group of one
+    block, as nearly all are, sends each of its texts to one task once or twice.
     """
     at = groups.join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component")
     open_groups = at.groupBy("lead").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("lead")
@@ -238,15 +251,12 @@ def _compare_blocks(groups: DataFrame, roots: DataFrame, words: DataFrame, least
     main = at.groupBy("lead", "root").agg(F.count("*").alias("held")).groupBy("lead").agg(
         F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("inside")
     )
-    order = Window.partitionBy("lead").orderBy((F.col("root") == F.col("main")), "node")
-    placed = at.join(main, "lead").withColumn("place", ((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    last = lambda n: F.floor((n - 1) / BLOCK).cast("int")
-    outside = placed.where("root <> main").select(
-        "lead", "node", "root", F.col("place").alias("o"), F.explode(F.sequence(F.lit(0), last(F.col("all")))).alias("c"), F.lit(True).alias("asks")
-    )
-    every = placed.select(
-        "lead", "node", "root", F.explode(F.sequence(F.lit(0), last(F.col("all") - F.col("inside")))).alias("o"), F.col("place").alias("c"), F.lit(False).alias("asks")
-    )
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1)).cast("int")
+    all_of = lambda n, c: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(c)
+    mine = lambda n, c: F.pmod(F.xxhash64("node"), F.col(n)).cast("int").alias(c)
+    placed = at.join(main, "lead").withColumn("os", blocks(F.col("all") - F.col("inside"))).withColumn("cs", blocks(F.col("all")))
+    outside = placed.where("root <> main").select("lead", "node", "root", mine("os", "o"), all_of("cs", "c"), F.lit(True).alias("asks"))
+    every = placed.select("lead", "node", "root", all_of("os", "o"), mine("cs", "c"), F.lit(False).alias("asks"))
     rows = outside.unionByName(every).join(words, "node").select("lead", "o", "c", "asks", "node", "root", "words")
 
     def check(table: pa.Table) -> pa.Table:

@@ -13,7 +13,7 @@ from ..session import work_path
 from ..sources.readers import read_json_payloads
 from ..streaming.ingest import ingest_stream, ingested_messages
 from ..streaming.state import ROCKSDB, cell_changes, changed_cells
-from ..streaming.triggers import look_back, on_status, on_trigger_once, run_available, webhook_outbox
+from ..streaming.triggers import look_back, look_back_children, on_status, on_trigger_once, run_available, webhook_outbox
 from .common import table
 
 NOW = "2024-01-20 00:00:00"
@@ -113,6 +113,30 @@ def recent_events(spark: SparkSession, sf: str) -> DataFrame:
 RECENT_EVENTS_SQL = f"SELECT event_id, ts FROM events WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR"
 
 
+def space_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Messages of the last 24 hours in spaces active within them: two streams joined, the newer half of the rows arrives first.
+
+    A purchase is a report of a space's activity, any other event a message.
+    """
+    now, half = (F.lit(t).cast("timestamp_ntz") for t in (NOW, "2024-01-19 12:00:00"))
+    spaces, messages, out = (work_path(spark, n) for n in ("spaces", "sent", "active"))
+    e = table(spark, sf, "events").where(F.col("ts") <= now)
+    report = F.col("event_type") == "purchase"
+    with stream_settings(spark, **{"spark.sql.streaming.stateStore.providerClass": ROCKSDB}):
+        for part in (e.where(F.col("ts") > half), e.where(F.col("ts") <= half)):
+            part.where(report).select(F.col("user_id").alias("space"), F.col("ts").alias("last_active")).write.mode("append").parquet(spaces)
+            part.where(~report).select("event_id", F.col("user_id").alias("space"), F.col("ts").alias("created")).write.mode("append").parquet(messages)
+            parents = spark.readStream.schema("space bigint, last_active timestamp_ntz").parquet(spaces)
+            children = spark.readStream.schema("event_id bigint, space bigint, created timestamp_ntz").parquet(messages)
+            run_available(look_back_children(parents, children, "space", "last_active", "created", now), out, out + "_log")
+    return spark.read.parquet(out)
+
+
+SPACE_MESSAGES_SQL = f"""WITH r AS (SELECT * FROM events WHERE ts >= TIMESTAMP '{NOW}' - INTERVAL 24 HOUR AND ts <= TIMESTAMP '{NOW}')
+SELECT event_id, user_id AS space, ts AS created FROM r WHERE event_type <> 'purchase' AND ts > TIMESTAMP '{NOW}' - INTERVAL 24 HOUR
+AND user_id IN (SELECT user_id FROM r WHERE event_type = 'purchase')"""
+
+
 def order_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Cells that differ between two versions of the orders."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
@@ -189,7 +213,7 @@ CHAT_MESSAGES_SQL = """SELECT event_id, CAST(user_id AS VARCHAR) AS sender_id, C
 strftime(ts - INTERVAL 6 HOUR, '%Y-%m-%d') AS sent_date, strftime(ts - INTERVAL 6 HOUR, '%H:%M:%S') AS sent_time, strftime(ts, '%Y-%m-%dT%H:%M:%S.%gZ') AS sent_at FROM events"""
 
 _NAMES = (
-    "status_payloads:STATUS_PAYLOADS_SQL trigger_once:TRIGGER_ONCE_SQL message_stream:MESSAGE_STREAM_SQL recent_events:RECENT_EVENTS_SQL "
+    "status_payloads:STATUS_PAYLOADS_SQL trigger_once:TRIGGER_ONCE_SQL message_stream:MESSAGE_STREAM_SQL recent_events:RECENT_EVENTS_SQL space_messages:SPACE_MESSAGES_SQL "
     "order_changes:ORDER_CHANGES_SQL cell_change_stream:CELL_CHANGE_SQL appended_payloads:APPENDED_PAYLOADS_SQL chat_messages:CHAT_MESSAGES_SQL"
 )
 QUERIES = {n: globals()[n] for n in (x.split(":")[0] for x in _NAMES.split())}

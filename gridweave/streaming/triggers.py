@@ -41,6 +41,30 @@ def late_limit(events: DataFrame, ts: str, hours: int = LOOK_BACK_HOURS) -> Data
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{hours} hours")
 
 
+def look_back_children(
+    parents: DataFrame, children: DataFrame, key: str, active: str, created: str, now: Column, hours: int = LOOK_BACK_HOURS, salts: int = 8
+) -> DataFrame:
+    """Children created after ``now`` less ``hours`` whose parent was active at or after that time; both may be streams.
+
+    The times of a pair lie at most ``hours`` apart, as do those of all rows of one look-back, so the
+    state holds the rows of that span only. A row more than ``hours`` behind the newest row of the
+    slower stream is dropped as late; where ``now`` isn't before the newest row, it is outside the
+    look-back anyway. Rows without key or time find nothing. A child comes once, however often its
+    parent reports. The children of one key are spread by time over ``salts`` tasks, and each has the parent.
+    """
+    span = F.expr(f"INTERVAL {hours} HOURS")
+    p = look_back(parents, active, now, hours, inclusive=True).select(
+        F.col(key).alias("_key"), F.col(active).cast("timestamp").alias("_active"),
+        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_part"),
+    )
+    c = look_back(children, created, now, hours).withColumns({
+        "_created": F.col(created).cast("timestamp"), "_salt": F.pmod(F.xxhash64(created), F.lit(salts)).cast("int"),
+    })
+    near = F.col("_created").between(F.col("_active") - span, F.col("_active") + span)
+    same = (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part"))
+    return late_limit(c, "_created", hours).join(late_limit(p, "_active", hours), same & near, "leftsemi").drop("_created", "_salt")
+
+
 def run_available(df: DataFrame, path: str, checkpoint: str, output: str = "append") -> StreamingQuery:
     """Process everything available, resume where the last run stopped, then end."""
     query = (

@@ -68,3 +68,36 @@ def test_cell_changes_without_a_place_in_the_order(spark, tmp_path):
     finally:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [("a", "1", "3", 4), ("b", "y", "z", 6)]
+
+
+def test_look_back_children(spark, tmp_path):
+    """Bounds, nulls, repeated reports, either order of arrival, late rows, and state that shrinks."""
+    from datetime import datetime
+
+    from pyspark.sql import functions as F
+
+    from gridweave.streaming.triggers import look_back_children, run_available
+
+    spaces, sent, out = (str(tmp_path / n) for n in ("spaces", "sent", "out"))
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp_ntz")
+
+    def at(text):
+        return None if text is None else datetime.fromisoformat(f"2024-{text}:00")
+
+    def run(parents, children):
+        spark.createDataFrame([(k, at(t)) for k, t in parents], "space string, active timestamp_ntz").write.mode("append").parquet(spaces)
+        spark.createDataFrame([(i, k, at(t)) for i, k, t in children], "id int, space string, created timestamp_ntz").write.mode("append").parquet(sent)
+        p = spark.readStream.schema("space string, active timestamp_ntz").parquet(spaces)
+        c = spark.readStream.schema("id int, space string, created timestamp_ntz").parquet(sent)
+        query = run_available(look_back_children(p, c, "space", "active", "created", now), out, out + "_log")
+        state = query.lastProgress["stateOperators"][0]["numRowsTotal"]
+        return sorted(r.id for r in spark.read.parquet(out).collect()), state
+
+    first = [("a", "01-01T00:00"), ("a", "01-01T09:00"), ("b", None), (None, "01-01T05:00")]
+    found, before = run(first, [(1, "a", "01-01T00:00"), (2, "a", "01-01T10:00"), (3, "b", "01-01T10:00"), (4, None, "01-01T06:00"), (5, "a", None)])
+    assert found == [2]
+    assert run([("b", "01-01T12:00")], [(6, "a", "01-01T01:00")])[0] == [2, 3, 6]
+    found, after = run([("a", "01-09T00:00")], [(7, "a", "01-09T01:00")])
+    assert found == [2, 3, 6, 7]
+    assert after <= 9 < before  # one report in each of eight parts, and a message
+    assert run([("a", "01-02T01:00")], [(8, "a", "01-02T02:00")])[0] == [2, 3, 6, 7]

@@ -163,3 +163,18 @@ def test_link_counts_of_pages_without_links(spark):
     links = P.page_links(pages, ["page_id"], "site_url")
     got = P.link_counts(links, ["page_id"], pages)
     assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 0, 0), (3, 0, 0)]
+
+
+def test_crawl_depth_by_routes(spark):
+    """Cycles, a link to itself, two routes of unequal length, repeated links, an unreached url, nulls, two sites."""
+    from gridweave.operators.crawl import crawl_depth, crawl_depth_by_routes
+
+    pairs = ["ab", "bc", "ca", "cc", "ad", "de", "ec", "ef", "ab", "xy"]
+    rows = [("s", *p) for p in pairs] + [("t", "a", "f"), ("t", None, "g"), ("t", "f", None), (None, "a", "h")]
+    edges = spark.createDataFrame(rows, "site string, src string, dst string")
+    roots = spark.createDataFrame([("s", "a"), ("s", "a"), ("t", "a")], "site string, url string")
+    found = {tuple(r) for r in crawl_depth(edges, roots).collect()}
+    assert found == {tuple(r) for r in crawl_depth_by_routes(edges, roots, 6).collect()}
+    assert {("s", "c", 2), ("s", "f", 3), ("t", "f", 1), ("t", None, 2)} <= found and len(found) == 9
+    assert crawl_depth(edges, roots.limit(0)).count() == 0
+    assert crawl_depth(edges.limit(0), roots).count() == 2

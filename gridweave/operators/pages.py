@@ -51,7 +51,7 @@ def page_elements(pages: DataFrame, keep: list[str], html: str = "html") -> Data
     """(keep, elements) of each page: an array of (tag, attrs, text) in page order, read in one pass.
 
     The tokenizer reads markup as browsers do, which expressions can't: quoted `>`, unclosed
-    comments, declarations, raw texts, all character references. A null page has no elements.
+    comments, declarations, raw texts, all character references that end with a semicolon. A null page has no elements.
     From here :func:`element_issues`, :func:`element_text` and :func:`element_links` need no
     markup any more.
     """

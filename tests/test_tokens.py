@@ -56,6 +56,17 @@ def test_elements():
     ]
 
 
+def test_elements_read_closed_references_only(spark):
+    """A title cut within its last reference keeps it as written (found on larger pages), as the expressions and the SQL have it."""
+    rows = [(1, f"<title>{'a' * 56} &amp</title>"), (2, f"<title>{'a' * 28}&amp;&amp</title><p>&lt &#65 &copyright; &eacute;"), (3, "<a href='?a=1&copy' rel='&amp;&amp'>")]
+    assert [elements(h, P.ELEMENTS)[-1] for _, h in rows] == [("title", {}, "a" * 56 + " &amp"), ("p", {}, "&lt &#65 &copyright; é"), ("a", {"href": "?a=1&copy", "rel": "&&amp"}, "")]
+    pages = spark.createDataFrame(rows, "id int, html string")
+    parsed = P.page_elements(pages, ["id"])
+    flags = {r["id"]: r for r in P.element_issues(parsed, ["id"]).collect()}
+    assert flags[1]["Title Tag Too Long"] == 1 and flags[2]["Title Tag Too Short"] == 0
+    assert flags == {r["id"]: r for r in P.page_issues(pages, ["id"]).collect()}
+
+
 FLAGS = {
     "Missing H1 Heading": ("<h2>a</h2><!-- <h1>b</h1>", "<h1>b</h1>"),
     "Missing Meta Description": ("<!-- <meta name=description>", "<meta content='a > b' name='description'>"),

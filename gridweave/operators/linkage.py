@@ -5,6 +5,9 @@ copies costs one row; group sizes, edge counts and averages are computed from th
 counts. Profiles of a block are not paired with each other wholesale: a profile is
 filed under its rarest characters only, as many as are needed so that any partner
 above the threshold must share one of them. That finds exactly the same pairs.
+
+Joins of written steps ask for a sort-merge join: Spark sizes such a table by its
+compressed file, and columns that repeat would be sent to the driver many times as large.
 """
 
 from __future__ import annotations
@@ -71,11 +74,11 @@ def with_prefixes(profiles: DataFrame, weights: list[float], threshold: float) -
     common = filed.groupBy("block", "h").agg(F.count("*").alias("df"))
     # One row per profile; the list is as long as its own text.
     ranked = (
-        filed.join(common, ["block", "h"])
+        filed.join(common.hint("merge"), ["block", "h"])
         .groupBy("rep")
         .agg(F.sort_array(F.collect_list(F.struct("df", "h", "c")), asc=False).alias("_r"))
     )
-    sized = profiles.join(ranked, "rep").withColumn(
+    sized = profiles.join(ranked.hint("merge"), "rep").withColumn(
         "_len", F.array(*[F.greatest(F.coalesce(F.length(p), F.lit(1)), F.lit(1)) for p in ps])
     )
     counts = F.array(*[F.lit(0) for _ in ps])
@@ -116,7 +119,7 @@ def similar_pairs(profiles: DataFrame, weights: list[float], threshold: float) -
         reach = reach + F.coalesce(best, F.lit(0.0)) * w
     # A pair that shares several characters is taken at the smallest of them only.
     once = F.col("h") == F.array_min(F.array_intersect("a_prefix", "b_prefix"))
-    pairs = a.join(b, ["block", "h"]).where((F.col("a_rep") < F.col("b_rep")) & once & (reach > threshold - _SLACK))
+    pairs = a.join(b.hint("merge"), ["block", "h"]).where((F.col("a_rep") < F.col("b_rep")) & once & (reach > threshold - _SLACK))
     for i in range(len(weights)):
         pairs = pairs.withColumn(f"_lcs{i}", common_subsequence(F.col(f"a_p{i}"), F.col(f"b_p{i}")))
     total = F.lit(0.0)
@@ -150,9 +153,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut_lineage(hung.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
     else:
         raise RuntimeError("components did not settle")
@@ -180,9 +183,9 @@ class Duplicates:
         keyed = self.records.withColumn(
             "_key", F.struct(*[preprocess(F.col(f"`{c}`"), self.null_is_match).alias(p) for c, p in zip(self.columns, ps)])
         )
-        known = self.members.select(F.struct(*ps).alias("_key"), "component")
+        known = self.members.select(F.struct(*ps).alias("_key"), "component").hint("merge")
         numbered = known.join(self.groups.select("component", "group_id", "average_similarity"), "component").drop("component")
-        return keyed.join(numbered, "_key").drop("_key")
+        return keyed.join(numbered.hint("merge"), "_key").drop("_key")
 
     def details(self) -> DataFrame:
         """Member rows, the group columns first."""
@@ -210,7 +213,7 @@ class Duplicates:
             .agg(F.array_sort(F.collect_list(F.struct("_no", "rid"))).alias("_ids"))
             .select("group_id", "Part", F.array_join(F.transform("_ids", lambda x: x["rid"]), ", ").alias("Record_IDs"))
         )
-        return self.groups.join(parts, "group_id", "left").select(
+        return self.groups.join(parts.hint("merge"), "group_id", "left").select(
             F.col("group_id").alias("Duplicate_Group_ID"),
             F.coalesce("Part", F.lit(0)).cast("bigint").alias("Part"),
             F.col("records").alias("Number_of_Records"),
@@ -236,7 +239,7 @@ def find_duplicates(
     ps = [f"p{i}" for i in range(len(columns))]
     profiles = build_profiles(df, idx, columns, null_is_match)
     blocks = profiles.groupBy("block").agg(F.min("rep").alias("block_first"), F.count("*").alias("_profiles"))
-    useful = profiles.join(blocks, "block").where("_profiles > 1 OR copies > 1")
+    useful = profiles.join(blocks.hint("merge"), "block").where("_profiles > 1 OR copies > 1")
     useful = cut_lineage(useful)
     pairs = cut_lineage(similar_pairs(useful.where("_profiles > 1").drop("block_first", "_profiles"), w, threshold))
     components = connected_components(pairs, "rep_a", "rep_b")
@@ -247,7 +250,7 @@ def find_duplicates(
         self_score = self_score + F.when(F.col(p).isNotNull(), 100.0 * weight).otherwise(0.0)
     self_score = self_score / 100
     alike = (F.col("copies") > 1) & (self_score > threshold)
-    linked = useful.join(components, useful["rep"] == components["node"], "left").drop("node")
+    linked = useful.join(components.hint("merge"), useful["rep"] == components["node"], "left").drop("node")
     members = cut_lineage(
         linked.withColumn("_self", F.when(alike, self_score)).where(F.col("component").isNotNull() | F.col("_self").isNotNull())
         .withColumn("component", F.coalesce("component", "rep"))
@@ -261,11 +264,11 @@ def find_duplicates(
         F.sum(F.when(F.col("_self").isNotNull(), copies * (copies - 1) / 2).otherwise(0.0)).alias("_n1"),
     )
     product = F.col("copies_a").cast("double") * F.col("copies_b")
-    between = pairs.join(components, pairs["rep_a"] == components["node"]).groupBy("component").agg(
+    between = pairs.join(components.hint("merge"), pairs["rep_a"] == components["node"]).groupBy("component").agg(
         F.sum(F.col("similarity") * product).alias("_s2"), F.sum(product).alias("_n2")
     )
     zero = F.lit(0.0)
-    scored = within.join(between, "component", "left").select(
+    scored = within.join(between.hint("merge"), "component", "left").select(
         "component", "block_first", "first", "records",
         ((F.col("_s1") + F.coalesce("_s2", zero)) / (F.col("_n1") + F.coalesce("_n2", zero))).alias("average_similarity"),
     )

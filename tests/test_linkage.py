@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions.similarity import indel_ratio
 from gridweave.operators import linkage as L
+from gridweave.session import cut_lineage
 
 
 def lcs(a, b):
@@ -126,3 +127,14 @@ def test_components(spark, seed):
         for a, b in edges:
             label[a] = label[b] = min(label[a], label[b])
     assert got == {n: c for n, c in label.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_written_steps_are_not_broadcast(spark):
+    """A written table's file tells nothing of its size in memory; none goes to the driver as a whole."""
+    rows = [(i, f"name {i:05d}", "same") for i in range(300)]
+    df = spark.createDataFrame(rows, "idx int, a string, b string").repartition(3)
+    profiles = cut_lineage(L.build_profiles(df, "idx", ["a", "b"]))
+    for step in (L.with_prefixes(profiles, [0.5, 0.5], 0.9), L.similar_pairs(profiles, [0.5, 0.5], 0.9)):
+        step.collect()
+        plan = step._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import let, unfold
-from ..session import broadcast_if_small, cut_lineage
+from ..session import broadcast_if_small, by_rows, cut_lineage
 
 # Fixed value: the item type used when no type name contains the issue text.
 UNKNOWN_ITEM_TYPE = 21
@@ -94,15 +94,18 @@ def mention_join(sections: DataFrame, section_id: str, listed: str, characters:
     """(section id, character name): the character's name contains a listed name, ignoring case.
 
     ``listed`` is a comma list; blank entries are skipped. The distinct listed
-    names meet the distinct characters once; sections join that result by name.
+    names meet the distinct characters once. Names are made unique per distinct list, which
+    sections then join, so no task holds the sections' rows, however many there are.
     """
-    entries = sections.select(section_id, F.explode(F.split(listed, ",")).alias("_n")).select(
-        section_id, F.lower(F.trim("_n")).alias("_n")
-    ).where(F.col("_n") != "").distinct()
-    wanted = entries.select("_n").distinct()
+    names = F.transform(F.split(listed, ","), lambda n: F.lower(F.trim(n)))
+    rows = sections.select(section_id, F.filter(names, lambda n: n != "").alias("_l")).where(F.size("_l") > 0)
+    lists = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_l"))))
+    own = cut_lineage(by_rows(rows, [section_id]).groupBy(section_id).agg(lists.alias("_l")))
+    entries = own.select("_l").distinct().select("_l", F.explode("_l").alias("_n"))
     people = characters.select(F.col(name).alias("_c")).where(F.col("_c") != "").distinct()
-    pairs = contained_pairs(people, "_c", "_c", wanted, "_n", "_n")
-    return entries.join(pairs, "_n").select(section_id, F.col("_c").alias(name)).distinct()
+    pairs = contained_pairs(people, "_c", "_c", entries.select("_n").distinct(), "_n", "_n")
+    named = cut_lineage(entries.join(pairs, "_n").select("_l", F.col("_c").alias(name)).distinct())
+    return own.join(broadcast_if_small(named), "_l").select(section_id, name)
 
 
 def not_in(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -70,3 +70,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def by_rows(df: DataFrame, keys: list[str], rows: int = 500_000) -> DataFrame:
+    """Deal the rows by ``keys`` to tasks of about ``rows`` rows each.
+
+    Spark merges shuffled parts by their compressed bytes, so rows that repeat would all
+    go to one task, whose memory then grows with the input.
+    """
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)

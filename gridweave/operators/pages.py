@@ -13,6 +13,7 @@ from ..functions import urls as U
 from ..functions.text import clean_text
 from ..functions.tokens import elements
 from ..functions.values import unfold
+from ..session import by_bytes, cut_lineage
 from .matching import type_lookup
 from .ordering import first_k_per_group
 from .reshape import flags_to_items
@@ -313,8 +314,10 @@ def top_keywords(texts: DataFrame, site: list[str], text: str = "text", top: int
     """Most frequent lower-case terms of one to ``longest`` words per site.
 
     Terms are counted per text, summed per (site, term) with map-side combine, and
-    only the first ``top`` per site leave a task. Whole texts are used.
+    only the first ``top`` per site leave a task. Whole texts are used. A task holds the terms of
+    a bounded share of the texts, so more text means more tasks, not larger ones.
     """
+    texts = by_bytes(cut_lineage(texts.select(*site, text)), text)
     words = F.filter(F.split(F.lower(clean_text(F.col(text), True, None)), " +"), lambda w: w != "")
     tokens = texts.select(*site, words.alias("_w1"))
     for n in range(2, longest + 1):

@@ -79,3 +79,9 @@ def by_rows(df: DataFrame, keys: list[str], rows: int = 500_000) -> DataFrame:
     go to one task, whose memory then grows with the input.
     """
     return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
+def by_bytes(df: DataFrame, text: str, size: int = 8 << 20) -> DataFrame:
+    """Deal the rows evenly to tasks of about ``size`` bytes of ``text`` each; reads that column once more."""
+    total = df.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-total // size)))

@@ -1,6 +1,9 @@
 """What one task holds or sends doesn't grow with the rows."""
 
+from pyspark.sql import functions as F
+
 from gridweave.operators import matching as J
+from gridweave.operators import pages as P
 from gridweave.session import by_rows
 
 
@@ -13,3 +16,8 @@ def test_mentions_need_no_aggregate_over_all_rows(spark):
     assert len(got) == len(want) and set(got) == want
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
     assert by_rows(spark.range(1000), ["id"], 300).rdd.getNumPartitions() == 4
+
+
+def test_more_text_means_more_tasks(spark):
+    texts = spark.range(400, numPartitions=1).select(F.lit("s").alias("site"), F.repeat(F.lit("word "), 20_000).alias("text"))
+    assert "RoundRobinPartitioning(5)" in P.top_keywords(texts, ["site"])._jdf.queryExecution().executedPlan().toString()

@@ -12,6 +12,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Fixed value: keys that a task combines before it sends them to the state.
+_HELD = 20_000
+
+
 def changed_cells(old: DataFrame, new: DataFrame, keys: list[str], cols: list[str]) -> DataFrame:
     """One row per cell whose value differs between two versions (unique keys)."""
     a = old.select(*keys, *[F.col(c).alias(f"_o_{c}") for c in cols])
@@ -28,10 +32,16 @@ def _latest(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _combine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Newest row per key of each Arrow batch: a hot key ships one row per batch."""
+    """Newest row per key over a task's Arrow batches; what is held goes on when it reaches ``_HELD`` rows."""
+    held = None
     for frame in frames:
         if len(frame):
-            yield _latest(frame)
+            held = _latest(frame if held is None else pd.concat([held, frame], ignore_index=True))
+            if len(held) >= _HELD:
+                yield held
+                held = None
+    if held is not None:
+        yield held
 
 
 class _LastCell(StatefulProcessor):

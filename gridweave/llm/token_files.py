@@ -26,7 +26,7 @@ BLOCK_IDS = 4096
 #: Ids of a file at most; a longer document is a file alone. Bytes of text of a shard, about.
 FILE_IDS, SHARD_BYTES = 250_000, 32 << 20
 #: Text bytes that a worker encodes at a time; pieces that it keeps encoded.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 CACHED = 40_000
 #: Frequent pieces that are encoded before all others, and characters of each, at most; documents, about, of their sample.
 COMMON, COMMON_CHARS, SAMPLE_DOCS = 80_000, 64, 4_000
@@ -34,6 +34,8 @@ COMMON, COMMON_CHARS, SAMPLE_DOCS = 80_000, 64, 4_000
 BATCH_ROWS = 1000
 #: Shards at most; beyond, shards have more files.
 SHARDS = 20_000
+#: Bytes of files in a page and in a row group of their table, about; what writers and readers hold at once.
+PAGE_BYTES, GROUP_BYTES = 1 << 20, 8 << 20
 _HEAD = "<4sIIIQQQ"
 _MAGIC = b"GWS8"
 _FILES = "shard int, part int, first bigint, n_docs bigint, n_ids bigint, data binary"
@@ -242,7 +244,9 @@ def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id:
     (shard, part, first, n_docs, n_ids, data) of a table, so any store that Spark reaches can
     hold them; ``data`` is the file of ``file_bytes``, ``first`` the ids before it in its shard. Documents are dealt to shards by
     quantiles of their ids, so only encoded ids are shuffled, once, and each shard is
-    sorted for itself; a shard's files are written as its rows stream by.
+    sorted for itself; a shard's files are written as its rows stream by. Pages end by their size after
+    any row, not only after the 100 rows that Parquet waits for by default: 100 files are some 50 MB,
+    which each task would compress and uncompress at once in buffers beside the heap.
     """
     key = F.col(f"`{doc_id}`").cast("bigint")
     stats = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.col(f"`{text}`"))).alias("bytes")).first()
@@ -279,7 +283,8 @@ def write_files(docs: DataFrame, path: str, load: Callable, end_id: int, doc_id:
     with rows_per_batch(docs.sparkSession, BATCH_ROWS):
         rows = encode(docs, load, end_id, stats["n"], cuts, doc_id, text)
         dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "doc_id", "ids")
-        dealt.mapInArrow(write, _FILES).write.parquet(path)
+        pages = {"parquet.page.size": PAGE_BYTES, "parquet.page.size.row.check.min": 1, "parquet.block.size": GROUP_BYTES}
+        dealt.mapInArrow(write, _FILES).write.options(**pages).parquet(path)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:

@@ -95,6 +95,23 @@ def test_token_files_equal_the_library(docs, spark):
     assert token_files.read_files(spark, path + "-none").count() == 0
 
 
+def test_token_file_pages_end_by_size(spark, monkeypatch):
+    """Few rows of token files are much: groups end by bytes, not after 100 rows."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "FILE_IDS", 1000)
+    monkeypatch.setattr(token_files, "PAGE_BYTES", 4 << 10, raising=False)
+    monkeypatch.setattr(token_files, "GROUP_BYTES", 16 << 10, raising=False)
+    texts, path = [(i, " ".join(f"w{i * k}" for k in range(200))) for i in range(100)], work_path(spark, "pages")
+    load = queries._word_tokenizer(queries.tokenizer_file("word_bpe_49k.json"))
+    token_files.write_files(spark.createDataFrame(texts, "doc_id long, text string"), path, load, 2)
+    groups = [m.row_group(k) for f in Path(path.removeprefix("file:")).glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for k in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 20 and max(g.total_byte_size for g in groups) < 32 << 10
+    tok = load()
+    want = {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in texts}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in token_files.read_files(spark, path).collect()} == want
+
+
 def test_lattice_base_score(docs):
     from pyspark.sql import functions as F
 

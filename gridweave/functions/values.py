@@ -78,18 +78,17 @@ def amount_text(col: Column) -> Column:
     """Size of the leading number of a text, without sign, leading or trailing zeros.
 
     Plain numbers are handled as text; very long ones and exponents go through a
-    decimal.
+    decimal. The prefix is repeated, not bound by ``let``: Spark computes it once in
+    compiled code, where a function over an array would be interpreted for each row.
     """
     def plain(digits: Column) -> Column:
         short = F.when(digits.contains("."), F.rtrim(F.rtrim(digits, F.lit("0")), F.lit("."))).otherwise(digits)
         # Leading zeros go, but one stays before a point or alone.
         return F.regexp_replace(F.ltrim(short, F.lit("0")), r"^(?=\.|\z)", "0")
 
-    def sized(prefix: Column) -> Column:
-        simple = (F.length(prefix) <= 15) & ~prefix.rlike("[eE]")
-        return F.when(simple, plain(prefix)).otherwise(let(lenient_amount(col), lambda d: number_text(F.abs(d))))
-
-    return let(F.regexp_extract(col, UNSIGNED_PREFIX, 1), sized)
+    prefix = F.regexp_extract(col, UNSIGNED_PREFIX, 1)
+    simple = (F.length(prefix) <= 15) & ~prefix.rlike("[eE]")
+    return F.when(simple, plain(prefix)).otherwise(number_text(F.abs(lenient_amount(col))))
 
 
 def transaction_key(date: Column, amount: Column, split: Column, created: Column) -> Column:

@@ -54,30 +54,22 @@ def flatten_report(reports: DataFrame, report: str, titles: list[str], keep: lis
     if absent:
         raise ValueError(f'Missing required column "{absent[0]}" in JSON data.')
     keep = keep or []
-    heads = F.transform(F.col(f"{report}.Columns.Column"), lambda c: F.coalesce(c["ColTitle"], F.lit("")))
-    missing = F.filter(F.array(*[F.lit(t) for t in REPORT_TITLES]), lambda t: ~F.array_contains(heads, t))
-    checked = F.when(F.size(missing) == 0, heads).otherwise(
-        F.raise_error(F.concat(F.lit('Missing required column "'), F.element_at(missing, 1), F.lit('" in JSON data.')))
-    )
-    top = F.col(f"{report}.Rows.Row")
-
-    def data_cells(rows: Column) -> Column:
-        none = F.array().cast(f"array<{_CELL}>")
-        return F.transform(F.filter(rows, lambda r: r["type"] == "Data"), lambda r: F.coalesce(r["ColData"], none))
-
-    nested = F.flatten(
-        F.transform(
-            F.filter(top, lambda r: (r["type"] == "Section") & r["Rows"]["Row"].isNotNull()),
-            lambda r: data_cells(r["Rows"]["Row"]),
-        )
-    )
-    def listed(arrays: Column) -> Column:
-        return F.coalesce(arrays, F.array().cast(f"array<array<{_CELL}>>"))
-
-    # Title positions and cells are read off each report before the explode.
-    heads = reports.select(*keep, checked.alias("_heads"), F.concat(listed(data_cells(top)), listed(nested)).alias("_rows"))
+    heads = F.col(f"{report}.Columns.Column.ColTitle")
+    if "" in titles:
+        heads = F.transform(heads, lambda c: F.coalesce(c, F.lit("")))
+    # Plain columns and explodes only: Spark compiles them into one loop, where functions over arrays are interpreted for each report.
+    read = reports.select(*keep, heads.alias("_heads"), F.col(f"{report}.Rows.Row").alias("_rows"))
     at = F.array(*[F.array_position("_heads", t).cast("int") for t in titles])
-    cells = unfold(heads.withColumn("_columns", at), [*keep, "_columns"], F.col("_rows"), "_cells")
+    found = read.select(*keep, at.alias("_at"), "_rows")
+    columns: Column = F.col("_at")
+    for t in reversed(REPORT_TITLES):
+        absent = F.raise_error(F.lit(f'Missing required column "{t}" in JSON data.')).cast("array<int>")
+        columns = F.when(F.col("_at")[titles.index(t)] == 0, absent).otherwise(columns)
+    top = found.select(*keep, columns.alias("_columns"), F.explode_outer("_rows").alias("_row"))
+    alone = F.array(F.struct(F.col("_row.type").alias("type"), F.col("_row.ColData").alias("ColData")))
+    below = F.when(F.col("_row.type") == "Data", alone).when(F.col("_row.type") == "Section", F.col("_row.Rows.Row"))
+    rows = top.select(*keep, "_columns", F.explode_outer(below).alias("_row")).where(F.col("_row.type") == "Data")
+    cells = rows.select(*keep, "_columns", F.col("_row.ColData").alias("_cells"))
 
     def cell(i: int) -> Column:
         value = F.when(F.col("_columns")[i] > 0, F.get("_cells", F.col("_columns")[i] - 1)["value"])

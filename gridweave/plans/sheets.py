@@ -403,10 +403,10 @@ EXPAND_LINKS_SQL = """SELECT l_orderkey || '.' || x AS "orderlinksId", l_orderke
 
 def flatten_report(spark: SparkSession, sf: str) -> DataFrame:
     """One nested report per order line: a data row, and a section with a data row and a note."""
-    li = table(spark, sf, "lineitem", True)
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    shown = F.date_format("l_shipdate", "yyyy-MM-dd").alias("day"), F.format_string("%.2f", F.col("l_extendedprice")).alias("price")
+    li = table(spark, sf, "lineitem", True).select("l_orderkey", "l_linenumber", *shown, "l_returnflag", "l_linestatus")
+    day, price = F.col("day"), F.col("price")
     cells = lambda *cs: F.array(*[F.struct(c.alias("value")) for c in cs])
-    price = F.format_string("%.2f", F.col("l_extendedprice"))
     inner = cells(day, F.concat(F.lit("-"), price), F.col("l_returnflag"))
     rows = F.array(*[F.struct(F.lit(t).alias("type"), inner.alias("ColData")) for t in ("Data", "Note")])
     head = F.array(*[F.struct(F.lit(t).alias("ColTitle")) for t in R.REPORT_TITLES])

@@ -159,6 +159,25 @@ def test_flatten_report_needs_titles(spark):
         R.flatten_report(df, "report", ["Date", "Amount", "Split"])
 
 
+def test_flatten_report_is_compiled(spark):
+    """Odd reports by plain columns and explodes; no function over arrays is interpreted for each report."""
+    head = '"Columns":{"Column":[{"ColTitle":"Split"},{},{"ColTitle":"Date"},null,{"ColTitle":"Amount"},{"ColTitle":"Create Date"}]}'
+    data = '{"type":"Data","ColData":[{"value":"s"},{"value":"x"},{"value":"d"},null,{"value":"-007.50"}]}'
+    odd = '{"type":"Data"},{"ColData":[]},null,{"type":"Section","Rows":{"Row":null}},{"type":"Section"}'
+    nested = '{"type":"Section","Rows":{"Row":[' + data + ',null,{"type":"Note"},{"type":"Section","ColData":[]}]}}'
+    texts = [f'{{{head},"Rows":{{"Row":[{data},{odd},{nested}]}}}}', f"{{{head}}}", f'{{"Rows":{{"Row":[{data}]}}}}', None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", F.from_json("t", R.REPORT_SCHEMA).alias("report"))
+    flat = R.flatten_report(df, "report", [*R.REPORT_TITLES, ""], ["n"])
+    full, blank = ("d-7.5-s-", "d", "-007.50", "s", "", "x"), ("-0--", "", "", "", "", "")
+    assert rows(flat) == sorted([(0, *full), (0, *full), (0, *blank), (2, *blank)])
+    plan = R.flatten_report(df, "report", R.REPORT_TITLES, ["n"])._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan
+    for rest in ("", ',"Rows":{"Row":[]}', ',"Rows":{"Row":[{"type":"Section"}]}'):
+        short = spark.createDataFrame([('{"Columns":{"Column":[{"ColTitle":"Date"}]}' + rest + "}",)], "t string").select(F.from_json("t", R.REPORT_SCHEMA).alias("report"))
+        with pytest.raises(Exception, match="Amount"):
+            R.flatten_report(short, "report", R.REPORT_TITLES).collect()
+
+
 def test_merge_and_payload(spark):
     df = spark.createDataFrame([(7, "Ann", None)], "InvoiceNumber int, name string, x string")
     assert df.select(R.mail_merge(df, "{{name}}/{{x}}/{{?}}", df.columns).alias("b")).first()["b"] == "Ann//{{?}}"

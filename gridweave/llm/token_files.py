@@ -29,7 +29,7 @@ FILE_IDS, SHARD_BYTES = 250_000, 32 << 20
 SLICE_BYTES = 2 << 20
 CACHED = 40_000
 #: Frequent pieces that are encoded before all others, and characters of each, at most; documents, about, of their sample.
-COMMON, COMMON_CHARS, SAMPLE_DOCS = 80_000, 64, 4_000
+COMMON, COMMON_CHARS, SAMPLE_DOCS = 160_000, 64, 8_000
 #: Rows that a worker is handed at a time while files are written, so texts and ids of few documents are in memory.
 BATCH_ROWS = 1000
 #: Shards at most; beyond, shards have more files.
@@ -47,29 +47,39 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Each word takes as many of the next ids as any selector allows; none reaches over
     the end of a block.
     """
-    ids = np.asarray(ids, np.uint64)
-    n = len(ids)
-    left = BLOCK_IDS - np.arange(n, dtype=np.int32) % BLOCK_IDS
-    take, kind = np.ones(n, np.int64), np.zeros(n, np.int64)
-    for selector, count, bits in reversed(SELECTORS):
-        wide = np.concatenate([[0], np.cumsum(ids >> np.uint64(bits) > 0, dtype=np.int32)])
-        able = np.flatnonzero((wide[count:] == wide[: max(0, n + 1 - count)]) & (left[: max(0, n + 1 - count)] >= count))
-        take[able], kind[able] = count, selector
-    at, starts, steps = 0, [], take.tolist()
+    ids = ids if isinstance(ids, np.ndarray) and ids.dtype.kind == "u" else np.asarray(ids, np.uint64)
+    n, blocks, top = len(ids), -(-len(ids) // BLOCK_IDS), int(ids.max(initial=0))
+    # The place in SELECTORS of the first that has bits enough for an id; none has for what is behind the end of a block.
+    least = np.full((blocks, BLOCK_IDS), 255, np.uint8)
+    flat = least.reshape(-1)[:n]
+    flat[:] = 0
+    for _, _, bits in SELECTORS:
+        if top >> bits:
+            flat += ids >= ids.dtype.type(1 << bits)
+    most = {1: np.pad(least, ((0, 0), (0, SELECTORS[0][1])), constant_values=255)}
+    for size in (1, 2, 4, 8, 16):
+        most[2 * size] = np.maximum(most[size][:, :-size], most[size][:, size:])
+    # Where a selector can't pack, none before it can: their number is the place of the first that can.
+    place = np.zeros((blocks, BLOCK_IDS), np.uint8)
+    for k, (_, count, _) in enumerate(SELECTORS):
+        size = 1 << count.bit_length() - 1
+        place += np.maximum(most[size][:, :BLOCK_IDS], most[size][:, count - size : count - size + BLOCK_IDS]) > k
+    place = place.reshape(-1)
+    at, starts, steps = 0, bytearray(n), np.array([count for _, count, _ in SELECTORS] + [1], np.uint8)[place].tobytes()
     while at < n:
-        starts.append(at)
+        starts[at] = 1
         at += steps[at]
-    begin = np.array(starts, np.int64)
-    chosen, words = kind[begin], np.zeros(len(begin), np.uint64)
-    for selector, count, bits in SELECTORS:
-        rows = np.flatnonzero(chosen == selector)
-        word = np.full(len(rows), selector << 60, np.uint64)
-        for k in range(count):
-            word |= ids[begin[rows] + k] << np.uint64(k * bits)
+    begin = np.flatnonzero(np.frombuffer(starts, np.uint8))
+    chosen, words = place[begin], np.zeros(len(begin), np.uint64)
+    for at, (selector, count, bits) in enumerate(SELECTORS):
+        rows = np.flatnonzero(chosen == at)
+        word, first = np.full(len(rows), selector << 60, np.uint64), begin[rows]
+        for k in range(count if len(rows) else 0):
+            word |= ids[first + k].astype(np.uint64) << np.uint64(k * bits)
         words[rows] = word
-    escaped = np.flatnonzero(chosen == 0)
+    escaped = np.flatnonzero(chosen == len(SELECTORS))
     words[escaped] = np.arange(len(escaped), dtype=np.uint64)
-    offsets = np.searchsorted(begin, np.arange(0, n + BLOCK_IDS, BLOCK_IDS)[: -(-n // BLOCK_IDS) + 1])
+    offsets = np.searchsorted(begin, np.arange(0, n + BLOCK_IDS, BLOCK_IDS)[: blocks + 1])
     return words, offsets.astype(np.uint64), ids[begin[escaped]]
 
 
@@ -92,7 +102,7 @@ def unpack(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
 
 def file_bytes(doc_ids: list[int | None], runs: list[np.ndarray]) -> bytes:
     """A file: head, documents (id, null flag, ids), block offsets, escapes, words."""
-    ids = np.concatenate([*runs, np.zeros(0, np.uint64)]).astype(np.uint64)
+    ids = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
     words, offsets, escapes = pack(ids)
     head = struct.pack(_HEAD, _MAGIC, 1, BLOCK_IDS, len(doc_ids), len(ids), len(words), len(escapes))
     parts = (

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import flat, give_back
+from .common import flat, forget_caches, give_back, small_batches
 
 #: Words of a block at most; a longer document is a block alone.
 BLOCK_WORDS = 4_000_000
@@ -50,6 +50,7 @@ def word_blocks(docs: DataFrame, id_kind: str, extra_schema: str, extra: Callabl
     names = [x.strip().split(" ")[0] for x in extra_schema.split(", ")]
 
     def run(batches):
+        forget_caches()
         task, made = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         seen = None
@@ -94,4 +95,5 @@ def word_blocks(docs: DataFrame, id_kind: str, extra_schema: str, extra: Callabl
             yield flush()
         give_back()
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, f"block bigint, doc_ids array<{id_kind}>, lens array<int>, codes binary, {extra_schema}")

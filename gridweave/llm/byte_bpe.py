@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from .blocks import Block, word_blocks
-from .common import give_back
+from .common import forget_caches, give_back
 
 #: Words with more bytes are merged by a heap: a fold's time grows with the square of a word's length.
 LONG_WORD = 64
@@ -180,6 +180,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id: str =
     pieces = pa.array([p for p, _ in sorted(ranks.items(), key=lambda x: x[1])], pa.large_binary())
 
     def expand(batches):
+        forget_caches()
         lists = None
         for b in batches:
             for i in range(b.num_rows):

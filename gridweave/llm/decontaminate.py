@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, filter_texts, shingles, sliced, texts_of, token_hashes
+from .common import distinct, filter_texts, shingles, sliced, small_batches, texts_of, token_hashes
 
 #: Items of a posting block; BM25's constants; words of a shingle.
 BLOCK, K1, B, SHINGLE = 16, 1.2, 0.75, 5
@@ -22,7 +22,7 @@ QUESTION, ANSWER = 0.8, 0.8
 #: Words from one passage to the next at least; a passage has twice as many.
 STRIDE = 64
 #: Text bytes that a task searches at a time; each slice goes through all blocks of the index.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -183,6 +183,7 @@ def find_leaks(docs: DataFrame, index: Index, items_kind: str = "bigint", doc_id
                 )
 
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    small_batches(docs.sparkSession)
     return slim.mapInArrow(run, f"doc_id {kind}, item_id {items_kind}, passage_start int, score double, question_overlap double, answer_overlap double")
 
 

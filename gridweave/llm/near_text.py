@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.linkage import connected_components
 from ..session import cut_lineage
-from .common import distinct, rows_per_batch, shingles, sliced, texts_of, token_hashes
+from .common import distinct, rows_per_batch, shingles, sliced, small_batches, texts_of, token_hashes
 
 #: Words of a k-mer, and the least similarity of linked texts.
 SIZE, SIMILARITY = 5, 0.8
@@ -158,6 +158,7 @@ def near_classes(
     the group, block against block, so every two texts of a cell that are not in one
     class already have been compared; blocks give links only, not pairs.
     """
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     body = F.col(f"`{text}`").cast("string")
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_key"))

@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import distinct, filter_texts, flat, map_texts, sliced, texts_of, token_hashes
+from .common import distinct, filter_texts, flat, give_back, map_texts, sliced, small_batches, texts_of, token_hashes
 
 #: Cells of the hashed n-grams.
 CELLS = 1 << 16
 #: Most labelled rows that the model is fitted on.
 FIT_ROWS = 16_384
+#: Cells, about, whose values are scaled at a time.
+SCALED = 1 << 20
 #: Documents with a lower score are rejected.
 KEEP_FROM = 0.3
 
@@ -43,10 +45,15 @@ def log_count_ratios(starts: np.ndarray, cells: np.ndarray, y: np.ndarray, alpha
 
 
 def _scaled(starts, cells, ratios):
-    """Values of each row, of length 1 in all."""
-    values = ratios[cells]
-    sums = np.add.reduceat(np.append(values * values, 0.0), starts[:-1]) * (np.diff(starts) > 0) if len(starts) > 1 else np.zeros(0)
-    return values / np.repeat(np.sqrt(np.maximum(sums, 1e-12)), np.diff(starts))
+    """Values of each row, of length 1 in all; some rows at a time, so that little stands beside the result."""
+    values, lens = ratios[cells], np.diff(starts)
+    edges = [0, *(np.flatnonzero(np.diff(starts[:-1] // SCALED)) + 1).tolist(), len(lens)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            v = values[starts[a] : starts[b]]
+            sums = np.add.reduceat(np.append(v * v, 0.0), starts[a:b] - starts[a]) * (lens[a:b] > 0)
+            v /= np.repeat(np.sqrt(np.maximum(sums, 1e-12)), lens[a:b])
+    return values
 
 
 def dual_coordinate_descent(
@@ -111,20 +118,21 @@ def fit_arrays(starts: np.ndarray, cells: np.ndarray, y: np.ndarray) -> QualityM
         share = ((y > 0).sum() + 1) / (len(y) + 2)
         return QualityModel(np.zeros(CELLS), np.zeros(CELLS + 1), 1.0, float(np.log(share / (1 - share))))
     ratios = log_count_ratios(starts, cells, y)
-    values, last = _scaled(starts, cells, ratios), np.zeros(len(y), bool)
+    last = np.zeros(len(y), bool)
     for side in (1.0, -1.0):
         last[np.flatnonzero(y == side)[::5]] = True
 
     def part(rows):
-        lens = np.diff(starts)[rows]
-        take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in rows]) if len(rows) else np.zeros(0, int)
-        return np.concatenate([[0], np.cumsum(lens)]), cells[take], values[take]
+        lens = np.diff(starts)
+        return np.concatenate([[0], np.cumsum(lens[rows])]), cells[np.repeat(rows, lens)]
 
     first, rest = np.flatnonzero(~last), np.flatnonzero(last)
-    s, c, v = part(first)
+    s, c = part(~last)
+    v = _scaled(s, c, ratios)
     cost = np.where(y[first] > 0, 0.5 * len(first) / (y[first] > 0).sum(), 0.5 * len(first) / (y[first] < 0).sum())
     model = QualityModel(ratios, dual_coordinate_descent(s, c, v, y[first], cost), 1.0, 0.0)
-    s, c, _ = part(rest)
+    del v
+    s, c = part(last)
     model.slope, model.shift = _sigmoid_fit(model.margins(s, c), y[rest])
     return model
 
@@ -146,6 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             starts, c = features(texts_of(b, "text"))
             yield pa.RecordBatch.from_arrays([b.column("y"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(c))], names=["y", "cells"])
 
+    small_batches(docs.sparkSession)
     # Repeated rows of an id count once for each row; the limit bounds them too.
     joined = texts.join(F.broadcast(sample), "doc_id").select(F.col("y").cast("int").alias("y"), "text")
     hashed = cut_lineage(joined.mapInArrow(cells, "y int, cells array<int>"))
@@ -157,8 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             ys.append(np.asarray(b.column("y")))
             lens.append(np.diff(o))
             all_cells.append(np.asarray(c, dtype=np.int32))
-        join = lambda xs, kind: np.concatenate(xs).astype(kind) if xs else np.zeros(0, kind)
-        m = fit_arrays(np.concatenate([[0], np.cumsum(join(lens, np.int64))]), join(all_cells, np.int32), join(ys, np.int64))
+        join = lambda xs, kind: np.concatenate(xs).astype(kind, copy=False) if xs else np.zeros(0, kind)
+        cells_of_all = join(all_cells, np.int32)
+        all_cells.clear()
+        m = fit_arrays(np.concatenate([[0], np.cumsum(join(lens, np.int64))]), cells_of_all, join(ys, np.int64))
+        del cells_of_all
+        give_back()
         yield pa.RecordBatch.from_pydict({"ratios": [m.ratios.tolist()], "weights": [m.weights.tolist()], "slope": [m.slope], "shift": [m.shift]})
 
     ordered = hashed.orderBy(F.xxhash64("cells"), "y").limit(fit_rows)

@@ -2,9 +2,10 @@
 
 Equal records are folded into one profile with a copy count first, so a block of
 copies costs one row; group sizes, edge counts and averages are computed from the
-counts. Profiles of a block are not paired with each other wholesale: a profile is
-filed under its rarest characters only, as many as are needed so that any partner
-above the threshold must share one of them. That finds exactly the same pairs.
+counts. Profiles of a block are dealt to tiles, and a task compares all profiles of two
+tiles at once. In a large block a profile is filed under its rarest characters only, as
+many as are needed so that any partner above the threshold must share one of them, where
+that makes fewer pairs than the whole block. Both find exactly the same pairs.
 
 Joins of written steps ask for a sort-merge join: Spark sizes such a table by its
 compressed file, and columns that repeat would be sent to the driver many times as large.
@@ -12,12 +13,16 @@ compressed file, and columns that repeat would be sent to the driver many times
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.similarity import common_subsequence, ratio_from_common
+from ..functions.similarity import weighted_ratios
 from ..functions.values import let, unfold
 from ..session import cut_lineage
 from .ordering import number_rows
@@ -26,6 +31,8 @@ from .ordering import number_rows
 CONTACT_WEIGHTS = {"First Name": 0.2, "Last Name": 0.2, "Email": 0.35, "Phone Number": 0.25}
 THRESHOLD = 0.7
 _SLACK = 1e-9
+#: Profiles of a tile, of a block that gets the character filter, and pairs of a task, about.
+TILE, WIDE, TASK_PAIRS = 512, 1 << 14, 1 << 23
 
 
 def preprocess(col: Column, null_is_match: bool = True) -> Column:
@@ -104,32 +111,140 @@ def with_prefixes(profiles: DataFrame, weights: list[float], threshold: float) -
     return sized.withColumn("prefix", shared).drop("_r", "_len")
 
 
+def _cells(profiles: DataFrame, weights: list[float], threshold: float) -> DataFrame:
+    """Profiles by the cell in which they meet: a block (``h`` 0), or a character ``h`` of a wide one; ``n`` is its size."""
+    sizes = profiles.groupBy("block").agg(F.count("*").alias("n"))
+    placed = profiles.where(F.col("rep").isNotNull()).join(sizes.hint("merge"), "block").where("n > 1")
+    cols = ["block", "h", "n", "prefix", *profiles.drop("block").columns]
+    whole = lambda df: df.withColumn("h", F.lit(0).cast("bigint")).withColumn("prefix", F.array().cast("array<bigint>")).select(*cols)
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= WIDE:
+        return whole(placed)
+    filed = cut_lineage(with_prefixes(placed.where(F.col("n") > WIDE), weights, threshold).withColumn("prefix", F.array_distinct("prefix")))
+    met = filed.select("block", F.explode("prefix").alias("h")).groupBy("block", "h").agg(F.count("*").alias("met")).where("met > 1")
+    work = met.groupBy("block").agg(F.sum(F.col("met").cast("double") * F.col("met")).alias("work"))
+    judged = filed.join(work.hint("merge"), "block", "left").withColumn("few", F.coalesce("work", F.lit(0.0)) < F.col("n").cast("double") * F.col("n"))
+    by_character = judged.where("few").withColumn("h", F.explode("prefix")).join(met.hint("merge"), ["block", "h"]).withColumn("n", F.col("met"))
+    return whole(placed.where(F.col("n") <= WIDE)).unionByName(whole(judged.where("NOT few"))).unionByName(by_character.select(*cols))
+
+
+def _tiles(profiles: DataFrame, weights: list[float], threshold: float) -> DataFrame:
+    """A group of rows for each two tiles ``i`` and ``j`` of a cell, and for each tile alone: their profiles, ``c`` being the tile of each."""
+    cells = _cells(profiles, weights, threshold)
+    ps = [f"p{i}" for i in range(len(weights))]
+    pairs = cells.groupBy("block", "h").agg((F.first("n").cast("double") * F.first("n") / 2).alias("pairs")).agg(F.sum("pairs")).first()[0] or 0
+    tasks = max(profiles.sparkSession.sparkContext.defaultParallelism, min(int(pairs / TASK_PAIRS), 100_000))
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    dealt = cells.withColumn("c", F.pmod(F.xxhash64("rep", *ps), tiles).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    met = dealt.select("block", "h", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "prefix", "rep", "copies", *ps)
+    return met.repartition(tasks, "block", "h", "i", "j")
+
+
+def _elsewhere(rows: pa.Table, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x * y share a character below that of this cell: they are taken at the smallest only."""
+    prefix, out = rows.column("prefix").chunk(0), np.zeros((len(x), len(y)), bool)
+    holder, h = pc.list_parent_indices(prefix).to_numpy(), pc.list_flatten(prefix).to_numpy()
+    below = h < rows.column("h")[0].as_py()
+    holder, h = holder[below], h[below]
+    shared, times = np.unique(h, return_counts=True)
+    for one in shared[times > 1]:
+        has = np.isin(np.arange(rows.num_rows), holder[h == one])
+        out |= has[x][:, None] & has[y]
+    return out
+
+
+def _compare(tiles: DataFrame, weights: list[float], threshold: float, schema: str, report: Callable) -> DataFrame:
+    """``report(rows, order, x, y, over, similarity)`` of every two tiles.
+
+    ``order`` ranks the reps; ``x`` and ``y`` are places in ``rows``. ``over`` tells which of x * y are
+    pairs above the threshold; a pair of one tile is there once, from its smaller rep.
+    """
+
+    def check(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        c, i, j = (rows.column(k).to_numpy() for k in "cij")
+        x, y = np.flatnonzero(c == i), np.flatnonzero(c == j)
+        total, left = np.zeros((len(x), len(y))), sum(weights)
+        for k, w in enumerate(weights):
+            p = rows.column(f"p{k}").chunk(0)
+            total += weighted_ratios(p.take(pa.array(x)), p.take(pa.array(y)), w)
+            left -= w
+            reach = total / 100 + left > threshold - _SLACK
+            some_x, some_y = reach.any(axis=1), reach.any(axis=0)
+            if not (some_x.all() and some_y.all()):  # the others have no pair here
+                x, y, total = x[some_x], y[some_y], total[np.ix_(some_x, some_y)]
+        order = pc.rank(rows.column("rep"), tiebreaker="dense").to_numpy().astype(np.int64)
+        over = order[x][:, None] < order[y] if i[0] == j[0] else order[x][:, None] != order[y]
+        over &= total / 100 > threshold
+        over &= ~_elsewhere(rows, x, y)
+        return report(rows, order, x, y, over, total / 100)
+
+    return tiles.groupBy("block", "h", "i", "j").applyInArrow(check, schema)
+
+
+def _pairs(tiles: DataFrame, weights: list[float], threshold: float) -> DataFrame:
+    """A row for each pair."""
+
+    def report(rows, order, x, y, over, similarity):
+        at = np.nonzero(over)
+        a, b = x[at[0]], y[at[1]]
+        swap = order[a] > order[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        side = lambda col, of: rows.column(col).take(pa.array(of))
+        columns = [side("block", a), side("rep", a), side("rep", b), side("copies", a), side("copies", b), pa.array(similarity[at])]
+        return pa.table(columns, names=["block", "rep_a", "rep_b", "copies_a", "copies_b", "similarity"])
+
+    kind, count = (tiles.schema[c].dataType.simpleString() for c in ("rep", "copies"))
+    return _compare(tiles, weights, threshold, f"block string, rep_a {kind}, rep_b {kind}, copies_a {count}, copies_b {count}, similarity double", report)
+
+
 def similar_pairs(profiles: DataFrame, weights: list[float], threshold: float) -> DataFrame:
     """Pairs of profiles of one block whose weighted similarity is above the threshold."""
-    ps = [f"p{i}" for i in range(len(weights))]
-    filed = cut_lineage(with_prefixes(profiles, weights, threshold).where(F.size("prefix") > 0))
-    cols = ["rep", "copies", "prefix", *ps]
-    rows = filed.select("block", F.explode("prefix").alias("h"), *cols)
-    a = rows.select("block", "h", *[F.col(c).alias(f"a_{c}") for c in cols])
-    b = rows.select("block", "h", *[F.col(c).alias(f"b_{c}") for c in cols])
-    reach = F.lit(0.0)
-    for i, w in enumerate(weights):
-        la, lb = F.length(f"a_p{i}"), F.length(f"b_p{i}")
-        best = F.when(la + lb == 0, 1.0).otherwise(F.try_divide(F.lit(2.0) * F.least(la, lb), la + lb))
-        reach = reach + F.coalesce(best, F.lit(0.0)) * w
-    # A pair that shares several characters is taken at the smallest of them only.
-    once = F.col("h") == F.array_min(F.array_intersect("a_prefix", "b_prefix"))
-    pairs = a.join(b.hint("merge"), ["block", "h"]).where((F.col("a_rep") < F.col("b_rep")) & once & (reach > threshold - _SLACK))
-    for i in range(len(weights)):
-        pairs = pairs.withColumn(f"_lcs{i}", common_subsequence(F.col(f"a_p{i}"), F.col(f"b_p{i}")))
-    total = F.lit(0.0)
-    for i, w in enumerate(weights):
-        ratio = ratio_from_common(F.col(f"_lcs{i}"), F.col(f"a_p{i}"), F.col(f"b_p{i}"))
-        total = total + F.coalesce(ratio, F.lit(0.0)) * w
-    return pairs.withColumn("similarity", total / 100).where(F.col("similarity") > threshold).select(
-        "block", F.col("a_rep").alias("rep_a"), F.col("b_rep").alias("rep_b"),
-        F.col("a_copies").alias("copies_a"), F.col("b_copies").alias("copies_b"), "similarity",
-    )
+    return _pairs(_tiles(profiles, weights, threshold), weights, threshold)
+
+
+def _star_labels(over: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the linked groups for the rows and columns of ``over``; a column without link gets the number of rows."""
+    none = len(over)
+    label = np.arange(none)
+    while True:
+        columns = np.where(over, label[:, None], none).min(axis=0, initial=none)
+        lower = np.minimum(label, np.where(over, columns, none).min(axis=1, initial=none))
+        lower = lower[lower]
+        if (lower == label).all():
+            return label, columns
+        label = lower
+
+
+def _links(tiles: DataFrame, weights: list[float], threshold: float) -> DataFrame:
+    """The pairs folded in the tasks that find them: (rep, other, s, n), no row for each pair.
+
+    ``s`` and ``n`` are the sums, over some pairs of ``rep``, of their similarity and number in terms of records; each
+    pair counts once. Rows with ``other`` link each profile with the first of its group in a tile.
+    """
+
+    def report(rows, order, x, y, over, similarity):
+        copies = rows.column("copies").to_numpy().astype(np.float64)
+        product = copies[x][:, None] * copies[y] * over
+        some = over.any(axis=1)
+        label, columns = _star_labels(over)
+        linked = columns < len(x)
+        node, group = np.concatenate([x[some], y[linked]]), np.concatenate([label[some], columns[linked]])
+        by = np.lexsort([order[node], group])
+        node, group = node[by], group[by]
+        first = node[np.searchsorted(group, group)]
+        edge = order[node] != order[first]
+        node, first = np.unique(np.stack([node[edge], first[edge]]), axis=1)
+        sums, rep = np.flatnonzero(some), rows.column("rep")
+        none = np.zeros(len(node))
+        other = pa.concat_arrays([pa.nulls(len(sums), pa.int64()), pa.array(first, pa.int64())])
+        columns = [
+            rep.take(pa.array(np.concatenate([x[sums], node]))), rep.take(other),
+            pa.array(np.concatenate([(product * similarity).sum(axis=1)[sums], none])), pa.array(np.concatenate([product.sum(axis=1)[sums], none])),
+        ]
+        return pa.table(columns, names=["rep", "other", "s", "n"])
+
+    kind = tiles.schema["rep"].dataType.simpleString()
+    return _compare(tiles, weights, threshold, f"rep {kind}, other {kind}, s double, n double", report)
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 100) -> DataFrame:
@@ -166,7 +281,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
 
 @dataclass
 class Duplicates:
-    """Result of :func:`find_duplicates`."""
+    """Result of :func:`find_duplicates`; ``pairs`` are found when they are read."""
 
     pairs: DataFrame
     members: DataFrame
@@ -241,8 +356,11 @@ def find_duplicates(
     blocks = profiles.groupBy("block").agg(F.min("rep").alias("block_first"), F.count("*").alias("_profiles"))
     useful = profiles.join(blocks.hint("merge"), "block").where("_profiles > 1 OR copies > 1")
     useful = cut_lineage(useful)
-    pairs = cut_lineage(similar_pairs(useful.where("_profiles > 1").drop("block_first", "_profiles"), w, threshold))
-    components = connected_components(pairs, "rep_a", "rep_b")
+    tiles = _tiles(useful.where("_profiles > 1").drop("block_first", "_profiles"), w, threshold)
+    # Most profiles of a block may be alike, so a row for each pair is made only for who reads the pairs.
+    pairs = _pairs(tiles, w, threshold)
+    links = cut_lineage(_links(tiles, w, threshold))
+    components = connected_components(links.where(F.col("other").isNotNull()), "rep", "other")
 
     # Copies of one profile are alike in every column they have.
     self_score = F.lit(0.0)
@@ -263,9 +381,9 @@ def find_duplicates(
         F.sum(F.coalesce(F.col("_self") * copies * (copies - 1) / 2, F.lit(0.0))).alias("_s1"),
         F.sum(F.when(F.col("_self").isNotNull(), copies * (copies - 1) / 2).otherwise(0.0)).alias("_n1"),
     )
-    product = F.col("copies_a").cast("double") * F.col("copies_b")
-    between = pairs.join(components.hint("merge"), pairs["rep_a"] == components["node"]).groupBy("component").agg(
-        F.sum(F.col("similarity") * product).alias("_s2"), F.sum(product).alias("_n2")
+    sums = links.groupBy("rep").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+    between = sums.join(components.hint("merge"), sums["rep"] == components["node"]).groupBy("component").agg(
+        F.sum("s").alias("_s2"), F.sum("n").alias("_n2")
     )
     zero = F.lit(0.0)
     scored = within.join(between.hint("merge"), "component", "left").select(

@@ -1,10 +1,11 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridweave.functions.similarity import indel_ratio
+from gridweave.functions.similarity import common_subsequences, indel_ratio, weighted_ratios
 from gridweave.operators import linkage as L
 from gridweave.session import cut_lineage
 
@@ -138,3 +139,37 @@ def test_written_steps_are_not_broadcast(spark):
         step.collect()
         plan = step._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("most, letters", [(7, "ab"), (64, "xé😀"), (65, "ab"), (150, "abcd"), (130, "a")])
+def test_all_common_subsequences(most, letters):
+    """Texts of any length, in words of 64 characters, with and without a common beginning."""
+    rnd = random.Random(most)
+    for start in ("", "same "):
+        a, b = ([start + "".join(rnd.choice(letters) for _ in range(rnd.choice([0, 1, most, rnd.randint(0, most)]))) for _ in range(9)] for _ in "ab")
+        assert common_subsequences(a, b).tolist() == [[lcs(x, y) for y in b] for x in a]
+
+
+def test_weighted_ratios():
+    a, b = ["ab", None, "", "ab", "b"], ["", "abc", None]
+    want = [[0.0 if x is None or y is None else ratio(x, y) * 0.3 for y in b] for x in a]
+    assert weighted_ratios(pa.array(a), pa.array(b), 0.3).tolist() == want
+    assert weighted_ratios(pa.array([None], pa.string()), pa.array(["x"]), 1.0).tolist() == [[0.0]]
+
+
+def test_alike_profiles_are_no_edge_each(spark, monkeypatch):
+    """All profiles of a block may be alike: what is written and linked grows with the profiles, not with their pairs."""
+    seen, plain, write = [], L.connected_components, L.cut_lineage
+    monkeypatch.setattr(L, "TILE", 100)
+    monkeypatch.setattr(L, "connected_components", lambda e, *a: seen.append(e.count()) or plain(e, *a))
+    monkeypatch.setattr(L, "cut_lineage", lambda df: (out := write(df), seen.append(out.count()))[0])
+    rows = [(i, f"name {i:05d}", "same") for i in range(300)] + [(300, "name 00007", "same"), (301, "na", "sa")]
+    df = spark.createDataFrame(rows, "idx int, a string, b string")
+    found = L.find_duplicates(df, "idx", {"a": 0.5, "b": 0.5}, 0.8, "idx")
+    assert max(seen) <= 300 * 3 * 3
+    pairs = [0.5 * ratio(f"name {i:05d}", f"name {j:05d}") / 100 + 0.5 for i, j in itertools.combinations([*range(300), 7], 2)]
+    got = found.pairs.agg(F.count("*"), F.sum(F.col("copies_a") * F.col("copies_b")), F.max(F.col("rep_a") >= F.col("rep_b"))).first()
+    assert list(got) == [300 * 299 // 2, len(pairs) - 1, False]
+    top = found.summary().collect()
+    assert [(r["Number_of_Records"], len(r["Record_IDs"].split(", "))) for r in top] == [(301, 301)]
+    assert top[0]["Average_Similarity"] == pytest.approx(sum(pairs) / len(pairs), abs=1e-12)

@@ -173,3 +173,32 @@ def test_alike_profiles_are_no_edge_each(spark, monkeypatch):
     top = found.summary().collect()
     assert [(r["Number_of_Records"], len(r["Record_IDs"].split(", "))) for r in top] == [(301, 301)]
     assert top[0]["Average_Similarity"] == pytest.approx(sum(pairs) / len(pairs), abs=1e-12)
+
+
+@pytest.mark.parametrize("wide", [1 << 14, 20])
+@pytest.mark.parametrize("seed, n, letters, threshold", [(5, 150, "ab", 0.7), (6, 150, "abcdefghijklmnopqrstuvwxyz", 0.8), (7, 60, "ab", 0.6)])
+def test_pairs_of_several_tiles(spark, monkeypatch, wide, seed, n, letters, threshold):
+    """A block of many small tiles, whole and by its characters, gives each pair once."""
+    monkeypatch.setattr(L, "TILE", 8)
+    monkeypatch.setattr(L, "WIDE", wide)
+    rnd = random.Random(seed)
+    word = lambda: "no" + "".join(rnd.choice(letters) for _ in range(rnd.randint(3, 12)))
+    records = [{"a": word(), "b": rnd.choice([None, word(), "no" + "x" * 70])} for _ in range(n)]
+    records = [dict(t) for t in dict.fromkeys(tuple(r.items()) for r in records)]
+    edges, _ = brute(records, ["a", "b"], [0.6, 0.4], threshold, False)
+    rows = [(i, r["a"], r["b"]) for i, r in enumerate(records)]
+    df = spark.createDataFrame(rows, "idx int, a string, b string")
+    profiles = cut_lineage(L.build_profiles(df, "idx", ["a", "b"], False))
+    got = L.similar_pairs(profiles, [0.6, 0.4], threshold).collect()
+    assert edges and sorted((r["rep_a"], r["rep_b"], r["similarity"]) for r in got) == sorted((*e, s) for e, s in edges.items())
+    if wide == 20 and seed == 6:
+        assert L._cells(profiles, [0.6, 0.4], threshold).where("h <> 0").count(), "some block must go by its characters"
+
+
+def test_pairs_meet_no_more_than_their_block(spark):
+    """Characters that all profiles share must not multiply the rows that meet."""
+    rows = [(i, f"common words {i:04d}", "same") for i in range(1500)]
+    df = spark.createDataFrame(rows, "idx int, a string, b string")
+    profiles = cut_lineage(L.build_profiles(df, "idx", ["a", "b"]))
+    assert L.similar_pairs(profiles, [0.5, 0.5], 0.85).count() == 1500 * 1499 // 2
+    assert L._tiles(profiles, [0.5, 0.5], 0.85).count() == 1500 * -(-1500 // L.TILE)
